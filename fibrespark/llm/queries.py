@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_mixing, op5_quality, op9_token_counts
+from . import op4_mixing, op5_quality, op9_token_counts, op10_sentencepiece
 
 # SQL on the same tables for the engine that checks the results ---------------------------------------------------
 
@@ -90,5 +90,9 @@ def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_counts.token_counts(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op9_count_tokens)}
+def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op9_count_tokens, op10_sentencepiece_round)}
 ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL}
