@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_mixing, op5_quality, op9_token_counts, op10_sentencepiece
+from . import op4_mixing, op5_quality, op7_substrings, op9_token_counts, op10_sentencepiece
 
 # SQL on the same tables for the engine that checks the results ---------------------------------------------------
 
@@ -68,6 +68,20 @@ FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DIS
 """
 
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT rid, doc_id, unnest(range(1, len(w) - 11)) AS i, unnest([sha256(array_to_string(w[i:i + 12], ' ')) for i in range(1, len(w) - 11)]) AS g FROM d),
+f AS (SELECT rid, i FROM (SELECT *, min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY g) AS least FROM g) WHERE least < coalesce(doc_id, 9223372036854775807)),
+c AS (SELECT DISTINCT rid, i + k AS i FROM f, (SELECT unnest(range(13)) AS k)),
+r AS (SELECT rid, list(i) AS gone FROM c GROUP BY rid),
+k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (rid))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE [x for x, i in w if NOT list_contains(gone, i)] END, ' '), '')) AS kept_sha256
+FROM k
+"""
+
+
 def vocab(name: str) -> str:
     import public_tokenizers
 
@@ -86,6 +100,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op7_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_substrings.dedup_substrings(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_counts.token_counts(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"))
 
@@ -94,5 +112,5 @@ def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op9_count_tokens, op10_sentencepiece_round)}
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op7_dedup_substrings, op9_count_tokens, op10_sentencepiece_round)}
+ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_dedup_substrings": OP7_SQL}
