@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_mixing, op5_quality, op7_substrings, op9_token_counts, op10_sentencepiece
+from . import op4_mixing, op5_quality, op6_minhash, op7_substrings, op9_token_counts, op10_sentencepiece
 
 # SQL on the same tables for the engine that checks the results ---------------------------------------------------
 
@@ -68,6 +68,23 @@ FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DIS
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS g FROM d),
+c AS (SELECT list_sort(g) AS g, min(doc_id) AS rep FROM s GROUP BY 1),
+e AS (SELECT rep, len(g) AS n, hash(unnest(g)) AS x FROM c WHERE len(g) > 0),
+o AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM o WHERE 100 * k >= 75 * (na + nb - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS node, rep AS least FROM c WHERE len(g) > 0 UNION SELECT u.b, r.least FROM r JOIN u ON u.a = r.node WHERE r.least < u.b),
+m AS (SELECT node, min(least) AS least FROM r GROUP BY node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.least, s.doc_id) AS component_id, s.doc_id = coalesce(m.least, s.doc_id) AS kept
+FROM s JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.node = c.rep AND len(s.g) > 0
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
@@ -100,6 +117,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_minhash.minhash_report(table(spark, sf_dir, "documents"))
+
+
 def op7_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_substrings.dedup_substrings(table(spark, sf_dir, "documents"), digests=True)
 
@@ -112,5 +133,5 @@ def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op7_dedup_substrings, op9_count_tokens, op10_sentencepiece_round)}
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_dedup_substrings": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op9_count_tokens, op10_sentencepiece_round)}
+ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL}
