@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_mixing, op5_quality, op6_minhash, op7_substrings, op9_token_counts, op10_sentencepiece
+from . import op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op9_token_counts, op10_sentencepiece
 
 # SQL on the same tables for the engine that checks the results ---------------------------------------------------
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+OP3_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e,
+         label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings),
+g AS (SELECT * FROM v WHERE ok),
+l AS (SELECT a.rid AS a, b.rid AS b FROM g a JOIN g b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT rid AS node, vec_id AS least FROM g UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.node JOIN v ON v.rid = l.b WHERE v.vec_id IS NULL OR r.least < v.vec_id),
+m AS (SELECT node, min(least) AS least FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(m.least, vec_id) AS component_id, coalesce(vec_id = coalesce(m.least, vec_id), false) AS kept
+FROM v LEFT JOIN m ON m.node = v.rid LEFT JOIN n ON n.a = v.rid
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size,
@@ -109,6 +123,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -133,5 +151,5 @@ def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op9_count_tokens, op10_sentencepiece_round)}
-ORACLE_SQL = {"op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op9_count_tokens, op10_sentencepiece_round)}
+ORACLE_SQL = {"op3_embedding_near_dups": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL}
