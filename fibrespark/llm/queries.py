@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op9_token_counts, op10_sentencepiece
+from . import op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op8_lines, op9_token_counts, op10_sentencepiece
 
 # SQL on the same tables for the engine that checks the results ---------------------------------------------------
 
@@ -113,6 +113,25 @@ FROM k
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM d),
+l AS (SELECT * FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT line, strlen(line) AS n, min((doc_id, no)) AS o, row_number() OVER (ORDER BY line) AS k FROM l GROUP BY line),
+e AS (SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON a.n BETWEEN 24 AND b.n AND b.n - a.n <= 2 AND a.k <> b.k
+      AND (substr(a.line, 1, 8) = substr(b.line, 1, 8) OR substr(a.line, -8) = substr(b.line, -8) OR contains(b.line, substr(a.line, 9, length(a.line) - 16)) OR length(a.line) < 64)
+      AND levenshtein(a.line, b.line) <= 2),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT k AS node, o AS least FROM c UNION SELECT u.b, r.least FROM r JOIN u ON u.a = r.node JOIN c ON c.k = u.b WHERE r.least < c.o),
+m AS (SELECT node, min(least) AS least FROM r GROUP BY node),
+g AS (SELECT l.doc_id, l.no, (l.doc_id, l.no) = c.o AS near FROM l JOIN c USING (line) JOIN m ON m.node = c.k WHERE (l.doc_id, l.no) > m.least),
+s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE near) AS near, string_agg((no + 1)::VARCHAR, ',' ORDER BY no) AS removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(list_filter(ls, lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines, coalesce(s.n, 0)::BIGINT AS n_removed,
+       coalesce(s.near, 0)::BIGINT AS n_near, coalesce(s.removed, '') AS removed
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 def vocab(name: str) -> str:
     import public_tokenizers
 
@@ -143,6 +162,10 @@ def op7_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_substrings.dedup_substrings(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_counts.token_counts(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"))
 
@@ -151,5 +174,5 @@ def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op9_count_tokens, op10_sentencepiece_round)}
-ORACLE_SQL = {"op3_embedding_near_dups": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op8_dedup_lines, op9_count_tokens, op10_sentencepiece_round)}
+ORACLE_SQL = {"op3_embedding_near_dups": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL, "op8_dedup_lines": OP8_SQL}
