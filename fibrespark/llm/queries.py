@@ -4,12 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op8_lines, op9_token_counts, op10_sentencepiece
+from . import op1_warc, op2_html, op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op8_lines, op9_token_counts, op10_sentencepiece
 
 # SQL on the same tables for the engine that checks the results ---------------------------------------------------
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+OP1_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, html, CASE WHEN html IS NOT NULL THEN '"' || md5(html) || '"' END AS tag, strlen(html) AS bytes, 1704067200 + 60 * page_id AS t FROM pages),
+q AS (SELECT *, t + 60 * (bytes % 10080) - 86400 AS rt,
+  CASE WHEN contains(url, '#') THEN '"' || md5(url) || '"' WHEN contains(url, '?') THEN NULL WHEN starts_with(url, 'https') THEN 'W/' || tag ELSE tag END AS rtag,
+  CASE WHEN contains(url, '?') THEN t - 3600 END AS rmod FROM p),
+k AS (SELECT *, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://[^/?#]*', '') AS rest FROM q),
+u AS (SELECT *, CASE WHEN url IS NULL OR host = '' THEN NULL ELSE regexp_replace(host, '^www\.', '') || CASE WHEN rtrim(regexp_replace(rest, '\?.*$', ''), '/') = '' THEN '/' ELSE rtrim(regexp_replace(rest, '\?.*$', ''), '/') END
+        || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|sid)='))), '&'), ''), '') END AS key FROM k),
+f AS (SELECT key, t, page_id, tag, bytes, t - 3600 AS mod FROM u WHERE html IS NOT NULL AND key IS NOT NULL),
+j AS (SELECT u.page_id, u.key, u.rt, u.rtag, u.rmod, max((f.t, 'response-' || f.page_id, f.tag, f.bytes, f.mod)) AS m FROM u LEFT JOIN f ON f.key = u.key AND f.t < u.rt GROUP BY ALL),
+r AS (SELECT *, CASE WHEN key IS NULL THEN 'no-url' WHEN m[1] IS NULL THEN 'no-response' WHEN rtag IS NULL AND rmod IS NULL THEN 'no-validator'
+   WHEN rtag IS NOT NULL AND regexp_replace(rtag, '^W/', '') IS DISTINCT FROM m[3] THEN 'changed' WHEN rtag IS NULL AND rmod <> m[5] THEN 'changed' ELSE 'resolved' END AS outcome FROM j)
+SELECT 'revisit-' || page_id AS record_id, key AS url_key, CASE WHEN outcome = 'resolved' THEN m[2] END AS refers_to, outcome,
+   CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || m[4] || chr(10) || 'content-type: text/html; charset=utf-8' || chr(10) || 'date: ' || rt || chr(10)
+        || 'etag: ' || coalesce(rtag, m[3]) || chr(10) || 'last-modified: ' || coalesce(rmod, m[5]) || chr(10) || 'server: archive' || chr(10) || 'x-cache: revalidated' END AS headers
+FROM r
+"""
+
+OP2_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(x, '</?(p|h1)>', chr(1), 'g'), '<[^>]*>', ' ', 'g'), chr(1)) AS bs FROM a),
+c AS (SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(regexp_replace(y, '&amp;?', chr(2), 'g'), '&quot;', '"'), '&lt;', '<'), chr(2), '&'), '\s+', ' ', 'g')) for y in bs] AS bs FROM b),
+d AS (SELECT page_id, url, array_to_string([y for y in bs if y <> ''], chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+
 OP3_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e,
@@ -142,6 +169,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_warc.revisit_report(op1_warc.archive_of_pages(table(spark, sf_dir, "pages")))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -174,5 +209,5 @@ def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op8_dedup_lines, op9_count_tokens, op10_sentencepiece_round)}
-ORACLE_SQL = {"op3_embedding_near_dups": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL, "op8_dedup_lines": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_resolve_revisits, op2_main_text, op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op8_dedup_lines, op9_count_tokens, op10_sentencepiece_round)}
+ORACLE_SQL = {"op1_resolve_revisits": OP1_SQL, "op2_main_text": OP2_SQL, "op3_embedding_near_dups": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL, "op8_dedup_lines": OP8_SQL}
