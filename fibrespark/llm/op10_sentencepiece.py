@@ -7,7 +7,7 @@ chunks' ids put together. ``check_model`` proves that of the model before anythi
 1. Rows are cut into blocks; each block lists its distinct chunks and writes its texts as codes into that list.
 2. The lists are dealt by a hash of the chunk. Each group segments each distinct chunk once, however many blocks hold it, and answers
    every block in the order in which the block listed its chunks.
-3. Blocks meet their answers (one cogroup by block) and put ids back by position; decoding is the library's decode(ids).
+3. Blocks, kept bucketed so that they aren't moved again, meet their answers (one cogroup by block) and put ids back by position; decoding is the library's decode(ids).
 
 Null text: as empty, no ids, decoded to an empty text. Repeated rows and null ids: one row each. Empty table: empty result.
 """
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_ids, pack_ints, pack_strings, runs, unpack_ints, unpack_strings
-from .common import written
+from .common import bucketed, parts_for
 
 MARK = "▁"
 CHUNK = re.compile(r" +[^ \n]*|\n[^ \n]*")
 BLOCK_BYTES = 16 << 20
+BLOCKS_A_BUCKET = 4
 GROUP_CHUNKS = 250_000
 _models: dict[str, object] = {}
 
@@ -106,7 +107,8 @@ def _group_of(chunks: list[str], groups: int) -> np.ndarray:
 
 def encoded_blocks(docs: DataFrame, model_path: str, block_bytes: int, group_chunks: int) -> tuple[DataFrame, DataFrame, int]:
     """(blocks, answers, number of groups): an answer holds, for one block and group, how many ids each of its chunks has, and the ids."""
-    blocks = written(_pack(docs, block_bytes), "chunks")
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = bucketed(_pack(docs, block_bytes), "chunks", "block", parts_for(size, BLOCKS_A_BUCKET * block_bytes))
     total = blocks.agg(F.sum("n_chunks")).first()[0] or 0
     groups = max(1, -(-total // group_chunks))
 
@@ -172,28 +174,32 @@ def _restore(left: pa.Table, right: pa.Table, groups: int) -> Iterator[tuple[obj
 
 
 def encode(
-    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block_bytes: int = BLOCK_BYTES, group_chunks: int = GROUP_CHUNKS
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), block_bytes: int = BLOCK_BYTES, group_chunks: int = GROUP_CHUNKS
 ) -> DataFrame:
-    """One row per input row: id, n_tokens, and ids (array<int>) with decoded (string), or with ``digests`` the SHA-256 of both."""
+    """One row per input row: id, n_tokens and the ``outputs``: ids (array<int>), decoded (text), ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
     check_model(model_path)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema["_id"].dataType.simpleString()
     id_type = docs.select("_id").limit(0).toArrow().schema.field(0).type
     blocks, answers, groups = encoded_blocks(docs, model_path, block_bytes, group_chunks)
+    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         model = model_of(model_path)
-        made = {"id": [], "n": [], "a": [], "b": []}
+        row_ids: list = []
+        lengths: list[int] = []
+        made: dict[str, list] = {name: [] for name in outputs}
         for doc_id, ids, joined in _restore(left, right, groups):
-            decoded = model.decode(ids.tolist()) if len(ids) else ""
-            made["id"].append(doc_id)
-            made["n"].append(len(ids))
-            made["a"].append(hashlib.sha256(joined.encode()).hexdigest() if digests else ids.tolist())
-            made["b"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digests else decoded)
-        ids_type = pa.string() if digests else pa.list_(pa.int32())
-        columns = [pa.array(made["id"], id_type), pa.array(made["n"], pa.int64()), pa.array(made["a"], ids_type), pa.array(made["b"], pa.string())]
-        return pa.table(columns, names=[id_col, "n_tokens", *names])
-
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    schema = f"`{id_col}` {kind}, n_tokens long, {names[0]} {'string' if digests else 'array<int>'}, {names[1]} string"
+            row_ids.append(doc_id)
+            lengths.append(len(ids))
+            decoded = (model.decode(ids.tolist()) if len(ids) else "") if "decoded" in made or "decoded_sha256" in made else ""
+            for name in outputs:
+                made[name].append(
+                    ids.astype(np.int32) if name == "ids" else decoded if name == "decoded"
+                    else hashlib.sha256((joined if name == "ids_sha256" else decoded).encode("utf-8")).hexdigest()
+                )
+        columns = [pa.array(made[name], kinds[name][1]) for name in outputs]
+        return pa.table([pa.array(row_ids, id_type), pa.array(lengths, pa.int64()), *columns], names=[id_col, "n_tokens", *outputs])
+
+    schema = ", ".join([f"`{id_col}` {kind}", "n_tokens long", *[f"{name} {kinds[name][0]}" for name in outputs]])
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)

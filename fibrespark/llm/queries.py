@@ -206,7 +206,7 @@ def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), digests=True)
+    return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), outputs=("ids_sha256", "decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_resolve_revisits, op2_main_text, op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op8_dedup_lines, op9_count_tokens, op10_sentencepiece_round)}
