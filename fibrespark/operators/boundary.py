@@ -156,15 +156,17 @@ def area_samples(points: DataFrame, height: int, width: int, threshold: float) -
 
 
 def segment_pixels(rows: DataFrame, r1: str, c1: str, r2: str, c2: str) -> DataFrame:
-    """Explodes each row into the pixels (px_step, px_row, px_col) of its segment: half a pixel a step, rounded half up, each pixel once in a row. A segment without length is its pixel."""
+    """Explodes each row into the pixels (px_step, px_row, px_col) of its segment: half a pixel a step, rounded half up, none twice in a row. A segment without length is its pixel."""
     dr, dc = F.col(r2) - F.col(r1), F.col(c2) - F.col(c1)
     length = F.sqrt(dr * dr + dc * dc)
-    steps = F.greatest(F.ceil(2 * length).cast("int"), F.lit(1))
-    pixel = lambda k: F.struct(F.floor(F.col(r1) + dr * k / F.col("_steps") + 0.5).cast("long").alias("px_row"), F.floor(F.col(c1) + dc * k / F.col("_steps") + 0.5).cast("long").alias("px_col"))
-    walked = rows.withColumn("_steps", steps).withColumn("_px", F.transform(F.sequence(F.lit(0), F.col("_steps")), pixel))
-    once = F.filter(F.col("_px"), lambda p, k: (k == 0) | (p != F.get(F.col("_px"), k - 1)))
-    out = walked.withColumn("_px", once).select(*rows.columns, F.posexplode("_px").alias("px_step", "_p"))
-    return out.select(*rows.columns, "px_step", "_p.px_row", "_p.px_col")
+    steps = F.greatest(F.ceil(F.round(2 * length, 6)).cast("int"), F.lit(1))  # rounding, so that a whole length stays whole
+    # a pixel is a function of its step, so whether it repeats the one before is known without looking back
+    at = lambda c, d, k: F.floor(F.round(F.col(c) + d * k / F.col("_steps"), 6) + 0.5).cast("long")
+    walked = rows.withColumn("_steps", steps).withColumn("px_step", F.explode_outer(F.sequence(F.lit(0), F.col("_steps"))))
+    k = F.col("px_step")
+    walked = walked.withColumn("px_row", at(r1, dr, k)).withColumn("px_col", at(c1, dc, k))
+    moved = (k == 0) | (F.col("px_row") != at(r1, dr, k - 1)) | (F.col("px_col") != at(c1, dc, k - 1))
+    return walked.where(moved).select(*rows.columns, "px_step", "px_row", "px_col")
 
 
 def fiber_lines(fibers: DataFrame, reach: float) -> DataFrame:

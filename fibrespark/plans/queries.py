@@ -299,12 +299,12 @@ ORACLE_SQL = {
       hit AS (SELECT image_id, count(DISTINCT r * 512 + c) * 25 AS n FROM px JOIN t ON abs(r - row) <= 40 AND abs(c - col) <= 40 AND sqrt(pow(r - row, 2) + pow(c - col, 2)) <= 40.0 + 1e-12 GROUP BY image_id)
       SELECT DISTINCT points.image_id, coalesce(n, 0)::BIGINT AS num_points FROM points LEFT JOIN hit USING (image_id)""",
     "extension_points": f"""WITH {FIBERS_SQL}, {POINTS_SQL}, l AS (SELECT image_id, fiber_id, center_row, center_col, center_row + sin(radians(angle)) * 40 AS r1, center_col - cos(radians(angle)) * 40 AS c1, -2 * sin(radians(angle)) * 40 AS dr, 2 * cos(radians(angle)) * 40 AS dc FROM fibers),
-      s AS (SELECT *, greatest(ceil(2 * sqrt(pow((center_row - sin(radians(0)) * 0) * 0 + dr, 2) + pow(dc, 2))), 1)::INT AS n FROM l),
-      px AS (SELECT image_id, fiber_id, center_row, center_col, floor(r1 + dr * k / n + 0.5)::BIGINT AS pr, floor(c1 + dc * k / n + 0.5)::BIGINT AS pc FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM s)),
+      s AS (SELECT *, greatest(ceil(round(2 * sqrt(pow(dr, 2) + pow(dc, 2)), 6)), 1)::INT AS n FROM l),
+      px AS (SELECT image_id, fiber_id, center_row, center_col, floor(round(r1 + dr * k / n, 6) + 0.5)::BIGINT AS pr, floor(round(c1 + dc * k / n, 6) + 0.5)::BIGINT AS pc FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM s)),
       b AS (SELECT px.image_id, fiber_id, min((sqrt(pow(center_row - pr, 2) + pow(center_col - pc, 2)), pr, pc)) AS m FROM px JOIN points ON points.image_id = px.image_id AND points.row = pr AND points.col = pc GROUP BY ALL)
       SELECT image_id, fiber_id, round(m[1], 6) AS extension_point_distance, m[2] AS extension_row, m[3] AS extension_col FROM b""",
     "segment_pixels": f"""WITH {POINTS_SQL}, s AS (SELECT image_id, roi_id, r0, c0, h, w, greatest(ceil(2 * sqrt(h * h + w * w)), 1)::INT AS n FROM boxes),
-      px AS (SELECT DISTINCT image_id, roi_id, floor(r0 + h::DOUBLE * k / n + 0.5)::BIGINT AS r, floor(c0 + w::DOUBLE * k / n + 0.5)::BIGINT AS c FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM s))
+      px AS (SELECT DISTINCT image_id, roi_id, floor(round(r0 + h::DOUBLE * k / n, 6) + 0.5)::BIGINT AS r, floor(round(c0 + w::DOUBLE * k / n, 6) + 0.5)::BIGINT AS c FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM s))
       SELECT image_id, roi_id, count(*) AS n, sum(r)::BIGINT AS rows, sum(c)::BIGINT AS cols FROM px GROUP BY ALL""",
     "coefficient_threshold": f"WITH {COEFFS_SQL}, {_KEEP} SELECT image_id, {_round('threshold')} FROM thr",
     "kept_coefficients": f"WITH {COEFFS_SQL}, {_KEEP} SELECT image_id, wedge, k, {_round('value')} FROM coeffs JOIN thr USING (image_id) WHERE value >= threshold AND value <> 0 AND wedge < 4",
