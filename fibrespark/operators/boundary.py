@@ -56,6 +56,10 @@ def association_flags(rows: DataFrame, threshold: float, min_distance: float | N
 BACK = ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))
 ON = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
+# The fitted parabola is sampled at so many places, and its slope is taken between these two.
+SLOPE_STEPS = 50
+SLOPE_BETWEEN = (23, 25)
+
 
 def outline_slopes(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, points: int = OUTLINE_POINTS) -> np.ndarray:
     """Slope in degrees [0, 180), from the row axis, at each wanted index of an outline; NaN where too few points touch.
@@ -93,9 +97,10 @@ def outline_slopes(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, point
             slopes[n] = rough
             continue
         fit = np.polynomial.Polynomial.fit(over, value, 2)
-        line = np.linspace(over[0], over[-1], 50)
-        a, b = fit(line[22]), fit(line[24])
-        step = line[24] - line[22]
+        line = np.linspace(over[0], over[-1], SLOPE_STEPS)
+        before, after = SLOPE_BETWEEN
+        a, b = fit(line[before]), fit(line[after])
+        step = line[after] - line[before]
         rise, run = (b - a, step) if over is x else (step, b - a)
         slopes[n] = np.degrees(np.arctan2(rise, run)) % 180
     return slopes

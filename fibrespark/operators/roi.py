@@ -54,7 +54,7 @@ def region_properties(pixels: DataFrame) -> DataFrame:
 def roi_alignment(fibers: DataFrame, points: DataFrame, height: int, width: int, threshold: float | None = 100.0, origin: int = 0, slopes: bool = True) -> DataFrame:
     """One row per region and fiber within the threshold of its outline (every fiber, at the outline's first point and without a distance, if the threshold is None).
 
-    angle_to_boundary_edge, angle_to_boundary_center (fiber to the region's axis), angle_to_center_line (axis to the line between the centres), fiber
+    angle_to_boundary_edge, angle_to_boundary_center (to the region's axis), angle_to_center_line (to the line between the centres), all of the fiber; fiber
     centre and angle, distance and boundary point. Region properties are computed once per region and joined.
     """
     f = fibers.select("image_id", "fiber_id", F.col("center_row").cast("double"), F.col("center_col").cast("double"), F.col("angle").cast("double"))
@@ -71,7 +71,7 @@ def roi_alignment(fibers: DataFrame, points: DataFrame, height: int, width: int,
     props = region_properties(polygon_mask(points, height, width))
     out = near.join(props, ["image_id", "roi_id"], "left")
     line = centers_line(F.col("center_row") - F.col("roi_row"), F.col("center_col") - F.col("roi_col"))
-    out = out.withColumns({"angle_to_boundary_center": fold90(F.col("angle"), F.col("orientation")), "angle_to_center_line": fold90(F.col("orientation"), line)})
+    out = out.withColumns({"angle_to_boundary_center": fold90(F.col("angle"), F.col("orientation")), "angle_to_center_line": fold90(F.col("angle"), line)})
     edge = ["angle_to_boundary_edge"] if slopes else []
     return out.select(
         "image_id", "roi_id", "fiber_id", *edge, "angle_to_boundary_center", "angle_to_center_line", F.col("center_row").alias("fiber_center_row"), F.col("center_col").alias("fiber_center_col"),

@@ -251,7 +251,7 @@ _LINE = """ral AS (SELECT n.image_id, n.roi_id, n.fiber_id, center_row, center_c
     CASE WHEN t < 0 THEN -t ELSE 180 - t END AS line FROM (SELECT n.*, orientation, CASE WHEN center_col <> roi_col THEN degrees(atan((center_row - roi_row) / (center_col - roi_col))) WHEN center_row > roi_row THEN 90.0 WHEN center_row < roi_row THEN -90.0 END AS t
       FROM (SELECT f.image_id, p.roi_id, f.fiber_id, f.center_row, f.center_col, f.angle, min((sqrt(pow(center_row - row, 2) + pow(center_col - col, 2)), seq, row, col)) AS m FROM fibers f JOIN points p USING (image_id) GROUP BY ALL) n
       JOIN props USING (image_id, roi_id) WHERE m[1] <= 40.0) n),
-rdet AS (SELECT *, CASE WHEN abs(angle - orientation) > 90 THEN 180 - abs(angle - orientation) ELSE abs(angle - orientation) END AS to_center, CASE WHEN abs(orientation - line) > 90 THEN 180 - abs(orientation - line) ELSE abs(orientation - line) END AS to_line FROM ral)"""
+rdet AS (SELECT *, CASE WHEN abs(angle - orientation) > 90 THEN 180 - abs(angle - orientation) ELSE abs(angle - orientation) END AS to_center, CASE WHEN abs(angle - line) > 90 THEN 180 - abs(angle - line) ELSE abs(angle - line) END AS to_line FROM ral)"""
 _KEEP = """top AS (SELECT image_id, max(value) AS top, count(*) AS n FROM coeffs GROUP BY image_id),
 binned AS (SELECT image_id, top, n, CASE WHEN top > 0 THEN least(100, floor(value / (top / 100) + 0.5)) ELSE 0 END AS bin, count(*) AS c FROM coeffs JOIN top USING (image_id) GROUP BY ALL),
 run AS (SELECT *, sum(c) OVER (PARTITION BY image_id ORDER BY bin) AS upto FROM binned),
