@@ -122,7 +122,7 @@ def pixels_of(images: DataFrame) -> DataFrame:
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, seq, line): lines in their order within each file. Files are read whole: outlines are small, and there may be many."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
     return files.select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("seq", "line"))
 
 
