@@ -32,7 +32,7 @@ from .common import written
 LEAST_PAGES = 4
 LEAST_SHARE = 0.01
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)|</?[a-zA-Z][^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([a-zA-Z-]+)""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
@@ -51,6 +51,7 @@ NAMED = re.compile(
     r"breadcrumb\w*|footer\w*|masthead|topbar|comment\w*|disqus\w*|replies|reply|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|toolbar|pagination|pager|login|signup|search\w*|skip)$"
 )
 HEADER_NAMED = re.compile(r"^(?:header\w*|banner)$")
+LAYOUT = frozenset("has layout main no page site with without".split())
 BREAK = None
 
 
@@ -75,9 +76,12 @@ def _says_no(tag: str, raw: str, in_article: bool) -> bool:
     a = _attributes(raw)
     if "hidden" in a or a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    names = re.split(r"[\s_-]+", f"{a.get('class', '')} {a.get('id', '')}".lower())
-    # a name of several parts ("post-comments") is judged by each; an article's own wrapper ("with-sidebar") is saved since it holds the article
-    return any(NAMED.match(n) or not in_article and HEADER_NAMED.match(n) for n in names if n)
+    # a name of several parts ("post-comments") is judged by each, unless it describes a layout ("page-with-sidebar")
+    for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if not LAYOUT.intersection(parts) and any(NAMED.match(p) or not in_article and HEADER_NAMED.match(p) for p in parts):
+            return True
+    return False
 
 
 class Page:
