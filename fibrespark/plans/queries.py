@@ -164,7 +164,9 @@ def map_gaussian(spark: SparkSession, d: str) -> DataFrame:
 
 
 def map_processed(spark: SparkSession, d: str) -> DataFrame:
-    return heatmap.processed_map(_raw(spark, d), SIDE, SIDE)
+    """Pixels and grey levels of each colour class of the finished maps."""
+    done = heatmap.processed_map(_raw(spark, d), SIDE, SIDE).withColumn("color", heatmap.colour(F.col("value"), False))
+    return done.groupBy("image_id", "color").agg(F.count(F.lit(1)).alias("pixels"), F.sum("value").alias("levels"))
 
 
 def overlay_segments(spark: SparkSession, d: str) -> DataFrame:
