@@ -6,12 +6,12 @@
    32 minhashes make 120 tables of 4: about the square root of what 120 separate tables would compute. Two sets of
    similarity 0.75 meet in a table unless fewer than two collections agree: 4 in 100,000 at exactly 0.75, far fewer above.
    Collections held by one class alone can't meet and are dropped before keys are formed.
-3. In each table key every class is compared with the key's first class only. Links are confirmed on the full sets and contracted to
-   components. Keys whose classes are in one component by then are done; that settles groups of near copies without
-   listing their pairs.
-4. Classes of the other keys are joined exactly by prefix filter: of its shingles in order of rarity among these classes, a class sends the
-   first n - ceil(0.75 n) + 1; sets of similarity 0.75 share one of them. Pairs in different components are confirmed on the
-   full sets. So a frequent passage, which fills tables but isn't rare, makes no pairs.
+3. Each class is compared with the first class (smallest id) of its table keys: with one, then with up to ``FIRST_CENTERS`` where that leaves
+   components apart. Links are confirmed on the full sets and contracted. Keys whose classes are in one component by then are done; that
+   settles groups of near copies without listing their pairs.
+4. What is left is joined exactly by prefix filter: shingles in order of rarity among these classes, sets of similarity 0.75 share one of their first ones, and
+   the place of the match bounds what can still follow. Pairs in different components are confirmed on the full sets. So a frequent
+   passage, which fills tables but isn't rare, makes no pairs.
 
 Null or blank text: empty set, linked with nothing, a component of its own id. Null id: null component unless linked with an id; ids are
 compared without nulls. Repeated rows fall into one class. Empty table: empty result. Further columns ride in a struct.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, written
@@ -35,6 +35,8 @@ WORDS = 5
 SIMILAR = 75  # of 100
 COLLECTIONS = 16
 PER_COLLECTION = 2
+#: First classes that a class is compared with before the rest is joined by prefixes.
+FIRST_CENTERS = 4
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -114,6 +116,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return p.where(100 * both >= similar * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) whose ends aren't in one component."""
+    ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    joined = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (cid, root) in different components that may be similar enough, by prefixes of the rarest shingles and their places.
+
+    Of two sets with similarity t the smaller has one of its first n - ceil(2t / (1 + t) n) + 1 shingles among the first m - ceil(t m) + 1 of the larger,
+    and the first such match leaves enough shingles after it in both.
+    """
+    shingles = rest.join(sets, "cid").select("cid", "root", F.size("set").cast("long").alias("n"), F.explode("set").alias("s"))
+    rarity = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a shingle of one class matches nothing, but keeps its place before the others
+    common = shingles.join(rarity, "s").groupBy("cid", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own"))
+    placed = common.select("cid", "root", "n", (F.col("n") - F.size("own")).alias("before"), F.posexplode("own").alias("p", "x"))
+    placed = placed.select("cid", "root", "n", (F.col("before") + F.col("p")).alias("p"), F.col("x.s").alias("s"))
+    least = lambda up, down: F.floor((up + (down - 1)) / F.lit(float(down)))  # noqa: E731  ceil(up / down)
+    small = placed.where(F.col("p") <= F.col("n") - least(2 * similar * F.col("n"), 100 + similar))
+    large = placed.where(F.col("p") <= F.col("n") - least(similar * F.col("n"), 100)).toDF("b", "rb", "m", "q", "s2")
+    both = (
+        (F.col("s") == F.col("s2")) & (F.col("root") != F.col("rb")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("cid") < F.col("b")))
+        & (100 * F.col("n") >= similar * F.col("m"))
+        & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= least(similar * (F.col("n") + F.col("m")), 100 + similar))
+    )
+    return small.join(large, both).select(F.col("cid").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, similar: int, collections: int, per: int) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows has _id, text_key, n and cid (class) per input row; roots has (node, root) per linked class."""
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("text_key"))
@@ -133,32 +165,38 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     per_class = repeated.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("own")).where(F.size("own") > 1)  # at most 16
     pairs_of = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(x["c"], x["h"], y["c"], y["h"]))))
     tables = per_class.select("cid", F.explode(pairs_of).alias("key"))
-    first = tables.groupBy("key").agg(F.min("cid").alias("center"), F.max("cid").alias("last")).where("center <> last").select(F.col("key").alias("k2"), "center")
-    keyed = written(tables.join(first, F.col("key") == F.col("k2")).select("key", "cid", "center"), "minhash-tables")
+    # the first class of a key is the one with the smallest id: of near copies most often what the others were made from
+    ids = classes.select("cid", F.coalesce("i", F.lit(LAST_ID)).alias("i"))
+    tables = tables.join(ids, "cid")
+    first = tables.groupBy("key").agg(F.min(F.struct("i", "cid")).alias("f"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select(F.col("key").alias("k2"), "f")
+    keyed = written(tables.join(first, F.col("key") == F.col("k2")).select("key", "cid", F.col("f.cid").alias("center"), F.col("f.i").alias("center_i")), "minhash-tables")
 
     # sets of the classes that meet another
     wanted = keyed.select("cid").distinct().join(classes.select("cid", "i", "k"), "cid")
     texts = base.join(wanted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).select("cid", "_text")
     sets = written(_sets(texts, words).groupBy("cid").agg(F.first("set").alias("set")), "minhash-sets")
 
-    stars = written(keyed.where("cid <> center").select(F.col("cid").alias("a"), F.col("center").alias("b")).distinct(), "minhash-stars")
-    links = written(_confirmed(stars, sets, similar), "minhash-links")
+    # each class is compared with the first classes of its keys: with one, and where that leaves components apart, with the next ones
+    order = Window.partitionBy("a").orderBy("center_i", "b")
+    stars = keyed.where("cid <> center").groupBy(F.col("cid").alias("a"), F.col("center").alias("b")).agg(F.min("center_i").alias("center_i"))
+    stars = written(stars.withColumn("r", F.row_number().over(order)).select("a", "b", "r"), "minhash-stars")
+    links = written(_confirmed(stars.where("r = 1").select("a", "b"), sets, similar), "minhash-links")
     roots = components(links)
+    apart = written(_apart(stars.where("r > 1"), roots), "minhash-apart")
+    late = written(_confirmed(apart.where(F.col("r") <= FIRST_CENTERS).select("a", "b"), sets, similar), "minhash-links")
+    if not late.isEmpty():
+        links = links.unionByName(late)
+        roots = components(links)
 
-    # keys that still hold two components besides what their first class was compared with
+    # the rest: classes of keys in which others than the first are apart, and those not compared with the first
     rooted = keyed.where("cid <> center").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("key").alias("k2"))
-    rest = written(rooted.join(open_keys, F.col("key") == F.col("k2")).select("cid", "root").distinct(), "minhash-rest")
-    shingles = rest.join(sets, "cid").select("cid", "root", F.size("set").alias("n"), F.explode("set").alias("s"))
-    rarity = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = shingles.join(rarity, "s", "left").groupBy("cid", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("own"))
-    prefix = F.slice("own", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similar / F.lit(100.0)) + 1).cast("int"))
-    sent = ranked.select("cid", "root", F.explode(F.filter(prefix, lambda x: x["df"] > 1)).alias("p")).select("cid", "root", F.col("p.s").alias("s"))
-    other = sent.select(F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("s").alias("s2"))
-    more = sent.join(other, (F.col("s") == F.col("s2")) & (F.col("cid") < F.col("b")) & (F.col("root") != F.col("rb"))).select(F.col("cid").alias("a"), "b").distinct()
-    late = written(_confirmed(more, sets, similar), "minhash-late")
-    if not late.isEmpty():
-        roots = components(links.unionByName(late))
+    open_pairs = _apart(apart.where(F.col("r") > FIRST_CENTERS), roots)
+    rest = rooted.join(open_keys, F.col("key") == F.col("k2")).select("cid").unionByName(open_pairs.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
+    rest = written(rest.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), "minhash-rest")
+    final = written(_confirmed(_prefix_pairs(rest, sets, similar), sets, similar), "minhash-links")
+    if not final.isEmpty():
+        roots = components(links.unionByName(final))
     return signed.withColumn("cid", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key"))), roots
 
 

@@ -116,9 +116,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     a, b = lines.select(F.col("k").alias("a"), F.col("line").alias("la")), lines.select(F.col("k").alias("b"), F.col("line").alias("lb"))
     both = pairs.join(a, "a").join(b, "b")
-    swap = F.octet_length("la") < F.octet_length("lb")
-    both = both.select("a", "b", _bytes(F.when(swap, F.col("lb")).otherwise(F.col("la"))).alias("x"), _bytes(F.when(swap, F.col("la")).otherwise(F.col("lb"))).alias("y"))
-    return both.where((F.size("x") - F.size("y") <= edits) & (edit_distance(F.col("x"), F.col("y"), edits) <= edits)).select("a", "b")
+    longer = F.octet_length("la") >= F.octet_length("lb")
+    # bound once per pair: a filter over plain columns would be given the expression that splits a line, and split it at every byte
+    sides = F.struct(_bytes(F.when(longer, F.col("la")).otherwise(F.col("lb"))).alias("x"), _bytes(F.when(longer, F.col("lb")).otherwise(F.col("la"))).alias("y"))
+    near = F.abs(F.octet_length("la") - F.octet_length("lb")) <= edits
+    return both.where(near & (_bind(sides, lambda s: edit_distance(s["x"], s["y"], edits)) <= edits)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, edits: int, least_bytes: int) -> DataFrame:
