@@ -10,7 +10,7 @@ class (lines reachable by links) occurs earlier, in the order of (document id, l
    length n - edits ... n the substrings of a line that can be that segment under the multi-match-aware bounds. Length and segment number are part of the hash.
 3. Lines that probe a segment are compared with the first line that has it. Where several lines have it, lines that are not in one
    component after that are compared as well. Lines that have one segment in common and end up linked never list their pairs.
-4. Candidates are verified with a banded bit-parallel edit distance: a fold over one line's bytes in which the band of 2 * edits + 1 rows is the bits of an integer.
+4. Candidates of which more than ``edits`` pieces differ can't be near and go; the others are verified with a banded bit-parallel edit distance: a fold over one line's bytes in which the band of 2 * edits + 1 rows is the bits of an integer.
 
 Null text: no lines. Null ids come after all others. Rows equal in id and text are one document: they keep the same lines.
 Very long lines: segments and bands grow linearly. Empty table: empty result. Further columns ride in a struct.
@@ -26,6 +26,8 @@ from .components import components
 
 EDITS = 2
 LEAST_BYTES = 24
+#: Pieces of a line that are looked up in the other before the distance is computed.
+PIECES = 8
 #: Lines to verify are found by a broadcast of their keys up to this many, by a shuffle of all lines beyond.
 BROADCAST_KEYS = 1_000_000
 
@@ -113,6 +115,18 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(wanted) if small else wanted, "k").groupBy("k").agg(F.first("line").alias("line"))
 
 
+def _pieces_agree(x: Column, y: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of PIECES even pieces of y (binary) occur in x within ``edits`` bytes of their place: an edit changes one piece at most."""
+    m = F.octet_length(y)
+    changed = []
+    for i in range(PIECES):
+        start, end = F.floor(m * i / PIECES).cast("int"), F.floor(m * (i + 1) / PIECES).cast("int")
+        first = F.greatest(F.lit(1), start + 1 - edits)
+        around = F.substring(x, first, end + edits - first + 1)
+        changed.append(F.when(F.contains(around, F.substring(y, start + 1, end - start)), 0).otherwise(1))
+    return sum(changed[1:], changed[0]) <= edits
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     a, b = lines.select(F.col("k").alias("a"), F.col("line").alias("la")), lines.select(F.col("k").alias("b"), F.col("line").alias("lb"))
     both = pairs.join(a, "a").join(b, "b")
@@ -120,6 +134,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     # bound once per pair: a filter over plain columns would be given the expression that splits a line, and split it at every byte
     sides = F.struct(_bytes(F.when(longer, F.col("la")).otherwise(F.col("lb"))).alias("x"), _bytes(F.when(longer, F.col("lb")).otherwise(F.col("la"))).alias("y"))
     near = F.abs(F.octet_length("la") - F.octet_length("lb")) <= edits
+    near = near & _pieces_agree(F.when(longer, F.col("la")).otherwise(F.col("lb")).cast("binary"), F.when(longer, F.col("lb")).otherwise(F.col("la")).cast("binary"), edits)
     return both.where(near & (_bind(sides, lambda s: edit_distance(s["x"], s["y"], edits)) <= edits)).select("a", "b")
 
 
