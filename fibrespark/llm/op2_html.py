@@ -4,11 +4,13 @@
    a hash of the page's own main text.
 2. Spark counts, per host and subtree hash, on how many pages with different main texts the subtree occurs, so copies of one article don't make its
    parts look like a template. Subtrees on at least ``least_pages`` such pages, and ``least_share`` of the host's, are the host's template.
+   Inside an article a subtree that isn't mostly links must be on ``often_share`` of the host's.
 3. Pages are joined with the template subtrees they hold (a bounded list each), those are deleted, and the main text is written.
 
 What is main text besides: scripts, styles, forms, menus, footers, sidebars and other elements that say what they are by tag, role, class
 or id are left out; if a page marks its article (or main part), only that is kept. Paragraphs, headings, quotations, tables and the like
-inside the article are never template: a licence line that many articles share is part of each. Elements that hold the article are never deleted.
+inside the article are never template by themselves: a licence line that many articles share is part of each; a div, section or list that recurs is,
+with what it holds. Elements that hold the article are never deleted.
 
 Blocks are block-level elements; white space inside a block becomes one space (``<br>`` is such white space), blocks are joined by a line feed.
 Character references are decoded after markup is split. Broken markup: unclosed elements end where HTML says or with the page.
@@ -31,6 +33,7 @@ from .common import written
 
 LEAST_PAGES = 4
 LEAST_SHARE = 0.01
+OFTEN_SHARE = 0.2
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)|</?[a-zA-Z][^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([a-zA-Z-]+)""")
@@ -85,10 +88,10 @@ def _says_no(tag: str, raw: str, in_article: bool) -> bool:
 
 
 class Page:
-    """A page read with the hashes of its host's template (none on the first reading)."""
+    """A page read with the hashes of its host's template, and of its part found often (none on the first reading)."""
 
-    def __init__(self, source: str, template: frozenset[int] = frozenset()):
-        self.template = template
+    def __init__(self, source: str, template: frozenset[int] = frozenset(), often: frozenset[int] = frozenset()):
+        self.template, self.often = template, often
         self.out: list[str | None] = []
         self.saved: dict[str, list[str | None]] = {"article": [], "main": []}
         self.subtrees: set[int] = set()
@@ -174,12 +177,13 @@ class Page:
             parent.link_text += e.link_text
         marks = e.tag in ("article", "main") and not e.dropped and e.text
         deletable = e.tag in BLOCK and e.tag not in ("html", "body") and not e.holds_article and not marks
-        if deletable and parent.in_article:  # in an article only what is neither its content nor mostly text
-            deletable = e.tag not in CONTENT and 2 * e.link_text > e.text
+        if deletable and parent.in_article:  # in an article only what isn't its content
+            deletable = e.tag not in CONTENT
         if deletable and e.text:
             self.subtrees.add(h)
+        template = self.often if parent.in_article and 2 * e.link_text <= e.text else self.template
         own_drop = e.dropped and not parent.dropped
-        if (own_drop or deletable and h in self.template) and not e.holds_article:
+        if (own_drop or deletable and h in template) and not e.holds_article:
             del self.out[e.start :]
         elif marks and not any(x.tag == e.tag for x in self.stack):
             self.saved[e.tag] += [*self.out[e.start :], BREAK]
@@ -208,7 +212,7 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, often_share: float = OFTEN_SHARE) -> DataFrame:
     """One row per input row: id, url, text and n_chars (code points)."""
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"))
     base = base.withColumn("_host", F.xxhash64(host_of(F.col("_url")))).withColumn("_key", F.xxhash64("_url", "_html"))
@@ -228,18 +232,18 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
     read = written(read, "html-subtrees")
     texts = read.groupBy("_host", "main").agg(F.lit(1).alias("x")).groupBy("_host").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("_host", "h2")
     each = read.select("_host", "main", F.explode("own").alias("subtree")).distinct().groupBy("_host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    template = each.join(texts, F.col("_host") == F.col("h2")).where(F.col("n") >= least_share * F.col("of")).select(F.col("_host").alias("h3"), F.col("subtree").alias("s3"))
+    template = each.join(texts, F.col("_host") == F.col("h2")).where(F.col("n") >= least_share * F.col("of")).select(F.col("_host").alias("h3"), F.col("subtree").alias("s3"), (F.col("n") >= often_share * F.col("of")).alias("often"))
     template = written(template, "html-template")
     held = read.select("_host", "_key", F.explode("own").alias("subtree")).join(template, (F.col("_host") == F.col("h3")) & (F.col("subtree") == F.col("s3")))
-    lists = held.groupBy("_key").agg(F.collect_set("subtree").alias("gone")).withColumnRenamed("_key", "k2")  # at most a page's elements
-    joined = base.join(lists, F.col("_key") == F.col("k2"), "left").select("_id", "_url", "_html", "gone")
+    lists = held.groupBy("_key").agg(F.collect_set("subtree").alias("gone"), F.collect_set(F.when(F.col("often"), F.col("subtree"))).alias("often")).withColumnRenamed("_key", "k2")  # at most a page's elements
+    joined = base.join(lists, F.col("_key") == F.col("k2"), "left").select("_id", "_url", "_html", "gone", "often")
     kinds = {c: base.schema[c].dataType.simpleString() for c in ("_id", "_url")}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                texts = [Page(s, frozenset(g or ())).text() for s, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                texts = [Page(s, frozenset(g or ()), frozenset(o or ())).text() for s, g, o in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return joined.mapInArrow(write, f"`{id_col}` {kinds['_id']}, `{url_col}` {kinds['_url']}, text string, n_chars long")

@@ -139,6 +139,20 @@ def test_extraction(spark):
     assert op2_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in op2_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_inside_articles(spark):
+    notice = "<div>We thank all readers of this site.<p>Write to us.</p></div><section>By our staff</section>"
+    passage = "<section><p>A passage that four articles share</p></section>"
+    body = lambda k: f"<article><p>text number {k}</p><p>all rights reserved</p>{notice}{passage if k < 4 else ''}</article>"
+    got = extracted(spark, [(k, f"http://h.org/{k}", page(body(k))) for k in range(40)])
+    for k in range(40):
+        shared = "\nA passage that four articles share" if k < 4 else ""
+        assert got[k] == f"text number {k}\nall rights reserved{shared}"
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
