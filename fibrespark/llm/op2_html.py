@@ -12,6 +12,10 @@ or id are left out; if a page marks its article (or main part), only that is kep
 inside the article are never template by themselves: a licence line that many articles share is part of each; a div, section or list that recurs is,
 with what it holds. Elements that hold the article are never deleted.
 
+An article in a wrapper that is left out by its tag or name (a form around the page, "modal-open"), or one so named itself, is the page's article if no other
+is marked; if the page has more text outside of the wrapper, both are kept. Of several, those in the fewest wrappers count. Articles in elements
+that hold those of other pages (BOXED) are taken only if the page has no text else; in comments, asides, scripts and templates never.
+
 Blocks are block-level elements; white space inside a block becomes one space (``<br>`` is such white space), blocks are joined by a line feed.
 Character references are decoded after markup is split. Broken markup: unclosed elements end where HTML says or with the page.
 
@@ -53,6 +57,13 @@ NAMED = re.compile(
     r"^(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal|overlay|newsletter\w*|subscri\w*|sidebar\w*|sidenav|rail|nav|navbar\w*|navigation|menu\w*|"
     r"breadcrumb\w*|footer\w*|masthead|topbar|comment\w*|disqus\w*|replies|reply|respond|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|toolbar|pagination|pager|login|signup|search\w*|skip)$"
 )
+#: Elements left out whose articles are other pages' ...
+BOXED = re.compile(r"^(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|related\w*|recommend\w*|widget\w*|sidebar\w*|sidenav|rail|nav|navbar\w*|navigation|menu\w*|footer\w*)$")
+BOXED_TAGS = frozenset("nav footer button dialog menu".split())
+#: ... and none at all.
+COMMENT = re.compile(r"^(?:comment\w*|disqus\w*|replies|reply|respond)$")
+#: What an element left out counts: its articles are taken in the order of the sum, below NEVER.
+KEPT, WRAPPER, BOX, NEVER = 0, 1, 1_000, 1_000_000
 HEADER_NAMED = re.compile(r"^(?:header\w*|banner)$")
 LAYOUT = frozenset("has layout main no page site with without".split())
 BREAK = None
@@ -63,28 +74,47 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class _Element:
-    __slots__ = ("tag", "start", "dropped", "holds_article", "in_article", "parts", "text", "link_text")
+    __slots__ = ("tag", "start", "says_no", "drops", "holds_article", "in_article", "parts", "text", "link_text", "articles")
 
-    def __init__(self, tag: str, start: int, dropped: bool, in_article: bool):
-        self.tag, self.start, self.dropped, self.in_article = tag, start, dropped, in_article
+    def __init__(self, tag: str, start: int, says_no: int, drops: int, in_article: bool):
+        self.tag, self.start, self.says_no, self.drops, self.in_article = tag, start, says_no, drops, in_article
         self.holds_article, self.parts, self.text, self.link_text = False, [], 0, 0
+        self.articles: list[str | None] = []  # what stays if the element is left out
 
 
-def _says_no(tag: str, raw: str, in_article: bool) -> bool:
-    """Whether an element is none of the article by its tag or by what its attributes say."""
+def _says_no(tag: str, raw: str, in_article: bool) -> int:
+    """Whether an element is none of the article by its tag or by what its attributes say, and what that means for articles in it."""
+    no = KEPT
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if not raw or tag in ("html", "body"):
-        return False
+        no = WRAPPER if tag in ("form", "header") else BOX if tag in BOXED_TAGS else NEVER
+    if no == NEVER or not raw or tag in ("html", "body"):
+        return no
     a = _attributes(raw)
-    if "hidden" in a or a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
+    role = a.get("role", "").lower()
+    if role in ROLES:
+        no = max(no, NEVER if role == "complementary" else WRAPPER if role in ("form", "search", "banner") else BOX)
+    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+        no = max(no, BOX)
     # a name of several parts ("post-comments") is judged by each, unless it describes a layout ("page-with-sidebar")
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
         parts = [p for p in re.split(r"[_-]+", name) if p]
-        if not LAYOUT.intersection(parts) and any(NAMED.match(p) or not in_article and HEADER_NAMED.match(p) for p in parts):
-            return True
-    return False
+        if not LAYOUT.intersection(parts):
+            for p in parts:
+                if NAMED.match(p) or not in_article and HEADER_NAMED.match(p):
+                    no = max(no, NEVER if COMMENT.match(p) else BOX if BOXED.match(p) else WRAPPER)
+    return no
+
+
+def _blocks(tokens: list[str | None]) -> str:
+    blocks, block = [], []
+    for t in [*tokens, BREAK]:
+        if t is BREAK:
+            if words := "".join(block).split():
+                blocks.append(" ".join(words))
+            block = []
+        else:
+            block.append(t)
+    return "\n".join(blocks)
 
 
 class Page:
@@ -93,9 +123,9 @@ class Page:
     def __init__(self, source: str, template: frozenset[int] = frozenset(), often: frozenset[int] = frozenset()):
         self.template, self.often = template, often
         self.out: list[str | None] = []
-        self.saved: dict[str, list[str | None]] = {"article": [], "main": []}
+        self.saved: dict[str, dict[int, list[str | None]]] = {"article": {}, "main": {}}
         self.subtrees: set[int] = set()
-        self.stack = [_Element("", 0, False, False)]
+        self.stack = [_Element("", 0, KEPT, KEPT, False)]
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -145,8 +175,8 @@ class Page:
             self.out.append(BREAK)
         parent = self.stack[-1]
         in_article = parent.in_article or tag in ("article", "main")
-        dropped = parent.dropped or _says_no(tag, raw, parent.in_article)
-        self.stack.append(_Element(tag, len(self.out), dropped, in_article))
+        says_no = NEVER if parent.drops >= NEVER else _says_no(tag, raw, parent.in_article)
+        self.stack.append(_Element(tag, len(self.out), says_no, parent.drops + says_no, in_article))
 
     def _end_open(self, tags: set[str], scope: set[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -175,37 +205,45 @@ class Page:
             parent.parts.append(str(h))
             parent.text += e.text
             parent.link_text += e.link_text
-        marks = e.tag in ("article", "main") and not e.dropped and e.text
+        marks = outer = None
+        if e.tag in ("article", "main") and e.drops < NEVER and e.text:
+            outer = next((x for x in self.stack if x.tag in ("article", e.tag) and x.drops < NEVER), None)
+            marks = outer is None or outer.drops == e.drops  # not what an article leaves out
+        holds = marks and e.drops < BOX
         deletable = e.tag in BLOCK and e.tag not in ("html", "body") and not e.holds_article and not marks
         if deletable and parent.in_article:  # in an article only what isn't its content
             deletable = e.tag not in CONTENT
         if deletable and e.text:
             self.subtrees.add(h)
         template = self.often if parent.in_article and 2 * e.link_text <= e.text else self.template
-        own_drop = e.dropped and not parent.dropped
-        if (own_drop or deletable and h in template) and not e.holds_article:
+        if deletable and h in template:
             del self.out[e.start :]
-        elif marks and not any(x.tag == e.tag for x in self.stack):
-            self.saved[e.tag] += [*self.out[e.start :], BREAK]
-        if marks or e.holds_article:
+        if marks and outer is None:
+            self.saved[e.tag].setdefault(e.drops, []).extend([*self.out[e.start :], BREAK])
+        if holds:
+            e.articles = [BREAK, *self.out[e.start :], BREAK]
+        if e.says_no:
+            self.out[e.start :] = e.articles
+        if holds or e.holds_article:
             parent.holds_article = True
+            if parent.articles:
+                parent.articles += e.articles
+            else:
+                parent.articles = e.articles  # the element is done with it
         if e.tag in BLOCK:
             self.out.append(BREAK)
 
     def text(self) -> str:
         """Blocks of the article, else of the main part, else of the page."""
-        for tokens in (self.saved["article"], self.saved["main"], self.out):
-            blocks, block = [], []
-            for t in [*tokens, BREAK]:
-                if t is BREAK:
-                    if words := "".join(block).split():
-                        blocks.append(" ".join(words))
-                    block = []
-                else:
-                    block.append(t)
-            if blocks:
-                return "\n".join(blocks)
-        return ""
+        article, main = ({d: t for d, tokens in self.saved[tag].items() if (t := _blocks(tokens))} for tag in ("article", "main"))
+        if KEPT in article:
+            return article[KEPT]
+        page = main[KEPT] if KEPT in main else _blocks(self.out)
+        marked = article or main
+        least = min(marked, default=KEPT)
+        if KEPT < least < BOX and len(page) <= 2 * len(marked[least]) and (KEPT not in main or marked[least] in page):
+            return marked[least]
+        return page or marked.get(least, "")
 
 
 def host_of(url: Column) -> Column:

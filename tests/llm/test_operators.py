@@ -153,6 +153,31 @@ def test_template_inside_articles(spark):
         assert got[k] == f"text number {k}\nall rights reserved{shared}"
 
 
+def test_articles_in_wrappers():
+    article = "<article><p>inside</p><script>x</script><div class='post-comments'><p>nor this</p></div><form>f</form></article>"
+    inner = article.removeprefix("<article>").removesuffix("</article>")
+    teasers = "<div class='related'><article>a longer teaser of another page</article></div>"
+    cases = {
+        f"<form id='server'><label>sign in</label>{article}<p>x</p></form>": "inside",
+        f"<div class='modal-open'>{article}</div>": "inside",
+        f"<p>out</p><div class='search-wrapper'><main>{inner}</main></div>": "inside",
+        f"<article class='subscriber-content'>{inner}</article>": "inside",
+        f"<main id='search'>{inner}</main>": "inside",
+        f"<form>{teasers}{article}<div class='search-hits'><article>hit</article></div></form>": "inside",
+        f"{article}<form><article>of a form</article></form>{teasers}": "inside",
+        f"<main>first <div class='subscriber-content'>{article}</div></main>{teasers}": "inside",
+        f"<p>a page's own text, much longer</p><div class='modal'><b>x</b>{article}</div>": "a page's own text, much longer\ninside",
+        f"<main>own</main><div class='modal'>{article}</div>": "own",
+        f"<p>own</p>{teasers}": "own",
+        f"<div class='widget-area'>{article}</div>": "inside",
+        "<p>own</p><aside><article>no</article></aside><div class='comments'><article>no</article></div><template><article>no</article></template><article class='comment'>no</article>": "own",
+        "<aside><article>no</article></aside>": "",
+        "<article>a<div class='newsletter'><article>b</article></div></article>": "a",
+    }
+    for source, want in cases.items():
+        assert op2_html.Page(page(source)).text() == want, source
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
