@@ -4,7 +4,7 @@
    a hash of the page's own main text.
 2. Spark counts, per host and subtree hash, on how many pages with different main texts the subtree occurs, so copies of one article don't make its
    parts look like a template. Subtrees on at least ``least_pages`` such pages, and ``least_share`` of the host's, are the host's template.
-   Inside an article a subtree that isn't mostly links must be on ``often_share`` of the host's.
+   A subtree that isn't mostly links must be on ``often_share`` of the host's if it is inside an article or is or holds a paragraph, heading or other CONTENT.
 3. Pages are joined with the template subtrees they hold (a bounded list each), those are deleted, and the main text is written.
 
 What is main text besides: scripts, styles, forms, menus, footers, sidebars and other elements that say what they are by tag, role, class
@@ -74,11 +74,12 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class _Element:
-    __slots__ = ("tag", "start", "says_no", "drops", "holds_article", "in_article", "parts", "text", "link_text", "articles")
+    __slots__ = ("tag", "start", "says_no", "drops", "holds_article", "in_article", "parts", "text", "link_text", "content", "articles")
 
     def __init__(self, tag: str, start: int, says_no: int, drops: int, in_article: bool):
         self.tag, self.start, self.says_no, self.drops, self.in_article = tag, start, says_no, drops, in_article
         self.holds_article, self.parts, self.text, self.link_text = False, [], 0, 0
+        self.content = tag in CONTENT
         self.articles: list[str | None] = []  # what stays if the element is left out
 
 
@@ -205,6 +206,7 @@ class Page:
             parent.parts.append(str(h))
             parent.text += e.text
             parent.link_text += e.link_text
+            parent.content = parent.content or e.content
         marks = outer = None
         if e.tag in ("article", "main") and e.drops < NEVER and e.text:
             outer = next((x for x in self.stack if x.tag in ("article", e.tag) and x.drops < NEVER), None)
@@ -215,7 +217,7 @@ class Page:
             deletable = e.tag not in CONTENT
         if deletable and e.text:
             self.subtrees.add(h)
-        template = self.often if parent.in_article and 2 * e.link_text <= e.text else self.template
+        template = self.often if (parent.in_article or e.content) and 2 * e.link_text <= e.text else self.template
         if deletable and h in template:
             del self.out[e.start :]
         if marks and outer is None:

@@ -153,6 +153,15 @@ def test_template_inside_articles(spark):
         assert got[k] == f"text number {k}\nall rights reserved{shared}"
 
 
+def test_quoted_passages_are_no_template(spark):
+    quoted = "<p>a passage that four pages quote</p><div><p>and another in a div</p></div>"
+    often, bare = "<div><p>written for you every day</p></div>", "<div>a bare line</div>"
+    body = lambda k: f"<p>text number {k}</p>{often}{quoted + bare if k < 4 else ''}"
+    got = extracted(spark, [(k, f"http://q.org/{k}", page(body(k))) for k in range(100)])
+    for k in range(100):
+        assert got[k] == f"text number {k}" + ("\na passage that four pages quote\nand another in a div" if k < 4 else "")
+
+
 def test_articles_in_wrappers():
     article = "<article><p>inside</p><script>x</script><div class='post-comments'><p>nor this</p></div><form>f</form></article>"
     inner = article.removeprefix("<article>").removesuffix("</article>")
