@@ -1,10 +1,13 @@
 import hashlib
+import json
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -479,6 +482,52 @@ def test_token_counts(spark, name):
     assert op9_token_counts.token_counts(empty(spark), path).count() == 0
 
 
+@pytest.fixture(scope="module")
+def both_counters():
+    """Token counts of a list of texts by the operator's tiktoken counter and by the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        assert op9_token_counts._plain_byte_level(json.load(f))  # else both would be tokenizers
+    lib = Tokenizer.from_file(path)
+    return op9_token_counts.load_counter(path)[0], lambda texts: [len(x) for x in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def different(both_counters, texts):
+    fast, slow = both_counters
+    return [t for t, a, b in zip(texts, fast(texts), slow(texts), strict=True) if a != b]
+
+
+def test_both_libraries_on_a_whole_table(both_counters):
+    folder = os.environ.get("TOKENS_SF_DIR", "/root/testdata/sf0.01")
+    if not os.path.exists(f"{folder}/documents.parquet"):
+        pytest.skip("no documents table")
+    n = 0
+    for batch in pq.ParquetFile(f"{folder}/documents.parquet").iter_batches(500, columns=["text"]):
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        assert not different(both_counters, texts)
+        n += len(texts)
+    assert n
+
+
+def test_both_libraries_on_every_code_point(both_counters):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        part = points[k : k + 50_000]
+        for form in ("{}", "a{}b", "1{}2", " {} ", "a {}{}.\n"):
+            assert not different(both_counters, [form.replace("{}", c) for c in part]), form
+
+
+def test_both_libraries_on_every_token(both_counters):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        ranks = op9_token_counts._plain_byte_level(json.load(f))
+    tokens = [t for b in ranks if (t := b.decode("utf-8", "ignore"))]
+    rnd = random.Random(9)
+    assert not different(both_counters, tokens)
+    assert not different(both_counters, ["".join(rnd.choices(tokens, k=8)) for _ in range(50_000)])
+
+
 @pytest.mark.parametrize("block,group", [(16 << 20, 250_000), (500, 40)])
 def test_sentencepiece(spark, block, group):
     path = public_tokenizers.path("piece_bpe_32k.model")
