@@ -174,7 +174,6 @@ def reconstruct_images(images: DataFrame, keep: float, scale_from_finest: int =
 
     def run(batches):
         for batch in batches:
-            out = []
             for row in batch.itertuples():
                 made = forward(_image(row), None, coarse_wedges)
                 scale = len(made) - 1 - scale_from_finest
@@ -184,7 +183,7 @@ def reconstruct_images(images: DataFrame, keep: float, scale_from_finest: int =
                 over = np.flatnonzero(np.cumsum(counts) > (1 - keep) * len(values))
                 least = over[0] * step if len(over) else np.inf
                 kept = [[np.where(np.abs(c) >= least, c, 0) if j == scale else np.zeros_like(c) for c in level] for j, level in enumerate(made)]
-                out.append((row.image_id, int(row.height), int(row.width), inverse(kept, int(row.height), int(row.width), coarse_wedges).astype(np.float32).ravel()))
-            yield pd.DataFrame(out, columns=["image_id", "height", "width", "pixels"])
+                pixels = inverse(kept, int(row.height), int(row.width), coarse_wedges).astype(np.float32).ravel()
+                yield pd.DataFrame([(row.image_id, int(row.height), int(row.width), pixels)], columns=["image_id", "height", "width", "pixels"])
 
     return images.select("image_id", "height", "width", "pixels").mapInPandas(run, f"image_id {kind}, height int, width int, pixels array<float>")

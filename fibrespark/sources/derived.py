@@ -71,7 +71,7 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("image_id", "wedge", F.shiftright(k, 2).alias("k1"), F.shiftright(k, 1).bitwiseAND(F.lit(1)).alias("k2"), k.bitwiseAND(F.lit(1)).alias("k3"), "value")
 
 
-def pictures(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
+def pictures(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
     """A picture per image of fibers (image_id, height, width, pixels): each fiber a short bright line, on a plane scaled to ``side``."""
     f = fibers(spark, sf_dir)
     scale = side / SIDE
@@ -79,7 +79,9 @@ def pictures(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
     at = f.select("image_id", "angle", "center_row", "center_col", step)
     at = at.select("image_id", F.floor(F.col("center_row") * scale - F.col("t") * F.sin(F.radians("angle")) + 0.5).alias("r"), F.floor(F.col("center_col") * scale + F.col("t") * F.cos(F.radians("angle")) + 0.5).alias("c"))
     lit = at.where(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1)).groupBy("image_id", "r", "c").agg(F.count(F.lit(1)).cast("double").alias("v"))
-    cells = lit.groupBy("image_id").agg(F.collect_list(F.struct((F.col("r") * side + F.col("c")).alias("k"), "v")).alias("cells"))  # at most side * side
-    values = F.map_from_entries("cells")
-    pixels = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long")), lambda k: F.coalesce(F.try_element_at(values, k), F.lit(0.0)))
+    cells = lit.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((F.col("r") * side + F.col("c")).alias("k"), "v"))).alias("cells"))  # at most side * side
+    dark = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda i: F.coalesce(F.get("cells", i - 1)["k"], F.lit(-1))
+    runs = F.transform("cells", lambda x, i: F.concat(dark(x["k"] - before(i) - 1), F.array(x["v"])))
+    pixels = F.concat(F.flatten(runs), dark(F.lit(side * side - 1) - F.element_at("cells", -1)["k"]))
     return cells.select("image_id", F.lit(side).alias("height"), F.lit(side).alias("width"), pixels.alias("pixels"))

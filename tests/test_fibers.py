@@ -207,3 +207,18 @@ def test_area_samples_equal_brute_force(spark):
     third = sorted((c, r) for _, _, _, r, c in rows)[::3]
     hit = sum(any(math.dist((i % 100, i // 100), (r, c)) <= 10 for c, r in third) for i in range(0, 10000, 5))
     assert got == hit * 5
+
+
+def test_gaussian_of_the_default_width_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    image = np.where(rng.random((30, 41)) < 0.1, rng.integers(1, 256, (30, 41)), 0).astype(float)
+    rows = [(1, int(r), int(c), float(image[r, c])) for r, c in zip(*np.nonzero(image))]
+    k = np.exp(-0.5 * (np.arange(-16, 17) / 4.0) ** 2)
+    k /= k.sum()
+    want = np.pad(image, 16, mode="edge")
+    want = np.apply_along_axis(np.convolve, 0, want, k, "valid")
+    want = np.apply_along_axis(np.convolve, 1, want, k, "valid")
+    got = np.zeros_like(want)
+    for r in heatmap.gaussian_filter(spark.createDataFrame(rows, "image_id long, row int, col int, value double"), 30, 41).collect():
+        got[r.row, r.col] = r.value
+    assert np.abs(got - want).max() < 1e-9

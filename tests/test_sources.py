@@ -3,8 +3,10 @@ import struct
 import numpy as np
 import pytest
 
+from fibrespark.operators import curvelet
+from fibrespark.plans import queries
 from fibrespark.plans.pipeline import AnalysisParameters
-from fibrespark.sources import readers
+from fibrespark.sources import derived, readers
 from fibrespark.streaming.images import analyze_stream, running_histogram, watch_images
 
 
@@ -75,3 +77,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.image_id, r.bin): r["count"] for r in spark.sql("SELECT * FROM counts").collect()} == {(0, 2): 2, (1, 19): 1}
+
+
+def test_pictures_are_whole_images(spark, tmp_path):
+    rows = [(k, 1000.0 + 37.13 * k) for k in range(1, 60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    want = np.zeros((512, 512))
+    for f in derived.fibers(spark, str(tmp_path)).collect():
+        for t in range(-3, 4):
+            r, c = f.center_row - t * np.sin(np.radians(f.angle)), f.center_col + t * np.cos(np.radians(f.angle))
+            r, c = int(np.floor(r + 0.5)), int(np.floor(c + 0.5))
+            if 0 <= r < 512 and 0 <= c < 512:
+                want[r, c] += 1
+    [p] = derived.pictures(spark, str(tmp_path)).collect()
+    assert (p.image_id, p.height, p.width) == (0, 512, 512) and (np.array(p.pixels).reshape(512, 512) == want).all()
+    level = curvelet.forward(want)[-2]
+    got = {r.wedge: r for r in queries.curvelet_coefficients(spark, str(tmp_path)).collect()}
+    assert len(got) == len(level) == 64
+    for k, c in enumerate(level):
+        assert got[k].n == c.size and got[k].energy == pytest.approx((np.abs(c) ** 2).sum(), abs=1e-5)
