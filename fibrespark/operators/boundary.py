@@ -1,7 +1,7 @@
 """Fibers against tissue boundaries: nearest points, distances, flags, outline slopes and relative angles.
 
 Boundary points: image_id, roi_id, seq, row, col (closed outlines, neighbours in seq touch). Distances are to the nearest point, ties by (roi_id, seq).
-Points are met through grid cells of the largest distance that matters, where there is one; else per image.
+Points are met per image: every fiber with every point of its image, aggregated as they are joined.
 """
 
 from __future__ import annotations
