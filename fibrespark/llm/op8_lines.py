@@ -4,13 +4,18 @@ Lines are the pieces of a text between line feeds; lines without a word are kept
 if both have at least ``least_bytes`` bytes and one becomes the other by at most ``edits`` edits of a byte (UTF-8). A line is removed if its
 class (lines reachable by links) occurs earlier, in the order of (document id, line number).
 
-1. Each line becomes a 128-bit key, its length and 64-bit hashes of its segments and probes. Equal lines are one class with
-   its first occurrence (grouped aggregate, partial on the map side): a hot line costs one row a task.
+1. Each line becomes a 128-bit key, written once with its place. Copies of a hot line fall together on the map side wherever lines are counted.
 2. Segments: a line of length n is cut into edits + 1 even segments; a line within ``edits`` edits holds one of them unchanged. Probes: for each
    length n - edits ... n the substrings of a line that can be that segment under the multi-match-aware bounds. Length and segment number are part of the hash.
-3. Lines that probe a segment are compared with the first line that has it. Where several lines have it, lines that are not in one
-   component after that are compared as well. Lines that have one segment in common and end up linked never list their pairs.
-4. Candidates of which more than ``edits`` pieces differ can't be near and go; the others are verified with a banded bit-parallel edit distance: a fold over one line's bytes in which the band of 2 * edits + 1 rows is the bits of an integer.
+   Hashes under which only one line is found are dropped before anything is joined.
+3. Lines that probe a segment are compared with its center, the most frequent line that has it. A segment whose lines are in one component after that is
+   done, so that groups of near copies never list their pairs.
+4. A segment whose lines are still apart (a common opening, a passage in which each document changed other words) doesn't list its pairs either. Its lines are placed
+   by how far they agree with the center: without an edit (``none``) and within ``edits`` edits (``most``). Lines within ``edits`` edits of each other have
+   overlapping ranges none ... most, so only lines that left the center at the same place meet, on cells of that place, and only if their counts of bytes allow it.
+   Lines that meet more than ``LISTED`` others in a cell are cut into more segments (``FINER``), of which all but ``edits`` must agree, and go through 3 and 4 again.
+5. Candidates whose counts of bytes differ by more than edits explain, or of which more than ``edits`` pieces differ, can't be near and go; the others are verified with a banded
+   bit-parallel edit distance: a fold over one line's bytes in which the band of 2 * edits + 1 rows is the bits of an integer.
 
 Null text: no lines. Null ids come after all others. Rows equal in id and text are one document: they keep the same lines.
 Very long lines: segments and bands grow linearly. Empty table: empty result. Further columns ride in a struct.
@@ -18,18 +23,28 @@ Very long lines: segments and bands grow linearly. Empty table: empty result. Fu
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, has_word, written
+from .common import LAST_ID, SPACE_CHARS, has_word, written
 from .components import components
 
 EDITS = 2
 LEAST_BYTES = 24
 #: Pieces of a line that are looked up in the other before the distance is computed.
 PIECES = 8
-#: Lines to verify are found by a broadcast of their keys up to this many, by a shuffle of all lines beyond.
-BROADCAST_KEYS = 1_000_000
+#: A line from its first word on.
+WORDED_LINE = r"[^\x20\x09-\x0D][^\n]*"
+#: Cells of a line's length in which lines of a crowded segment meet.
+CELLS = 32
+#: Classes of bytes that are counted before two lines are compared.
+CLASSES = 16
+#: A line lists its pairs with at most so many lines of a cell, unless it is cut into the last of FINER.
+LISTED = 256
+#: Segments a line is cut into after the first edits + 1: twice and four times these for 2 edits.
+FINER = (2, 4)
 
 
 def _bind(value: Column, body) -> Column:
@@ -37,29 +52,54 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(first byte, length) of segment i (from 0) of a line of n bytes; the last ones are longer by one."""
-    short = F.floor(n / (edits + 1)).cast("int")
-    longer = n - short * (edits + 1)
-    before = F.greatest(F.lit(0), longer - (edits + 1 - i))
-    return short * i + before + 1, short + F.when(F.lit(i) >= F.lit(edits + 1) - longer, 1).otherwise(0)
-
-
-def probes(data: Column, n: Column, edits: int) -> list[tuple[Column, bool]]:
-    """(hash, whether it is a segment of the line's own) of everything the line sends."""
-    out: list[tuple[Column, bool]] = []
-    for shorter in range(edits + 1):
-        length = n - shorter
-        for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                found = F.xxhash64(length, F.lit(i), F.substring(data, start + shift, size))
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= n)
-                out.append((F.when(inside, found), shorter == 0 and shift == 0))
+def _patterns(edits: int, pieces: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(bytes fewer, runs (first segment, segment after the last, shift)) of everything a line of ``pieces`` segments sends: all but ``edits`` segments unchanged.
+
+    A gap of g segments between two runs moves what follows by g bytes at most; what ends with the line is moved by the difference of lengths.
+    """
+    out = []
+    for fewer in range(edits + 1):
+        for changed in combinations(range(pieces), edits):
+            kept = [k for k in range(pieces) if k not in changed]
+            runs: list[list[int]] = []
+            for k in kept:
+                if runs and runs[-1][1] == k:
+                    runs[-1][1] = k + 1
+                else:
+                    runs.append([k, k + 1])
+            moved = [[0]]
+            for n, (start, _) in enumerate(runs):
+                gap = start - (runs[n - 1][1] if n else 0)
+                moved = [[*m, m[-1] + d] for m in moved for d in range(-gap, gap + 1)]
+            last = pieces - runs[-1][1]
+            out += [(fewer, [(i, j, shift) for (i, j), shift in zip(runs, m[1:])]) for m in moved if abs(fewer - m[-1]) <= last]
     return out
 
 
+def probed(lines: DataFrame, edits: int, pieces: int) -> DataFrame:
+    """lines (..., line) to (..., key, own): a row for everything a line sends, and whether it is made of the line's own segments.
+
+    One expression over a short list of patterns, exploded; written out it would be a method too long to be compiled.
+    """
+    rows = []
+    names: dict[tuple, int] = {}
+    for fewer, runs in _patterns(edits, pieces):
+        name = names.setdefault(tuple((i, j) for i, j, _ in runs), len(names))
+        parts = [x for run in [*runs, *[(0, 0, 0)] * (edits + 1 - len(runs))] for x in run]
+        rows.append([fewer, name, *parts])
+    fields = ["fewer", "name", *[f"{c}{r}" for r in range(edits + 1) for c in ("i", "j", "shift")]]
+    patterns = F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'_{f}', {x}" for f, x in zip(fields, row)) + ")" for row in rows) + ")")
+    sent = lines.select(*[c for c in lines.columns if c != "line"], F.octet_length("line").alias("_n"), F.col("line").cast("binary").alias("_data"), F.inline(patterns))
+    size = F.col("_n") - F.col("_fewer")
+    cut = lambda k: F.floor(size / pieces).cast("int") * k + F.greatest(F.lit(0), size % pieces - pieces + k)
+    runs = [(cut(F.col(f"_i{r}")), cut(F.col(f"_j{r}")), F.col(f"_shift{r}")) for r in range(edits + 1)]
+    inside, own = F.lit(True), F.col("_fewer") == 0
+    for first, end, shift in runs:
+        inside, own = inside & (first + shift >= 0) & (end + shift <= F.col("_n")), own & (shift == 0)
+    key = F.xxhash64(size, "_name", *[F.substring("_data", first + shift + 1, end - first) for first, end, shift in runs])
+    return sent.where(inside).select(*[c for c in lines.columns if c != "line"], key.alias("key"), own.alias("own"))
+
+
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
     """Edits between arrays of bytes with size(a) >= size(b) >= edits, if at most ``edits``; a larger number if more."""
     width = 2 * edits + 1
@@ -101,20 +141,13 @@ def _bytes(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(_id, _text_key, line_no, line) of every line with a word."""
     exploded = docs.select("_id", "_text_key", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
-    return exploded.where(has_word(F.col("line")))
+    return exploded.where(F.ltrim("line", F.lit(SPACE_CHARS)) != "")
 
 
 def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit("second"), line).alias("k2")]
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (k) to (k, line)."""
-    small = wanted.count() <= BROADCAST_KEYS
-    lines = _lines(docs).select(F.xxhash64("line").alias("k"), "line")
-    return lines.join(F.broadcast(wanted) if small else wanted, "k").groupBy("k").agg(F.first("line").alias("line"))
-
-
 def _pieces_agree(x: Column, y: Column, edits: int) -> Column:
     """Whether all but ``edits`` of PIECES even pieces of y (binary) occur in x within ``edits`` bytes of their place: an edit changes one piece at most."""
     m = F.octet_length(y)
@@ -127,67 +160,127 @@ def _pieces_agree(x: Column, y: Column, edits: int) -> Column:
     return sum(changed[1:], changed[0]) <= edits
 
 
+def _counts(line: Column) -> Column:
+    """How many of the line's bytes fall in each of CLASSES classes; an edit changes two of them by one at most."""
+    latin = F.decode(line.cast("binary"), "ISO-8859-1")
+    members = ["".join(chr(b) for b in range(256) if b % CLASSES == k) for k in range(CLASSES)]
+    return F.array(*[F.octet_length(line) - F.char_length(F.translate(latin, m, "")) for m in members])
+
+
+def _may_be_near(a: str, b: str, edits: int) -> Column:
+    """Whether two arrays of counts allow ``edits`` edits."""
+    apart = [F.abs(F.col(a)[k] - F.col(b)[k]) for k in range(CLASSES)]
+    return sum(apart[1:], apart[0]) <= 2 * edits
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    a, b = lines.select(F.col("k").alias("a"), F.col("line").alias("la")), lines.select(F.col("k").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(a, "a").join(b, "b")
+    """Of pairs (a, b) of lines (id, line, counts) those within ``edits`` edits."""
+    counts = lines.select("id", "counts")
+    pairs = pairs.join(counts.toDF("a", "ca"), "a").join(counts.toDF("b", "cb"), "b").where(_may_be_near("ca", "cb", edits)).select("a", "b")
+    both = pairs.join(lines.select("id", "line").toDF("a", "la"), "a").join(lines.select("id", "line").toDF("b", "lb"), "b")
     longer = F.octet_length("la") >= F.octet_length("lb")
+    x, y = F.when(longer, F.col("la")).otherwise(F.col("lb")), F.when(longer, F.col("lb")).otherwise(F.col("la"))
     # bound once per pair: a filter over plain columns would be given the expression that splits a line, and split it at every byte
-    sides = F.struct(_bytes(F.when(longer, F.col("la")).otherwise(F.col("lb"))).alias("x"), _bytes(F.when(longer, F.col("lb")).otherwise(F.col("la"))).alias("y"))
-    near = F.abs(F.octet_length("la") - F.octet_length("lb")) <= edits
-    near = near & _pieces_agree(F.when(longer, F.col("la")).otherwise(F.col("lb")).cast("binary"), F.when(longer, F.col("lb")).otherwise(F.col("la")).cast("binary"), edits)
+    sides = F.struct(_bytes(x).alias("x"), _bytes(y).alias("y"))
+    near = (F.abs(F.octet_length("la") - F.octet_length("lb")) <= edits) & _pieces_agree(x.cast("binary"), y.cast("binary"), edits)
     return both.where(near & (_bind(sides, lambda s: edit_distance(s["x"], s["y"], edits)) <= edits)).select("a", "b")
 
 
-def line_classes(docs: DataFrame, edits: int, least_bytes: int) -> DataFrame:
-    """docs (_id, _text, _text_key) to (k1, k2, first): for every line class that is linked or occurs twice, the first occurrence of its component."""
-    data = F.encode("line", "UTF-8")
-    lines = _lines(docs).withColumn("n", F.octet_length("line"))
-    sent = probes(data, F.col("n"), edits)
-    signature = F.when(F.col("n") >= least_bytes, F.array(*[h for h, _ in sent]))
-    occurrence = F.struct(F.coalesce("_id", F.lit(LAST_ID)).alias("i"), F.col("_text_key").alias("t"), F.col("line_no").alias("l"))
-    distinct = (
-        lines.select(*_keys(F.col("line")), occurrence.alias("o"), signature.alias("sig"))
-        .groupBy("k1", "k2").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("m"), F.first("sig").alias("sig"))
-    )
-    # segments and probes of one line per class; the class is known by k1 from here
-    own = [k for k, (_, is_own) in enumerate(sent) if is_own]
-    is_own = F.array_contains(F.array(*map(F.lit, own)), F.col("p"))
-    rows = distinct.where(F.col("sig").isNotNull()).select(F.col("k1").alias("k"), F.posexplode("sig").alias("p", "key")).where(F.col("key").isNotNull()).select("key", "k", is_own.alias("own"))
-    first = rows.where("own").groupBy("key").agg(F.min("k").alias("center"), F.count(F.lit(1)).alias("lines")).withColumnRenamed("key", "key2")
-    met = rows.join(first, F.col("key") == F.col("key2")).where((F.col("k") != F.col("center")) | (F.col("lines") > 1))
-    met = written(met.select("key", "k", "own", "center", "lines"), "line-segments")
-
-    stars = written(met.where("k <> center").select(F.least("k", "center").alias("a"), F.greatest("k", "center").alias("b")).distinct(), "line-stars")
-    wanted = written(stars.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "line-keys")
-    texts = written(_texts(docs, wanted), "line-texts")
-    links = written(_verified(stars, texts, edits), "line-links")
-    roots = components(links)
-
-    # segments of several lines: whoever isn't in one component yet
-    crowded = met.where("lines > 1 AND k <> center").join(roots.withColumnRenamed("node", "k"), "k", "left").select("key", "k", "own", F.coalesce("root", "k").alias("root"))
-    other = crowded.where("own").select(F.col("key").alias("key2"), F.col("k").alias("c"), F.col("root").alias("r"))
-    more = crowded.join(other, (F.col("key") == F.col("key2")) & (F.col("root") != F.col("r"))).select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
-    late = written(_verified(more, texts, edits), "line-late")
-    if not late.isEmpty():
-        roots = components(links.unionByName(late))
-
-    roots = roots.withColumnRenamed("node", "k1")
-    firsts = _lines(docs).select(*_keys(F.col("line")), occurrence.alias("o")).groupBy("k1", "k2").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("m"))
-    tagged = written(firsts.join(roots, "k1", "left").where((F.col("m") > 1) | F.col("root").isNotNull()).select("k1", "k2", "o", F.coalesce("root", "k1").alias("root")), "line-classes")
-    earliest = tagged.groupBy("root").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("classes")).withColumnRenamed("root", "r")
-    return tagged.join(earliest, F.col("root") == F.col("r")).select("k1", "k2", "o", "first")
+def placed(pairs: DataFrame, edits: int) -> DataFrame:
+    """pairs (a, b, la, lb) of a line and its segment's center, which isn't longer, to (a, b, none, most): cells of lb, up to which la agrees with it without an edit, and within ``edits``.
+
+    Both are found by halving. ``none`` is never too large and ``most`` never too small.
+    """
+    n, m = F.octet_length("lb"), F.octet_length("la")
+    text = lambda c, size: F.decode(F.substring(F.col(c).cast("binary"), F.lit(1), size), "ISO-8859-1")
+    out = pairs.withColumns({"none": F.lit(0), "most": F.lit(0)})
+    step = CELLS // 2
+    while step:
+        end = {c: F.floor((F.col(c) + step) * n / CELLS).cast("int") for c in ("none", "most")}
+        same = text("la", end["none"]) == text("lb", end["none"])
+        lengths = [F.least(m, F.greatest(F.lit(0), end["most"] + shift)) for shift in range(-edits, edits + 1)]
+        near = [F.levenshtein(text("la", size), text("lb", end["most"]), edits) >= 0 for size in lengths]
+        within = near[0]
+        for x in near[1:]:
+            within = within | x
+        out = out.withColumns({"none": F.when(same, F.col("none") + step).otherwise(F.col("none")), "most": F.when(within, F.col("most") + step).otherwise(F.col("most"))})
+        step //= 2
+    return out.select("a", "b", "none", "most")
+
+
+def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest) of lines (key, id, own, center) of one segment in different components: pairs (a, b) that may be near, and the lines (id) that must be cut finer."""
+    rooted = met.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("own") & (F.col("id") != F.col("center"))).alias("more"))
+    keys = keys.where("low <> high AND more").select(F.col("key").alias("key2"))
+    # the center was compared with all of them
+    crowded = rooted.join(keys, F.col("key") == F.col("key2")).where("id <> center").select("key", F.col("id").alias("a"), F.col("center").alias("b"), "own", "root")
+    pairs = crowded.select("a", "b").distinct().join(lines.select("id", "line").toDF("a", "la"), "a").join(lines.select("id", "line").toDF("b", "lb"), "b")
+    places = written(placed(pairs, edits), "line-places").join(lines.select(F.col("id").alias("a"), "counts"), "a")
+    spread = crowded.join(places, ["a", "b"]).select("key", F.col("a").alias("id"), "own", "root", "counts", "none", "most", F.explode(F.sequence("none", "most")).alias("cell"))
+    spread = written(spread.withColumn("begins", F.col("cell") == F.col("none")), "line-placed")
+    groups = spread.groupBy("key", "cell").agg(F.count(F.when(F.col("begins"), 1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("any"))
+    groups = groups.where("low <> high AND any AND n > 0").select(F.col("key").alias("gk"), F.col("cell").alias("gc"), (F.col("n") <= LISTED).alias("listed"))
+    met_again = written(spread.join(groups, (F.col("key") == F.col("gk")) & (F.col("cell") == F.col("gc"))).drop("gk", "gc"), "line-cells")
+    listed = met_again if last else met_again.where("listed")
+    other = listed.select(*[F.col(c).alias(f"{c}_") for c in spread.columns])
+    meet = (F.col("key") == F.col("key_")) & (F.col("cell") == F.col("cell_")) & (F.col("root") != F.col("root_")) & (F.col("own") | F.col("own_")) & _may_be_near("counts", "counts_", edits)
+    pairs = listed.where("begins").join(other, meet).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    return pairs, met_again.where("NOT listed").select("id").distinct()
+
+
+def _met(sent: DataFrame, names: list[str]) -> DataFrame:
+    """sent (key, *names, own) of lines to its rows with hashes under which two lines are found, one of them with segments of its own; each once."""
+    # of lines named by 128 bits those that differ in the first 64
+    shared = sent.groupBy("key").agg(F.min(names[0]).alias("low"), F.max(names[0]).alias("high"), F.max("own").alias("any")).where("low <> high AND any").select(F.col("key").alias("key2"))
+    shared = written(shared, "line-keys")
+    return written(sent.join(shared, F.col("key") == F.col("key2")).groupBy("key", *names).agg(F.max("own").alias("own")), "line-segments")
+
+
+def _near_lines(docs: DataFrame, edits: int, least_bytes: int) -> DataFrame:
+    """(k1, k2, root): every line that is within ``edits`` edits of another, with its component."""
+    lines = _lines(docs).where(F.octet_length("line") >= least_bytes).select(*_keys(F.col("line")), "line")
+    met = _met(probed(lines, edits, edits + 1), ["k1", "k2"])
+    names = written(met.select("k1", "k2").distinct().withColumn("id", F.monotonically_increasing_id()), "line-names")
+    met = met.join(names, ["k1", "k2"]).select("key", "id", "own")
+    texts = lines.join(names, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("m"))
+    texts = written(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
+    links: DataFrame | None = None
+    for finer in (*FINER, 0):
+        center = met.where("own").join(texts.select("id", "m"), "id").groupBy("key").agg(F.max(F.struct("m", "id"))["id"].alias("center")).withColumnRenamed("key", "key2")
+        met = written(met.join(center, F.col("key") == F.col("key2")).select("key", "id", "own", "center"), "line-met")
+        stars = met.where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
+        found = written(_verified(stars, texts, edits), "line-links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        pairs, rest = _crowded(met, roots, texts, edits, not finer)
+        links = links.unionByName(written(_verified(pairs, texts, edits), "line-late"))
+        if not finer or rest.isEmpty():
+            break
+        rest = written(rest, "line-rest")
+        met = _met(probed(texts.select("id", "line").join(rest, "id"), edits, finer * (edits + 1)), ["id"])
+    return names.join(components(links), F.col("id") == F.col("node")).select("k1", "k2", "root")
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """docs (_id, _text, _text_key) to (_id, _text_key, gone, near): numbers (from 0) of the lines to remove, and how many of them have no equal line before."""
-    classes = written(line_classes(docs, edits, least_bytes), "line-firsts")
-    occurrences = _lines(docs).select("_id", "_text_key", "line_no", *_keys(F.col("line")))
-    c = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "o", "first")
-    met = occurrences.join(c, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    lines = written(_lines(docs).select("_id", "_text_key", "line_no", *_keys(F.col("line"))), "line-hashes")
+    linked = _near_lines(docs, edits, least_bytes)
+    repeated = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k1", "k2", F.lit(None).cast("long").alias("root"))
+    # a component is named by its root, a line that is only repeated by its key
+    wanted = repeated.unionByName(linked).groupBy("k1", "k2").agg(F.max("root").alias("root"))
+    alone = F.col("root").isNull()
+    wanted = wanted.select("k1", "k2", alone.alias("g0"), F.coalesce("root", "k1").alias("g1"), F.when(alone, F.col("k2")).otherwise(0).alias("g2"))
+    wanted = written(wanted, "line-classes")
+    met = written(lines.join(wanted, ["k1", "k2"]), "line-occurrences")
     here = F.struct(F.coalesce("_id", F.lit(LAST_ID)).alias("i"), F.col("_text_key").alias("t"), F.col("line_no").alias("l"))
-    late = met.where(here > F.col("first")).select("_id", "_text_key", "line_no", (here == F.col("o")).cast("int").alias("near"))
+    own = met.groupBy("k1", "k2", "g0", "g1", "g2").agg(F.min(here).alias("o"))
+    first = own.groupBy("g0", "g1", "g2").agg(F.min("o").alias("first"))
+    firsts = written(own.join(first, ["g0", "g1", "g2"]).select("k1", "k2", "o", "first"), "line-firsts")
+    late = met.join(firsts, ["k1", "k2"]).where(here > F.col("first")).select("_id", "_text_key", "line_no", (here == F.col("o")).alias("near"))
     # rows equal in id and text repeat each line's number
-    return late.groupBy("_id", "_text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"), F.count_distinct(F.when(F.col("near") == 1, F.col("line_no"))).alias("near"))
+    near = F.size(F.collect_set(F.when(F.col("near"), F.col("line_no"))))
+    return late.groupBy("_id", "_text_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"), near.alias("near"))
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -198,7 +291,7 @@ def line_report(docs: DataFrame, id_col="doc_id", text_col="text", **how) -> Dat
     """One row per input row: id, n_lines (with a word), n_removed, n_near (removed without an equal line before), removed (line numbers from 1, joined by commas)."""
     base = _prepared(docs, id_col, text_col)
     gone = removed_lines(base, **how).toDF("_i", "_k", "gone", "near")
-    counted = base.select("_id", "_text_key", F.size(F.filter(F.split(F.coalesce("_text", F.lit("")), "\n"), has_word)).cast("long").alias("n_lines"))
+    counted = base.select("_id", "_text_key", F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(WORDED_LINE)).cast("long").alias("n_lines"))
     out = counted.join(gone, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text_key") == F.col("_k")), "left")
     numbers = F.array_join(F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda x: (x + 1).cast("string")), ",")
     return out.select(

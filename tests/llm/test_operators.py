@@ -395,6 +395,21 @@ def test_edit_distance(spark, edits):
         assert r.d == want if want <= edits else r.d > edits
 
 
+def within(a, b, edits):
+    """Whether a becomes b by at most ``edits`` edits, by the band around the diagonal."""
+    row = {d: abs(d) for d in range(-edits, edits + 1)}
+    for i in range(1, len(a) + 1):
+        new = {}
+        for d in range(-edits, edits + 1):
+            j = i + d
+            if 0 <= j <= len(b):
+                new[d] = min(row.get(d, edits + 1) + (j == 0 or a[i - 1] != b[j - 1]), row.get(d + 1, edits + 1) + 1, new.get(d - 1, edits + 1) + 1)
+        row = new
+        if min(row.values(), default=edits + 1) > edits:
+            return False
+    return row.get(len(b) - len(a), edits + 1) <= edits
+
+
 def lines_wanted(rows, edits=2, least=24):
     classes, order = {}, {}
     for i, t, *_ in rows:
@@ -405,7 +420,7 @@ def lines_wanted(rows, edits=2, least=24):
                 order.setdefault((tie, k), line)
     lines = list(classes)
     raw = [x.encode() for x in lines]
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if min(len(raw[a]), len(raw[b])) >= least and abs(len(raw[a]) - len(raw[b])) <= edits and levenshtein(raw[a], raw[b]) <= edits]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if min(len(raw[a]), len(raw[b])) >= least and abs(len(raw[a]) - len(raw[b])) <= edits and within(raw[a], raw[b], edits)]
     return lines, dict(classes), components_of(len(lines), links)
 
 
@@ -444,6 +459,79 @@ def test_lines(spark):
         else:
             assert (kept[i].text or "") == left and kept[i].line == "mine"
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_places(spark, edits):
+    """A line's range holds the true one, and ranges of lines within the edits overlap."""
+    rnd = random.Random(edits)
+    center = "".join(rnd.choice("abcd") for _ in range(90))
+    lines = []
+    while len(lines) < 120:
+        x = rnd.choice(lines) if lines and rnd.random() < 0.5 else center
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(x) + 1)
+            x = x[:at] + rnd.choice(["", "a", "é"]) + x[at + rnd.randint(0, 1) :]
+        if len(center) <= len(x.encode()) <= len(center) + edits:
+            lines.append(x)
+    frame = spark.createDataFrame([(k, -1, x, center) for k, x in enumerate(lines)], "a long, b long, la string, lb string")
+    got = {r.a: (r.none, r.most) for r in op8_lines.placed(frame, edits).collect()}
+    raw, c, cells = [x.encode() for x in lines], center.encode(), op8_lines.CELLS
+    for k, x in enumerate(raw):
+        far = [min(levenshtein(x[:i], c[:t]) for i in range(max(0, t - edits), t + edits + 1)) for t in (n * len(c) // cells for n in range(cells))]
+        assert got[k][0] <= max(n for n, d in enumerate(far) if d == 0) and got[k][1] >= max(n for n, d in enumerate(far) if d <= edits)
+        assert got[k][1] < cells
+    for j in range(len(raw)):
+        for k in range(j):
+            if abs(len(raw[j]) - len(raw[k])) <= edits and levenshtein(raw[j], raw[k]) <= edits:
+                assert got[j][0] <= got[k][1] and got[k][0] <= got[j][1]
+
+
+def crowded_lines(n, seed):
+    """Lines that share their opening, their end or both: each changes words of one line; some differ from others by two bytes."""
+    rnd = random.Random(seed)
+    common = [f"word{k:02d}" for k in range(30)]
+    lines = [" ".join(common)]
+    while len(lines) < n:
+        w = list(common) if rnd.random() < 0.7 else lines[rnd.randrange(len(lines))].split(" ")
+        if rnd.random() < 0.7:
+            w[rnd.randrange(30)] = f"other{rnd.randrange(10**4)}"
+        line = " ".join(w)
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            at = rnd.randrange(len(line) + 1)
+            line = line[:at] + rnd.choice(["", "x", "y"]) + line[at + rnd.randint(0, 1) :]
+        lines.append(line)
+    return lines
+
+
+def test_lines_that_share_segments(spark, monkeypatch):
+    rows = [(k, line) for k, line in enumerate(crowded_lines(120, 3))]
+    rows += [(1000 + k, f"a long opening that very many lines of the table have in common, and then {hashlib.md5(str(k).encode()).hexdigest()}") for k in range(60)]
+    monkeypatch.setattr(op8_lines, "LISTED", 4)  # so that lines are cut finer
+    _, classes, root = lines_wanted(rows)
+    seen = set()
+    want = {}
+    for i, t in rows:
+        want[i] = "1" if root[classes[t]] in seen else ""
+        seen.add(root[classes[t]])
+    got = {r.doc_id: r.removed for r in op8_lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_candidates_of_crowded_segments_grow_with_the_lines(spark, monkeypatch):
+    found = []
+    inner = op8_lines._verified
+
+    def counted(pairs, *rest):
+        found.append(pairs.count())
+        return inner(pairs, *rest)
+
+    monkeypatch.setattr(op8_lines, "_verified", counted)
+    for seed in (1, 2):  # a common opening; an opening and an end
+        end = "" if seed == 1 else ", and an end of the line that all of them have in common as well"
+        rows = [(k, f"a long opening that very many lines of the table have in common, and then {hashlib.md5(f'{seed}{k}'.encode()).hexdigest()}{end}") for k in range(2000)]
+        out = op8_lines.line_report(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert out.where("n_removed > 0").count() == 0
+    assert max(found) < 40 * 2000, found  # of 2 million pairs
+
 
 def test_lines_of_repeated_rows_and_null_ids(spark):
     one = "a line that is long enough to be compared with others"
