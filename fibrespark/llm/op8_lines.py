@@ -191,21 +191,20 @@ def placed(pairs: DataFrame, edits: int) -> DataFrame:
 
     Both are found by halving. ``none`` is never too large and ``most`` never too small.
     """
-    n, m = F.octet_length("lb"), F.octet_length("la")
     text = lambda c, size: F.decode(F.substring(F.col(c).cast("binary"), F.lit(1), size), "ISO-8859-1")
-    out = pairs.withColumns({"none": F.lit(0), "most": F.lit(0)})
-    step = CELLS // 2
-    while step:
-        end = {c: F.floor((F.col(c) + step) * n / CELLS).cast("int") for c in ("none", "most")}
-        same = text("la", end["none"]) == text("lb", end["none"])
-        lengths = [F.least(m, F.greatest(F.lit(0), end["most"] + shift)) for shift in range(-edits, edits + 1)]
-        near = [F.levenshtein(text("la", size), text("lb", end["most"]), edits) >= 0 for size in lengths]
-        within = near[0]
-        for x in near[1:]:
-            within = within | x
-        out = out.withColumns({"none": F.when(same, F.col("none") + step).otherwise(F.col("none")), "most": F.when(within, F.col("most") + step).otherwise(F.col("most"))})
-        step //= 2
-    return out.select("a", "b", "none", "most")
+    n, m = F.octet_length("lb"), F.octet_length("la")
+
+    def halve(at: Column, step: Column) -> Column:
+        none, most = at["none"] + step, at["most"] + step
+        end = lambda cell: F.floor(cell * n / CELLS).cast("int")
+        same = text("la", end(none)) == text("lb", end(none))
+        near = lambda shift: F.levenshtein(text("la", F.least(m, F.greatest(F.lit(0), end(most) + shift))), text("lb", end(most)), edits) >= 0
+        within = F.exists(F.sequence(F.lit(-edits), F.lit(edits)), near)
+        return F.struct(F.when(same, none).otherwise(at["none"]).alias("none"), F.when(within, most).otherwise(at["most"]).alias("most"))
+
+    steps = F.array(*[F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())])
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("none"), F.lit(0).alias("most")), halve)
+    return pairs.select("a", "b", found.alias("at")).select("a", "b", "at.none", "at.most")
 
 
 def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int, last: bool) -> tuple[DataFrame, DataFrame]:
