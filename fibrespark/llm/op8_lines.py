@@ -37,6 +37,8 @@ LEAST_BYTES = 24
 PIECES = 8
 #: A line from its first word on.
 WORDED_LINE = r"[^\x20\x09-\x0D][^\n]*"
+#: Bits that tell which hashes may be shared; a larger table only lets more pass that the join then drops.
+FILTER_BITS = 1 << 24
 #: Cells of a line's length in which lines of a crowded segment meet.
 CELLS = 32
 #: Classes of bytes that are counted before two lines are compared.
@@ -233,6 +235,11 @@ def _met(sent: DataFrame, names: list[str]) -> DataFrame:
     # of lines named by 128 bits those that differ in the first 64
     shared = sent.groupBy("key").agg(F.min(names[0]).alias("low"), F.max(names[0]).alias("high"), F.max("own").alias("any")).where("low <> high AND any").select(F.col("key").alias("key2"))
     shared = written(shared, "line-keys")
+    # most hashes are found once: those that miss a bitmap of the shared ones, of FILTER_BITS at most whatever the table, aren't moved
+    slot = F.pmod("key2", F.lit(FILTER_BITS).cast("long"))
+    word = shared.select(F.floor(slot / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(key2, 64L) AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    hit = F.expr(f"word = floor(pmod(key, {FILTER_BITS}L) / 64) AND bits & shiftleft(1L, cast(pmod(key, 64L) AS int)) <> 0")
+    sent = sent.join(F.broadcast(word), hit).drop("word", "bits")
     return written(sent.join(shared, F.col("key") == F.col("key2")).groupBy("key", *names).agg(F.max("own").alias("own")), "line-segments")
 
 
