@@ -1,7 +1,8 @@
 """Fibers against tissue boundaries: nearest points, distances, flags, outline slopes and relative angles.
 
 Boundary points: image_id, roi_id, seq, row, col (closed outlines, neighbours in seq touch). Distances are to the nearest point, ties by (roi_id, seq).
-Points are met per image: every fiber with every point of its image, aggregated as they are joined.
+Fibers and points meet on grid cells: within a threshold on cells of that size, else on cells that grow with the distance to the nearest outline, so a large image is many keys
+and a fiber meets the points around it only.
 """
 
 from __future__ import annotations
@@ -17,19 +18,75 @@ from fibrespark.functions.angles import edge_angle, on_image_edge, round_half_ev
 OUTLINE_POINTS = 21
 
 
-def nearest_point(fibers: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+#: Sizes of the grids in which the nearest point is looked for; fibers further from any than the last look at all points of their image.
+GRIDS = tuple(8.0 * 2**k for k in range(12))
+
+
+def _cells(row: Column, col: Column, size: Column, reach: int) -> Column:
+    """Cells (r, c) within ``reach`` of a place's own."""
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    own = lambda x: F.floor(x / size).cast("long")
+    return F.explode(F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct((own(row) + a).alias("r"), (own(col) + b).alias("c"))))))
+
+
+def _near_pairs(fibers: DataFrame, points: DataFrame, match: list[str]) -> DataFrame:
+    """Fibers (center_row, center_col) with every point that may be their nearest.
+
+    A fiber's grid is the finest in which a point lies in its cell or one next to it: that point is less than 3 cells away, and so is the nearest.
+    """
+    grid = F.posexplode(F.array(*map(F.lit, GRIDS))).alias("_grid", "_size")
+    gridded = points.select("*", grid).withColumns({"_r": F.floor(F.col("_row") / F.col("_size")).cast("long"), "_c": F.floor(F.col("_col") / F.col("_size")).cast("long")})
+    held = gridded.groupBy(*match, "_grid", "_r", "_c").agg(F.min("_row").alias("_r0"), F.max("_row").alias("_r1"), F.min("_col").alias("_c0"), F.max("_col").alias("_c1"))
+    around = held.select(*match, "_grid", _cells(F.col("_r"), F.col("_c"), F.lit(1), 1).alias("_x")).select(*match, "_grid", F.col("_x.r").alias("_r"), F.col("_x.c").alias("_c")).distinct()
+    row, col, size = F.col("center_row"), F.col("center_col"), F.col("_size")
+    placed = fibers.select("*", grid).withColumns({"_r": F.floor(row / size).cast("long"), "_c": F.floor(col / size).cast("long")})
+    finest = placed.join(around, [*match, "_grid", "_r", "_c"]).groupBy(*fibers.columns).agg(F.min(F.struct("_grid", "_size")).alias("_g")).select(*fibers.columns, "_g.*")
+    cells = finest.select("*", _cells(row, col, size, 3).alias("_x")).select(*fibers.columns, "_grid", F.col("_x.r").alias("_r"), F.col("_x.c").alias("_c"))
+    # of these the ones whose points may be nearer than the points of another surely are
+    boxed = cells.join(held, [*match, "_grid", "_r", "_c"])
+    square = lambda a, b: a * a + b * b
+    least = square(F.greatest(F.lit(0.0), F.col("_r0") - row, row - F.col("_r1")), F.greatest(F.lit(0.0), F.col("_c0") - col, col - F.col("_c1")))
+    most = square(F.greatest(row - F.col("_r0"), F.col("_r1") - row), F.greatest(col - F.col("_c0"), F.col("_c1") - col))
+    boxed = boxed.withColumns({"_least": least, "_bound": F.min(most).over(Window.partitionBy(*match, "fiber_id"))})
+    cells = boxed.where(F.col("_least") <= F.col("_bound") * (1 + 1e-9)).select(*cells.columns)
+    far = fibers.join(finest.select(*match, "fiber_id"), [*match, "fiber_id"], "left_anti").join(points, match)
+    found = cells.join(gridded.drop("_size"), [*match, "_grid", "_r", "_c"]).drop("_grid", "_r", "_c")
+    return found.unionByName(far)
+
+
+def _pairs_within(fibers: DataFrame, points: DataFrame, match: list[str], threshold: float) -> DataFrame:
+    """Fibers with every point within the threshold and some more, on cells of its size."""
+    size = F.lit(max(float(threshold), 1.0))
+    gridded = points.withColumns({"_r": F.floor(F.col("_row") / size).cast("long"), "_c": F.floor(F.col("_col") / size).cast("long")})
+    cells = fibers.select("*", _cells(F.col("center_row"), F.col("center_col"), size, 1).alias("_x")).select(*fibers.columns, F.col("_x.r").alias("_r"), F.col("_x.c").alias("_c"))
+    return cells.join(gridded, [*match, "_r", "_c"]).drop("_r", "_c")
+
+
+def nearest_point(fibers: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("image_id",), threshold: float | None = None) -> DataFrame:
     """Adds distance, boundary_roi, boundary_seq, boundary_point_row and boundary_point_col of the nearest point with the same ``keys``.
 
-    One row per fiber and key; with a roi_id among the keys, per fiber and region. Aggregated as it is joined: nothing is sorted.
+    One row per fiber and key; with a roi_id among the keys, per fiber and region. With a threshold only rows within it. Centers are taken as they are, not
+    rounded. Only ids and places are joined; further columns come back by id.
     """
+    match = [k for k in keys if k != "roi_id" or "roi_id" in fibers.columns]
+    ids = list(dict.fromkeys([*match, "image_id", "fiber_id"]))
     p = points.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("roi_id", "seq", "row", "col")])
-    joined = fibers.join(p, list(keys)) if "roi_id" not in keys or "roi_id" in fibers.columns else fibers.join(p, [k for k in keys if k != "roi_id"])
+    f = fibers.select(*ids, F.col("center_row").cast("double"), F.col("center_col").cast("double"))
+    if threshold is not None:
+        joined = _pairs_within(f, p, match, threshold)
+    elif match == list(keys):
+        joined = _near_pairs(f, p, match)
+    else:  # every region's nearest point, however far
+        joined = f.join(p, match)
     distance = F.sqrt(F.pow(F.col("center_row") - F.col("_row"), 2) + F.pow(F.col("center_col") - F.col("_col"), 2))
-    best = F.min(F.struct(distance.alias("d"), F.col("_roi_id").alias("roi"), F.col("_seq").alias("seq"), F.col("_row").alias("row"), F.col("_col").alias("col"))).alias("best")
+    joined = joined.withColumn("_d", distance)
+    if threshold is not None:
+        joined = joined.where(F.col("_d") <= threshold)
+    best = F.min(F.struct("_d", F.col("_roi_id").alias("roi"), F.col("_seq").alias("seq"), F.col("_row").alias("row"), F.col("_col").alias("col"))).alias("best")
     group = list(dict.fromkeys([*keys, "image_id", "fiber_id"]))
     own = [c for c in fibers.columns if c not in group]
-    out = joined.groupBy(*group).agg(best, *[F.first(c).alias(c) for c in own])
-    names = {"d": "distance", "roi": "boundary_roi", "seq": "boundary_seq", "row": "boundary_point_row", "col": "boundary_point_col"}
+    out = fibers.join(joined.groupBy(*group).agg(best), ids)
+    names = {"_d": "distance", "roi": "boundary_roi", "seq": "boundary_seq", "row": "boundary_point_row", "col": "boundary_point_col"}
     return out.select(*group, *own, *[F.col(f"best.{a}").alias(b) for a, b in names.items()])
 
 

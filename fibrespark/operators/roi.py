@@ -65,7 +65,7 @@ def roi_alignment(fibers: DataFrame, points: DataFrame, height: int, width: int,
             F.col("roi_id").alias("boundary_roi"), F.col("p.seq").alias("boundary_seq"), F.col("p.row").alias("boundary_point_row"), F.col("p.col").alias("boundary_point_col"),
         )
     else:
-        near = nearest_point(f, points, ("image_id", "roi_id")).where(F.col("distance") <= threshold)
+        near = nearest_point(f, points, ("image_id", "roi_id"), threshold)
     if slopes:
         near = with_edge_angle(with_slopes(near, points), height, width, origin).withColumnRenamed("relative_angle", "angle_to_boundary_edge")
     props = region_properties(polygon_mask(points, height, width))
