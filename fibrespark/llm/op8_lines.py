@@ -230,16 +230,23 @@ def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int, las
     return pairs, met_again.where("NOT listed").select("id").distinct()
 
 
+def _may_be_in(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` isn't among ``name`` of ``wanted``, before a join moves them.
+
+    By a bitmap that is broadcast, of FILTER_BITS at most whatever the table.
+    """
+    bit = lambda c: f"shiftleft(1L, cast(pmod({c}, 64L) AS int))"
+    word = lambda c: f"floor(pmod({c}, {FILTER_BITS}L) / 64)"
+    bitmap = wanted.select(F.expr(word(name)).alias("_word"), F.expr(bit(name)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.join(F.broadcast(bitmap), F.expr(f"_word = {word(column)} AND _bits & {bit(column)} <> 0")).drop("_word", "_bits")
+
+
 def _met(sent: DataFrame, names: list[str]) -> DataFrame:
     """sent (key, *names, own) of lines to its rows with hashes under which two lines are found, one of them with segments of its own; each once."""
     # of lines named by 128 bits those that differ in the first 64
     shared = sent.groupBy("key").agg(F.min(names[0]).alias("low"), F.max(names[0]).alias("high"), F.max("own").alias("any")).where("low <> high AND any").select(F.col("key").alias("key2"))
     shared = written(shared, "line-keys")
-    # most hashes are found once: those that miss a bitmap of the shared ones, of FILTER_BITS at most whatever the table, aren't moved
-    slot = F.pmod("key2", F.lit(FILTER_BITS).cast("long"))
-    word = shared.select(F.floor(slot / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(key2, 64L) AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    hit = F.expr(f"word = floor(pmod(key, {FILTER_BITS}L) / 64) AND bits & shiftleft(1L, cast(pmod(key, 64L) AS int)) <> 0")
-    sent = sent.join(F.broadcast(word), hit).drop("word", "bits")
+    sent = _may_be_in(sent, "key", shared, "key2")  # most hashes are found once
     return written(sent.join(shared, F.col("key") == F.col("key2")).groupBy("key", *names).agg(F.max("own").alias("own")), "line-segments")
 
 
@@ -249,7 +256,7 @@ def _near_lines(docs: DataFrame, edits: int, least_bytes: int) -> DataFrame:
     met = _met(probed(lines, edits, edits + 1), ["k1", "k2"])
     names = written(met.select("k1", "k2").distinct().withColumn("id", F.monotonically_increasing_id()), "line-names")
     met = met.join(names, ["k1", "k2"]).select("key", "id", "own")
-    texts = lines.join(names, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("m"))
+    texts = _may_be_in(lines, "k1", names, "k1").join(names, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("m"))
     texts = written(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
     links: DataFrame | None = None
     for finer in (*FINER, 0):
@@ -278,7 +285,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least_bytes: int = LEAST_
     alone = F.col("root").isNull()
     wanted = wanted.select("k1", "k2", alone.alias("g0"), F.coalesce("root", "k1").alias("g1"), F.when(alone, F.col("k2")).otherwise(0).alias("g2"))
     wanted = written(wanted, "line-classes")
-    met = written(lines.join(wanted, ["k1", "k2"]), "line-occurrences")
+    met = written(_may_be_in(lines, "k1", wanted, "k1").join(wanted, ["k1", "k2"]), "line-occurrences")
     here = F.struct(F.coalesce("_id", F.lit(LAST_ID)).alias("i"), F.col("_text_key").alias("t"), F.col("line_no").alias("l"))
     own = met.groupBy("k1", "k2", "g0", "g1", "g2").agg(F.min(here).alias("o"))
     first = own.groupBy("g0", "g1", "g2").agg(F.min("o").alias("first"))
