@@ -465,7 +465,7 @@ def test_places(spark, edits):
     rnd = random.Random(edits)
     center = "".join(rnd.choice("abcd") for _ in range(90))
     lines = []
-    while len(lines) < 120:
+    while len(lines) < 40:
         x = rnd.choice(lines) if lines and rnd.random() < 0.5 else center
         for _ in range(rnd.randint(0, 3)):
             at = rnd.randrange(len(x) + 1)
