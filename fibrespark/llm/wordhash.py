@@ -3,13 +3,21 @@
 Words are runs of bytes other than the six ASCII white-space bytes, which are the words ``[^\\x20\\x09-\\x0D]+`` of the text.
 A word's hash is a polynomial over its bytes modulo 2**64 with an odd base, mixed with its length; a window's hash is a
 polynomial over its words' hashes. Both come from running sums, so their cost doesn't grow with the window.
+
+Such a polynomial loses bits on long patterned sequences (of the Thue-Morse sequence over any two letters and its complement all
+64 from 1024 letters on, 19 at 32 letters), so words over ``LONG_WORD`` bytes are hashed one by one with BLAKE2b, and windows over
+``LONG_WINDOW`` words are put together from two overlapping halves, mixed in between.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SLICE = 1 << 20
+LONG_WORD = 32
+LONG_WINDOW = 16
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,6 +57,9 @@ def _slice_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASES[0], len(data)), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(_inverse(_BASES[0]), len(data) + 1)[starts]
+    raw = memoryview(data)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
     return starts, mixed(h + (ends - starts).astype(np.uint64) * np.uint64(_BASES[2]))
 
 
@@ -85,6 +96,10 @@ def windows(words: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     base = _BASES[1] if kind == 0 else _BASES[2]
+    if length > LONG_WINDOW:
+        half = -(-length // 2)
+        halves = windows(words, half, kind)
+        return mixed(mixed(halves[:n] * np.uint64(base)) + halves[length - half :])
     own = words if kind == 0 else mixed(words ^ np.uint64(_BASES[0]))
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(own * powers(base, len(words)), out=sums[1:])

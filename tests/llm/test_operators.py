@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from fibrespark.llm import op1_warc, op2_html, op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op8_lines, op9_token_counts, op10_sentencepiece
+from fibrespark.llm import common, op1_warc, op2_html, op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op8_lines, op9_token_counts, op10_sentencepiece, wordhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k}" for k in range(4000))
@@ -652,3 +652,54 @@ def test_chunks_of_random_texts():
             f.write(bad.SerializeToString())
             f.flush()
             op10_sentencepiece.check_model(f.name)
+
+
+def thue_morse(n, a, b):
+    return [b if bin(k).count("1") % 2 else a for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [20, 33, 64, 1024, 2048, 4096])
+def test_word_hashes_of_patterned_words(n):
+    one, other = ("".join(thue_morse(n, a, b)).encode() for a, b in ("ab", "ba"))
+    hashes, counts = wordhash.words_of_texts([one, other, b"x " + one, one.upper()], lower=True)
+    assert counts.tolist() == [1, 1, 2, 1]
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[3] == hashes[4]
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 13, 16, 17, 33, 1024])
+@pytest.mark.parametrize("kind", [0, 1])
+def test_window_hashes(length, kind):
+    values = wordhash.mixed(np.arange(1, 3, dtype=np.uint64))
+    one, other = (np.array(thue_morse(length, *v), dtype=np.uint64) for v in (values, values[::-1]))
+    rnd = np.random.default_rng(length)
+    text = np.concatenate((one, rnd.integers(0, 2**63, 50, dtype=np.uint64), one, other))
+    got = wordhash.windows(text, length, kind)
+    want = [tuple(text[k : k + length].tolist()) for k in range(len(text) - length + 1)]
+    assert len(got) == len(want) and len(set(got.tolist())) == len(set(want)) == len(set(zip(want, got.tolist())))
+    assert len(wordhash.windows(text[: length - 1], length, kind)) == 0
+
+
+def test_plain_byte_level_asks_for_the_listed_merges():
+    # by rank "abc" becomes "a" + "bc", as "bc" has the lower id; a file that lists "ab" + "c" for it isn't plain
+    added = {"added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}
+    symbols = {s: b for s, b in op9_token_counts._byte_of_symbol().items()}
+    for last, plain in ((["a", "bc"], True), (["ab", "c"], False)):
+        merges = [["b", "c"], ["a", "b"], last]
+        vocab = symbols | {a + b: 256 + k for k, (a, b) in enumerate(merges)}
+        ranks = op9_token_counts._plain_byte_level(added | {"model": {"type": "BPE", "vocab": vocab, "merges": merges}})
+        assert (ranks is not None) == plain
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
