@@ -6,12 +6,12 @@ document with a smaller id is removed; windows are judged on the input.
 Level 0 (whole texts). Documents whose words are those of a document with a smaller id are settled by one grouped aggregate.
 Level 1 (half the length, rounded up). Of the half windows inside a full window the one with the least hash is its anchor, so
 equal windows have equal anchors and only about a quarter of all positions is an anchor. Each block of documents sends its
-distinct anchors, dealt by hash; an anchor that two documents hold is answered with one bit.
+distinct anchors as rows; those that another block sends as well come back by their place in the block's list.
 Level 2 (twice that length). Windows whose anchor is repeated are extended to the full length, under 128 bits of hash. Each block sends its distinct ones with the
-smallest id that holds them, dealt by hash again; the answer is a bit: does a smaller id hold it. No candidates are left after that.
+smallest id that holds them, as rows again; those that a smaller id of another block holds come back with that id. No candidates are left after that.
 
-What a frequent passage costs is bounded by the number of blocks, not by the number of its documents, and no group holds
-more than its share of hashes. Blocks are written in the shared folder once, and stages start from there.
+What is sent grows with the distinct anchors and windows of a block, not with blocks times groups. What a frequent passage costs is bounded by the number of
+blocks, not by the number of its documents. Blocks are written in the shared folder once, and stages start from there.
 
 Null text: no words, nothing removed, kept text empty. Null ids are greater than every other id and not smaller than each other.
 Repeated rows of one id are one document to this rule: neither removes the other. Fewer words than a window: nothing removed.
@@ -26,15 +26,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_ids, pack_ints, pack_strings, runs, unpack_ints, unpack_strings
+from .blocks import block_ids, pack_strings, runs, unpack_strings
 from .common import LAST_ID, written
 from .wordhash import windows, words_of_texts
 
 LENGTH = 13
 BLOCK_BYTES = 12 << 20
+#: Anchors a task of the exchange is to hold; about a quarter of all words is an anchor.
 GROUP_HASHES = 1_000_000
 
 
@@ -108,133 +110,69 @@ class _Block:
         return {"starts": starts, "own": own, "entry": entry, "h1": a[at], "h2": b[at], "least": own[order][at]}
 
 
-def _parts(hashes: np.ndarray, groups: int) -> np.ndarray:
-    """Bounds of each group in sorted hashes; groups are equal ranges of the hash."""
-    edges = np.array([(g << 64) // groups for g in range(1, groups)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
-
-
-def _column(table: pa.Table, name: str) -> list:
-    return table.column(name).to_pylist()
-
-
-def _hashes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint64)
+ANSWER = "block long, kind int, at int, key binary, least long"
 
 
 def _settled(row: dict, right: pa.Table, length: int) -> tuple[_Block, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
     """(block, ids, whether each document still is to be judged by its windows, its candidates) from a block and its answers."""
     block = _Block(row["texts"], length)
     ids = np.array(row["ids"], dtype=np.int64)
-    kinds, groups, bits = (_column(right, c) for c in ("kind", "grp", "bits"))
-    least_of = {k: i for kind, k, i in zip(kinds, _column(right, "key"), _column(right, "least")) if kind == 0}
+    copies = _of_kind(right, 0)
+    least_of = dict(zip(copies.column("key").to_pylist(), copies.column("least").to_pylist()))
     open_docs = np.array([least_of.get(k, i) >= i for k, i in zip(row["keys"], row["ids"])], dtype=bool)
     anchors, repeated = block.distinct_anchors()
-    found = {g: b for kind, g, b in zip(kinds, groups, bits) if kind == 1}
-    told = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for g in sorted(found) for n, b in [(int.from_bytes(found[g][:8], "little"), found[g][8:])]]
-    if told:
-        repeated = repeated | np.concatenate(told).astype(bool)
+    repeated[_of_kind(right, 1).column("at").to_numpy()] = True
     return block, ids, open_docs, block.candidates(anchors[repeated], ids, open_docs)
 
 
-def _bits(flags: np.ndarray) -> bytes:
-    return len(flags).to_bytes(8, "little") + np.packbits(flags).tobytes()
-
-
-ANSWER = "block long, kind int, grp int, bits binary, key binary, least long"
-
-
-def _answers(table: pa.Table, kind: int, bits: list[bytes]) -> pa.Table:
-    n = table.num_rows
-    return pa.table({
-        "block": table.column("block").cast(pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "grp": table.column("grp").cast(pa.int32()),
-        "bits": pa.array(bits, pa.binary()), "key": pa.nulls(n, pa.binary()), "least": pa.nulls(n, pa.int64()),
-    })
-
-
-def _repeated_anchors(table: pa.Table) -> pa.Table:
-    """A group of anchors, each block's distinct: those of two blocks are repeated."""
-    lists = [_hashes(x) for x in _column(table, "h1")]
-    flat = np.concatenate(lists)
-    order = np.argsort(flat, kind="stable")
-    a = flat[order]
-    same = np.zeros(len(a), dtype=bool)
-    same[1:] = a[1:] == a[:-1]
-    same[:-1] |= a[1:] == a[:-1]
-    flags = np.empty(len(a), dtype=bool)
-    flags[order] = same
-    ends = np.cumsum([len(x) for x in lists])
-    return _answers(table, 1, [_bits(flags[e - len(x) : e]) for x, e in zip(lists, ends)])
-
-
-def _held_before(table: pa.Table) -> pa.Table:
-    """A group of windows, each block's distinct with its smallest id: the bit says that a smaller id of another block holds it."""
-    h1, h2 = ([_hashes(x) for x in _column(table, c)] for c in ("h1", "h2"))
-    least = []
-    for ids, codes in zip(_column(table, "ids"), _column(table, "codes")):
-        least.append(np.array(ids, dtype=np.int64)[unpack_ints(codes)])
-    a, b, own = np.concatenate(h1), np.concatenate(h2), np.concatenate(least)
-    order = np.lexsort((own, b, a))
-    x, y = a[order], b[order]
-    first = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-    at = np.flatnonzero(first)
-    smallest = np.empty(len(own), dtype=np.int64)
-    smallest[order] = own[order][at][np.cumsum(first) - 1]
-    flags = smallest < own
-    ends = np.cumsum([len(v) for v in h1])
-    # with the bit goes the smallest id where it is smaller, since a block's other documents must compare with it as well
-    out = []
-    for v, e in zip(h1, ends):
-        f = flags[e - len(v) : e]
-        out.append(_bits(f) + smallest[e - len(v) : e][f].tobytes())
-    return _answers(table, 2, out)
+def _of_kind(answers: pa.Table, kind: int) -> pa.Table:
+    return answers.filter(pc.equal(answers.column("kind"), kind))
+
+
+def _sent(block: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each entry of a block's sorted list: block, place in the list, and the entry."""
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array(np.full(n, block, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(v.view(np.int64)) for v in columns.values()]]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "at", *columns])
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block_bytes: int = BLOCK_BYTES, group_hashes: int = GROUP_HASHES) -> DataFrame:
     """One row per input row: id, n_words, n_removed, and the kept words joined by one space (kept_text, or kept_sha256 with ``digests``)."""
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     blocks = written(_pack(docs, block_bytes), "substring-blocks")
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    groups = max(1, -(-total // (4 * group_hashes)))
 
     # level 0
     keys = blocks.select("block", F.explode(F.arrays_zip("ids", "keys")).alias("d")).select("block", F.col("d.keys").alias("key"), F.col("d.ids").alias("id"))
     copies = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     null = lambda kind: F.lit(None).cast(kind)
-    level0 = keys.groupBy("block", "key").agg(F.min("id").alias("id")).join(copies, "key").select("block", F.lit(0).alias("kind"), null("int").alias("grp"), null("binary").alias("bits"), "key", "least")
+    level0 = keys.groupBy("block", "key").agg(F.min("id").alias("id")).join(copies, "key").select("block", F.lit(0).alias("kind"), null("int").alias("at"), "key", "least")
+
+    tasks = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // (4 * group_hashes)))
 
     # level 1
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                anchors, _ = _Block(texts.as_py(), length).distinct_anchors()
-                bounds = _parts(anchors, groups)
-                parts = [anchors[bounds[g] : bounds[g + 1]].tobytes() for g in range(groups)]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * groups, pa.int64()), pa.array(range(groups), pa.int32()), pa.array(parts, pa.binary())], names=["block", "grp", "h1"])
+                yield _sent(block, h=_Block(texts.as_py(), length).distinct_anchors()[0])
 
-    anchors = blocks.select("block", "texts").mapInArrow(send_anchors, "block long, grp int, h1 binary")
-    level1 = anchors.groupBy("grp").applyInArrow(_repeated_anchors, ANSWER)
+    anchors = blocks.select("block", "texts").mapInArrow(send_anchors, "block long, at int, h long")
+    twice = anchors.repartition(tasks, "h").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
+    level1 = twice.select("block", F.lit(1).alias("kind"), "at", null("binary").alias("key"), null("long").alias("least"))
     known = written(level0.unionByName(level1), "substring-anchors")
 
     # level 2
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"block": [], "grp": [], "h1": [], "h2": [], "ids": [], "codes": []}
+        batches = []
         for k in range(left.num_rows):
             row = {c: left.column(c)[k].as_py() for c in left.column_names}
             _, _, _, found = _settled(row, right, length)
-            bounds = _parts(found["h1"], groups)
-            for g in range(groups):
-                part = slice(bounds[g], bounds[g + 1])
-                if bounds[g] == bounds[g + 1]:
-                    continue
-                ids, codes = np.unique(found["least"][part], return_inverse=True)
-                for name, value in zip(out, (row["block"], g, found["h1"][part].tobytes(), found["h2"][part].tobytes(), ids.tolist(), pack_ints(codes))):
-                    out[name].append(value)
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-
-    sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send_windows, "block long, grp int, h1 binary, h2 binary, ids array<long>, codes binary")
-    level2 = sent.groupBy("grp").applyInArrow(_held_before, ANSWER)
+            batches.append(_sent(row["block"], h1=found["h1"], h2=found["h2"], own=found["least"]))
+        schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "own")]])
+        return pa.Table.from_batches(batches, schema)
+
+    sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send_windows, "block long, at int, h1 long, h2 long, own long")
+    before = sent.repartition(tasks, "h1", "h2").withColumn("least", F.min("own").over(Window.partitionBy("h1", "h2"))).where("least < own")
+    level2 = before.select("block", F.lit(2).alias("kind"), "at", null("binary").alias("key"), "least")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"id": [], "n": [], "r": [], "kept": []}
@@ -242,14 +180,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             row = {c: left.column(c)[k].as_py() for c in left.column_names}
             block, ids, open_docs, found = _settled(row, right, length)
             least = found["least"].copy()
-            told = {g: b for kind, g, b in zip(*(_column(right, c) for c in ("kind", "grp", "bits"))) if kind == 2}
-            at = 0
-            for g in sorted(told):
-                n = int.from_bytes(told[g][:8], "little")
-                end = 8 + -(-n // 8)
-                flags = np.unpackbits(np.frombuffer(told[g][8:end], np.uint8), count=n).astype(bool)
-                least[at : at + n][flags] = np.frombuffer(told[g][end:], np.int64)
-                at += n
+            told = _of_kind(right, 2)
+            # a block's other documents must compare with the smaller id as well
+            least[told.column("at").to_numpy()] = told.column("least").to_numpy()
             marks = np.zeros(len(block.words) + 1, dtype=np.int32)
             hit = found["starts"][least[found["entry"]] < found["own"]] if len(least) else np.zeros(0, np.int64)
             np.add.at(marks, hit, 1)
