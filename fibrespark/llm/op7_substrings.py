@@ -38,6 +38,8 @@ LENGTH = 13
 BLOCK_BYTES = 12 << 20
 #: Anchors a task of the exchange is to hold; about a quarter of all words is an anchor.
 GROUP_HASHES = 1_000_000
+#: Rows that go from Python to the JVM at once.
+BATCH_ROWS = 1 << 15
 
 
 def _pack(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -66,7 +68,7 @@ class _Block:
         self.length = length
         self.texts = [t.encode("utf-8") for t in unpack_strings(texts)]
         self.words, self.counts = words_of_texts(self.texts)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         half = -(-length // 2)
         grams = windows(self.words, half)
         n = max(0, len(self.words) - length + 1)
@@ -76,7 +78,7 @@ class _Block:
             least = np.minimum(least[: len(least) - step], least[step:])
             span += step
         inside = self.doc[:n] == self.doc[length - 1 : length - 1 + n] if n else np.zeros(0, bool)
-        self.starts = np.flatnonzero(inside)
+        self.starts = np.flatnonzero(inside).astype(np.int32)
         self.anchors = least[self.starts] if n else np.zeros(0, np.uint64)
 
     def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +101,14 @@ class _Block:
         else:
             keep[:] = False
         starts = self.starts[keep]
-        h1, h2 = windows(self.words, self.length)[starts], windows(self.words, self.length, kind=1)[starts]
+        h1 = windows(self.words, self.length)[starts]
+        h2 = windows(self.words, self.length, kind=1)[starts]
         own = ids[self.doc[starts]]
         order = np.lexsort((own, h2, h1))
         a, b = h1[order], h2[order]
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
         at = np.flatnonzero(first)
-        entry = np.empty(len(order), dtype=np.int64)
+        entry = np.empty(len(order), dtype=np.int32)
         entry[order] = np.cumsum(first) - 1
         return {"starts": starts, "own": own, "entry": entry, "h1": a[at], "h2": b[at], "least": own[order][at]}
 
@@ -129,11 +132,13 @@ def _of_kind(answers: pa.Table, kind: int) -> pa.Table:
     return answers.filter(pc.equal(answers.column("kind"), kind))
 
 
-def _sent(block: int, **columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each entry of a block's sorted list: block, place in the list, and the entry."""
+def _sent(block: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each entry of a block's sorted list: block, place in the list, and the entry; in small batches, since each is held outside the JVM's heap."""
     n = len(next(iter(columns.values())))
-    arrays = [pa.array(np.full(n, block, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(v.view(np.int64)) for v in columns.values()]]
-    return pa.RecordBatch.from_arrays(arrays, names=["block", "at", *columns])
+    for start in range(0, n, BATCH_ROWS):
+        at = np.arange(start, min(n, start + BATCH_ROWS), dtype=np.int32)
+        entries = [pa.array(v[start : start + BATCH_ROWS].view(np.int64)) for v in columns.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, dtype=np.int64)), pa.array(at), *entries], names=["block", "at", *columns])
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block_bytes: int = BLOCK_BYTES, group_hashes: int = GROUP_HASHES) -> DataFrame:
@@ -153,7 +158,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield _sent(block, h=_Block(texts.as_py(), length).distinct_anchors()[0])
+                yield from _sent(block, h=_Block(texts.as_py(), length).distinct_anchors()[0])
 
     anchors = blocks.select("block", "texts").mapInArrow(send_anchors, "block long, at int, h long")
     twice = anchors.repartition(tasks, "h").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
@@ -166,7 +171,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         for k in range(left.num_rows):
             row = {c: left.column(c)[k].as_py() for c in left.column_names}
             _, _, _, found = _settled(row, right, length)
-            batches.append(_sent(row["block"], h1=found["h1"], h2=found["h2"], own=found["least"]))
+            batches += _sent(row["block"], h1=found["h1"], h2=found["h2"], own=found["least"])
         schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "own")]])
         return pa.Table.from_batches(batches, schema)
 
