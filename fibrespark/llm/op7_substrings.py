@@ -64,7 +64,7 @@ class _Block:
         self.length = length
         self.texts = [t.encode("utf-8") for t in unpack_strings(texts)]
         self.words, self.counts = words_of_texts(self.texts)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         half = -(-length // 2)
         grams = windows(self.words, half)
         n = max(0, len(self.words) - length + 1)
@@ -74,7 +74,7 @@ class _Block:
             least = np.minimum(least[: len(least) - step], least[step:])
             span += step
         inside = self.doc[:n] == self.doc[length - 1 : length - 1 + n] if n else np.zeros(0, bool)
-        self.starts = np.flatnonzero(inside)
+        self.starts = np.flatnonzero(inside).astype(np.int32)
         self.anchors = least[self.starts] if n else np.zeros(0, np.uint64)
 
     def distinct_anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +94,19 @@ class _Block:
         if len(repeated):
             place = np.minimum(np.searchsorted(repeated, self.anchors), len(repeated) - 1)
             keep &= repeated[place] == self.anchors
+            del place
         else:
             keep[:] = False
         starts = self.starts[keep]
-        h1, h2 = windows(self.words, self.length)[starts], windows(self.words, self.length, kind=1)[starts]
+        h1 = windows(self.words, self.length)[starts]
+        h2 = windows(self.words, self.length, kind=1)[starts]
         own = ids[self.doc[starts]]
         order = np.lexsort((own, h2, h1))
         a, b = h1[order], h2[order]
+        del h1, h2
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
         at = np.flatnonzero(first)
-        entry = np.empty(len(order), dtype=np.int64)
+        entry = np.empty(len(order), dtype=np.int32)
         entry[order] = np.cumsum(first) - 1
         return {"starts": starts, "own": own, "entry": entry, "h1": a[at], "h2": b[at], "least": own[order][at]}
 

@@ -42,11 +42,11 @@ def _inverse(base: int) -> int:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x = x ^ (x >> np.uint64(33))  # a copy; the rest is done in it
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x *= np.uint64(factor)
+        x ^= x >> np.uint64(33)
+    return x
 
 
 def _slice_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,4 +103,8 @@ def windows(words: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
     own = words if kind == 0 else mixed(words ^ np.uint64(_BASES[0]))
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(own * powers(base, len(words)), out=sums[1:])
-    return mixed((sums[length:] - sums[:-length]) * powers(_inverse(base), n))
+    del own
+    spans = sums[length:] - sums[:-length]
+    del sums
+    spans *= powers(_inverse(base), n)
+    return mixed(spans)
