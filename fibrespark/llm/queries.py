@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op1_warc, op2_html, op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op8_lines, op9_token_counts, op10_sentencepiece
+from . import op1_warc, op2_html, op3_embeddings, op4_mixing, op5_quality, op6_minhash, op7_substrings, op8_lines, op9_token_counts, op10_sentencepiece, op11_filter_audit, op12_spelling, op13_chat
 
 # SQL on the same tables for the engine that checks the results ---------------------------------------------------
 
@@ -159,6 +160,56 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY t) < coalesce(doc_id, 9223372036854775807) THEN 16 ELSE 0 END AS mask FROM d),
+g AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest([1, 2, 4, 8, 16]) AS b, unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INTEGER AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+      FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE b AS (SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256))::BIGINT AS i)),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS m FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+y AS (SELECT run, m, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END for c in string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, '')]) AS bytes FROM d),
+h AS (SELECT run, m, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM y, b),
+q AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, m FROM h),
+v AS (SELECT word, sum(m)::BIGINT AS n FROM q WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+p AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+k AS (SELECT word, n, i, word[:i] || '-' || word[i + 2:] AS gap, word[:i] || word[i + 2:] AS rest FROM p),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM k x JOIN k y ON x.gap = y.gap AND x.word <> y.word
+      UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = k.rest UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = k.rest),
+t AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS best FROM e GROUP BY word),
+f AS (SELECT v.word, CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n FROM v LEFT JOIN t USING (word)),
+w AS (SELECT word, word AS at, 0 AS hops FROM f UNION ALL SELECT w.word, f.form, hops + 1 FROM w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT max_by(w.at, w.hops) FROM w WHERE w.word = f.word) AS root, n, n_near, form_n::BIGINT AS form_n FROM f
+"""
+
+OP13_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS r FROM c),
+x AS (SELECT *, 12 + 1 + 11 + length(r) + length(text) + len(regexp_extract_all(r, '<\\*(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])'))
+        + len(regexp_extract_all(text, '<\\*(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])')) AS n FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id
+"""
+
+
 def vocab(name: str) -> str:
     import public_tokenizers
 
@@ -209,5 +260,21 @@ def op10_sentencepiece_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sentencepiece.encode(table(spark, sf_dir, "documents"), vocab("piece_bpe_32k.model"), outputs=("ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_resolve_revisits, op2_main_text, op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op8_dedup_lines, op9_count_tokens, op10_sentencepiece_round)}
-ORACLE_SQL = {"op1_resolve_revisits": OP1_SQL, "op2_main_text": OP2_SQL, "op3_embedding_near_dups": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL, "op8_dedup_lines": OP8_SQL}
+def op11_filter_audit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one more conversation, whose texts are made of control strings."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return op13_chat.chat_report(rows.unionByName(extra))
+
+
+QUERIES = {f.__name__: f for f in (op1_resolve_revisits, op2_main_text, op3_embedding_near_dups, op4_mix_sources, op5_quality_rules, op6_minhash_near_dups, op7_dedup_substrings, op8_dedup_lines, op9_count_tokens, op10_sentencepiece_round, op11_filter_audit_orders, op12_spelling_variants, op13_chat_format)}
+ORACLE_SQL = {"op1_resolve_revisits": OP1_SQL, "op2_main_text": OP2_SQL, "op3_embedding_near_dups": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_minhash_near_dups": OP6_SQL, "op7_dedup_substrings": OP7_SQL, "op8_dedup_lines": OP8_SQL, "op11_filter_audit_orders": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_chat_format": OP13_SQL}
