@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fibrespark.operators import boundary, coefficients, curvelet, grouping, heatmap, neighbors, roi, sinks, statistics
+from fibrespark.operators import boundary, coefficients, curvelet, curvelet3d, grouping, heatmap, neighbors, roi, sinks, statistics
 
 
 class AnalysisError(Exception):
@@ -124,3 +124,19 @@ def analyze_fibers(fibers: DataFrame, parameters: AnalysisParameters, points: Da
 
 def analyze_images(images: DataFrame, parameters: AnalysisParameters, points: DataFrame | None = None, mask: DataFrame | None = None) -> Analysis:
     return analyze_fibers(extract_fibers(images, parameters), parameters, points, mask)
+
+
+@dataclass(frozen=True)
+class StackAnalysis:
+    """Lazy tables of stacks: the directions of their strongest coefficients, and the slices put together from what was kept."""
+
+    orientations: DataFrame
+    slices: DataFrame
+
+
+def analyze_stacks(slices: DataFrame, scale: int = 2, percent: float = 1.0, share: float = 0.9999, scales: int = curvelet3d.SCALES, coarse_wedges: int = curvelet3d.COARSE_WEDGES) -> StackAnalysis:
+    """Stacks (image_id, z, height, width, pixels) to the orientations of one scale's strongest wedges and the reconstruction from all coefficients."""
+    if not 0 < scale < scales - 1:
+        raise ParameterError("scale must be one that has directions")
+    planes = curvelet3d.transform_stacks(slices, scales, coarse_wedges)
+    return StackAnalysis(coefficients.orientations3d(curvelet3d.coefficient_rows(planes, scale), scale, percent, share), curvelet3d.reconstruct_stacks(planes, scales, coarse_wedges))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fibrespark.functions import angles
-from fibrespark.operators import boundary, coefficients, contours, curvelet, grouping, heatmap, neighbors, roi, sinks, statistics
+from fibrespark.operators import boundary, coefficients, contours, curvelet, curvelet3d, grouping, heatmap, neighbors, roi, sinks, statistics
 from fibrespark.plans.pipeline import AnalysisParameters, analyze_fibers
 from fibrespark.sources import derived
-from fibrespark.sources.derived import COEFFS_SQL, FIBERS_SQL, MASK_SQL, POINTS_SQL, SIDE
+from fibrespark.sources.derived import COEFFS_SQL, FIBERS_SQL, MASK_SQL, POINTS_SQL, SIDE, STACKS_SQL
 
 THRESHOLD = 40.0
 
@@ -195,6 +195,20 @@ def curvelet_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     return r.select("image_id", "height", "width", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x * x), 3).alias("energy"))
 
 
+def curvelet3d_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Energy of all coefficients of each stack: a tight frame keeps the stack's."""
+    c = curvelet3d.transform_stacks(derived.stacks(spark, d))
+    squares = F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, x: a + x)
+    return c.groupBy("image_id").agg(F.round(F.sum(squares), 3).alias("energy"))
+
+
+def curvelet3d_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels, levels and places of each slice after the transform and its inverse."""
+    r = curvelet3d.reconstruct_stacks(curvelet3d.transform_stacks(derived.stacks(spark, d)))
+    px = r.select("image_id", "z", F.posexplode("pixels").alias("k", "v")).withColumn("v", F.round("v", 6).cast("long")).where("v <> 0")
+    return px.groupBy("image_id", "z").agg(F.count(F.lit(1)).alias("pixels"), F.sum("v").alias("levels"), F.sum(F.col("v") * F.col("k")).alias("places"))
+
+
 def mask_contours(spark: SparkSession, d: str) -> DataFrame:
     c = contours.mask_contours(_mask(spark, d).withColumn("value", F.lit(1)))
     return c.groupBy("image_id", "roi_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("row"), 6).alias("row"), F.round(F.avg("col"), 6).alias("col"))
@@ -206,7 +220,7 @@ QUERIES = {
         fiber_features, nearest_neighbors, box_features, angle_histogram, angle_histogram_centers, angle_statistics, polygon_mask, nearest_boundary, boundary_association, relative_angles,
         roi_properties, roi_alignment, roi_summary, roi_edge_alignment, area_samples, extension_points, segment_pixels, coefficient_threshold, kept_coefficients, wedge_means, top_wedges,
         above_percentile, orientations3d, map_raw, map_circular, map_density, map_gaussian, map_processed, overlay_segments, feature_table, curvelet_groups, curvelet_coefficients,
-        curvelet_reconstruction, mask_contours,
+        curvelet_reconstruction, curvelet3d_energy, curvelet3d_reconstruction, mask_contours,
     )
 }
 
@@ -316,6 +330,8 @@ ORACLE_SQL = {
     "orientations3d": f"""WITH {COEFFS_SQL}, {_MEANS}, {_TOP}, t AS (SELECT image_id, wedge, quantile_cont(value, 0.9) AS threshold FROM coeffs GROUP BY ALL)
       SELECT image_id, wedge, k // 4 AS k1, (k // 2) % 2 AS k2, k % 2 AS k3, round(sin(0.5::DOUBLE) * cos(wedge * 0.5::DOUBLE), 6) AS x, round(sin(0.5::DOUBLE) * sin(wedge * 0.5::DOUBLE), 6) AS y, round(cos(0.5::DOUBLE), 6) AS z
       FROM coeffs JOIN t USING (image_id, wedge) JOIN tw USING (image_id, wedge) WHERE value > threshold""",
+    "curvelet3d_energy": f"WITH {FIBERS_SQL}, {STACKS_SQL} SELECT image_id, round(sum(v * v)::DOUBLE, 3) AS energy FROM lit GROUP BY image_id",
+    "curvelet3d_reconstruction": f"WITH {FIBERS_SQL}, {STACKS_SQL} SELECT image_id, z, count(*) AS pixels, sum(v)::BIGINT AS levels, sum(v * (r * 32 + c))::BIGINT AS places FROM lit GROUP BY image_id, z",
     "map_raw": f"WITH {FIBERS_SQL}, {_RAW} SELECT image_id, row, col, {_round('value')} FROM raw",
     "map_circular": f"""WITH {FIBERS_SQL}, {_RAW} SELECT a.image_id, a.row, a.col, round(255 * sqrt(pow(sum(cos(b.value * pi() / 127.5)), 2) + pow(sum(sin(b.value * pi() / 127.5)), 2)) / count(*), 6) AS value
       FROM raw a JOIN raw b ON a.image_id = b.image_id AND abs(a.row - b.row) < 19 AND abs(a.col - b.col) < 19 GROUP BY ALL HAVING count(*) > 2""",

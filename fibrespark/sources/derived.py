@@ -71,17 +71,37 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("image_id", "wedge", F.shiftright(k, 2).alias("k1"), F.shiftright(k, 1).bitwiseAND(F.lit(1)).alias("k2"), k.bitwiseAND(F.lit(1)).alias("k3"), "value")
 
 
-def pictures(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
-    """A picture per image of fibers (image_id, height, width, pixels): each fiber a short bright line, on a plane scaled to ``side``."""
-    f = fibers(spark, sf_dir)
+def _lit(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """(image_id, r, c, v): how often a pixel of a plane of ``side`` is met by short lines through its fibers."""
     scale = side / SIDE
     step = F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("t")
-    at = f.select("image_id", "angle", "center_row", "center_col", step)
-    at = at.select("image_id", F.floor(F.col("center_row") * scale - F.col("t") * F.sin(F.radians("angle")) + 0.5).alias("r"), F.floor(F.col("center_col") * scale + F.col("t") * F.cos(F.radians("angle")) + 0.5).alias("c"))
-    lit = at.where(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1)).groupBy("image_id", "r", "c").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    at = fibers(spark, sf_dir).select("image_id", "angle", "center_row", "center_col", step)
+    place = lambda x: F.floor(F.round(x, 6) + 0.5)
+    r, c = F.col("center_row") * scale - F.col("t") * F.sin(F.radians("angle")), F.col("center_col") * scale + F.col("t") * F.cos(F.radians("angle"))
+    at = at.select("image_id", place(r).alias("r"), place(c).alias("c"))
+    return at.where(F.col("r").between(0, side - 1) & F.col("c").between(0, side - 1)).groupBy("image_id", "r", "c").agg(F.count(F.lit(1)).cast("double").alias("v"))
+
+
+def pictures(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
+    """A picture per image of fibers (image_id, height, width, pixels): each fiber a short bright line, on a plane scaled to ``side``."""
+    lit = _lit(spark, sf_dir, side)
     cells = lit.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((F.col("r") * side + F.col("c")).alias("k"), "v"))).alias("cells"))  # at most side * side
     dark = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
     before = lambda i: F.coalesce(F.get("cells", i - 1)["k"], F.lit(-1))
     runs = F.transform("cells", lambda x, i: F.concat(dark(x["k"] - before(i) - 1), F.array(x["v"])))
     pixels = F.concat(F.flatten(runs), dark(F.lit(side * side - 1) - F.element_at("cells", -1)["k"]))
     return cells.select("image_id", F.lit(side).alias("height"), F.lit(side).alias("width"), pixels.alias("pixels"))
+
+
+STACK = 16  # slices of a derived stack
+STACK_SIDE = 32
+
+STACKS_SQL = f"""lit AS (SELECT CAST(floor(image_id / {STACK}.0) AS BIGINT) AS image_id, (image_id % {STACK})::INT AS z, r, c, count(*) AS v
+  FROM (SELECT image_id, floor(round(center_row * {STACK_SIDE / SIDE} - t * sin(radians(angle)), 6) + 0.5)::INT AS r, floor(round(center_col * {STACK_SIDE / SIDE} + t * cos(radians(angle)), 6) + 0.5)::INT AS c
+    FROM fibers, (SELECT unnest(range(-3, 4)) AS t)) WHERE r BETWEEN 0 AND {STACK_SIDE - 1} AND c BETWEEN 0 AND {STACK_SIDE - 1} GROUP BY ALL)"""
+
+
+def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small pictures, one upon the other: image_id (the stack), z, height, width, pixels."""
+    image = F.col("image_id")
+    return pictures(spark, sf_dir, STACK_SIDE).select(F.floor(image / float(STACK)).cast("long").alias("image_id"), (image % STACK).cast("int").alias("z"), "height", "width", "pixels")
