@@ -1,62 +1,90 @@
-"""Grouping of curvelets that describe one fiber. The result depends on the order of seeds, so an image is one group of rows."""
+"""Grouping of curvelets that describe one fiber: the greedy scan in the order of seeds, as rounds of joins.
+
+The first free point seeds a group that takes every free point in the open box around it. So a point is a seed unless an earlier seed's box holds it, and belongs to the first
+seed whose box does. Points meet on grid cells, so an image is many keys; a round decides every point all of whose earlier neighbours are decided:
+neighbours that no undecided earlier point reaches are seeds, and what they reach isn't. The undecided shrink with each round, whatever the order; how many rounds there are
+depends on it (some ten on images, as many as there are boxes in a row where seeds are sorted along one).
+"""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def mean_orientation(angles: np.ndarray, step: float) -> float:
-    """Mean of orientations in [0, 180), cut where that makes them least scattered, at a multiple of ``step`` below the largest."""
-    best, spread = float(angles.mean()), float(angles.std())
-    for cut in np.arange(angles.min(), angles.max() + step, step)[::-1]:
-        turned = np.where(angles >= cut, angles - 180, angles)
-        if (s := float(turned.std())) < spread - 1e-12:
-            best, spread = float(turned.mean()), s
-    return best % 180
-
-
-def _groups(rows: np.ndarray, cols: np.ndarray, radius: float) -> np.ndarray:
-    """Group number of each point: the first free point seeds a group that takes all free points in the open box around it."""
-    size = max(1.0, 2 * radius)
-    cells: dict[tuple[int, int], list[int]] = {}
-    for k, (r, c) in enumerate(zip(rows, cols)):
-        cells.setdefault((int(r // size), int(c // size)), []).append(k)
-    group = np.full(len(rows), -1)
-    for seed in range(len(rows)):
-        if group[seed] >= 0:
-            continue
-        r, c = rows[seed], cols[seed]
-        low_r, high_r, low_c, high_c = math.floor(r - radius), math.ceil(r + radius), math.ceil(c - radius), math.floor(c + radius)
-        group[seed] = seed
-        for cr in range(int(low_r // size), int(high_r // size) + 1):
-            for cc in range(int(low_c // size), int(high_c // size) + 1):
-                for k in cells.get((cr, cc), ()):
-                    if group[k] < 0 and low_r < rows[k] < high_r and low_c < cols[k] < high_c:
-                        group[k] = seed
-    return group
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from fibrespark.functions.tables import Rounds
+
+#: Deviations closer than that count as equal; of equal ones the larger cut is taken.
+PLACES = 9
+
+
+def reaches(points: DataFrame, radius: float) -> DataFrame:
+    """Points (image_id, seed, center_row, center_col) to (image_id, seed, by): the earlier points ``by`` in whose open box a point lies."""
+    size = F.lit(max(1.0, math.ceil(radius) + 1.0))
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    p = points.select("image_id", "seed", F.col("center_row").alias("r"), F.col("center_col").alias("c"), cell("center_row").alias("gr"), cell("center_col").alias("gc"))
+    around = F.explode(F.array(*[F.struct((F.col("gr") + a).alias("gr"), (F.col("gc") + b).alias("gc")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    q = p.select("image_id", F.col("seed").alias("by"), F.col("r").alias("qr"), F.col("c").alias("qc"), around.alias("g")).select("image_id", "by", "qr", "qc", "g.gr", "g.gc")
+    r, c, qr, qc = (F.col(x) for x in ("r", "c", "qr", "qc"))
+    inside = (r > F.floor(qr - radius)) & (r < F.ceil(qr + radius)) & (c > F.ceil(qc - radius)) & (c < F.floor(qc + radius))
+    return p.join(q, ["image_id", "gr", "gc"]).where((F.col("by") < F.col("seed")) & inside).select("image_id", "seed", "by")
+
+
+def seeds(points: DataFrame, radius: float) -> DataFrame:
+    """(image_id, seed, group): the seed that takes each point, itself for a seed. Seeds are unique in an image."""
+    rounds = Rounds(points.sparkSession, "groups")
+    own = rounds.write(points.select("image_id", "seed", F.col("center_row").cast("double"), F.col("center_col").cast("double")))
+    edges = rounds.write(reaches(own, radius))
+    left, taken = edges, None
+    while not left.isEmpty():
+        ready = left.select("image_id", F.col("by").alias("seed")).distinct().join(left.select("image_id", "seed").distinct(), ["image_id", "seed"], "left_anti")
+        met = left.join(ready.withColumnRenamed("seed", "by"), ["image_id", "by"], "left_semi").select("image_id", "seed").distinct()
+        met = rounds.write(met)
+        taken = met if taken is None else taken.unionByName(met)
+        before, left = left, left.join(met, ["image_id", "seed"], "left_anti").join(met.withColumnRenamed("seed", "by"), ["image_id", "by"], "left_anti")
+        left = rounds.write(left.select("image_id", "seed", "by"))
+        if before is not edges:
+            rounds.drop(before)
+    if taken is None:
+        return own.select("image_id", "seed", F.col("seed").alias("group"))
+    first = edges.join(taken.withColumnRenamed("seed", "by"), ["image_id", "by"], "left_anti").groupBy("image_id", "seed").agg(F.min("by").alias("group"))
+    return own.select("image_id", "seed").join(first, ["image_id", "seed"], "left").withColumn("group", F.coalesce("group", "seed"))
+
+
+def mean_orientations(angles: DataFrame, step: float, by: tuple[str, ...] = ("image_id", "group")) -> DataFrame:
+    """Angles (..., angle) in [0, 180) to (..., angle): the mean of each group's, cut where that makes them least scattered.
+
+    Cuts are multiples of ``step`` above the group's smallest angle; angles from the cut on are turned back by 180. In the order of angles a cut's deviation is one expression of
+    running sums. Nulls don't count; the deviation that no cut lessens is that of the angles as they are.
+    """
+    known = angles.where("angle IS NOT NULL").select(*by, F.col("angle").cast("double").alias("a"))
+    every = Window.partitionBy(*by)
+    upto = every.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    m, total, squares = F.count("a").over(every), F.sum("a").over(every), F.sum(F.col("a") * F.col("a")).over(every)
+    rows = known.select(*by, "a", m.alias("m"), total.alias("s"), squares.alias("q"), F.min("a").over(every).alias("low"), F.lag("a").over(every.orderBy("a")).alias("before"),
+                        F.coalesce(F.count("a").over(upto), F.lit(0)).alias("n0"), F.coalesce(F.sum("a").over(upto), F.lit(0.0)).alias("s0"))
+    n1, s1 = F.col("m") - F.col("n0"), F.col("s") - F.col("s0")
+    mean = (F.col("s") - 180 * n1) / F.col("m")
+    spread = lambda q, mu: F.round(F.sqrt(F.greatest(F.lit(0.0), q / F.col("m") - mu * mu)), PLACES)
+    cut = F.col("low") + F.floor(F.round((F.col("a") - F.col("low")) / step, PLACES)) * step  # the last cut at or before the angle
+    parts = F.col("before").isNotNull() & (cut > F.col("before") + 1e-9)
+    turned = F.when(parts, F.struct(spread(F.col("q") - 360 * s1 + 32400 * n1, mean).alias("d"), (-F.col("a")).alias("o"), mean.alias("mean")))
+    plain = F.struct(spread(F.col("q"), F.col("s") / F.col("m")).alias("d"), F.lit(float("-inf")).alias("o"), (F.col("s") / F.col("m")).alias("mean"))
+    best = F.min(F.least(plain, F.coalesce(turned, plain)))["mean"]
+    return rows.groupBy(*by).agg(F.pmod(best, F.lit(180.0)).alias("angle"))
+
+
+def _half_up(c: Column) -> Column:
+    return F.floor(c + 0.5).cast("double")
 
 
 def group_curvelets(points: DataFrame, radius: float, step: float) -> DataFrame:
     """(image_id, fiber_id, center_row, center_col, angle, weight): one fiber per group: median centre rounded half up, mean orientation, number of curvelets.
 
-    Points: image_id, seed (order of seeds), center_row, center_col, angle. fiber_id is the group's first seed.
+    Points: image_id, seed (order of seeds), center_row, center_col, angle. fiber_id is the group's first seed. An image without points has no fibers.
     """
-    kind = points.schema["image_id"].dataType.simpleString()
-
-    def group(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("seed", kind="stable")
-        r, c, a = (p[x].to_numpy(float) for x in ("center_row", "center_col", "angle"))
-        g = _groups(r, c, radius)
-        order = np.argsort(g, kind="stable")
-        starts = np.flatnonzero(np.diff(g[order], prepend=-1))
-        parts = np.split(order, starts[1:]) if len(order) else []
-        half_up = lambda x: math.floor(float(np.median(x)) + 0.5)
-        seeds = p["seed"].to_numpy()
-        made = [(key[0], int(seeds[i[0]]), float(half_up(r[i])), float(half_up(c[i])), mean_orientation(a[i], step), float(len(i))) for i in parts]
-        return pd.DataFrame(made, columns=["image_id", "fiber_id", "center_row", "center_col", "angle", "weight"])
-
-    return points.groupBy("image_id").applyInPandas(group, f"image_id {kind}, fiber_id long, center_row double, center_col double, angle double, weight double")
+    grouped = points.select("image_id", "seed", "center_row", "center_col", "angle").join(seeds(points, radius), ["image_id", "seed"])
+    centers = grouped.groupBy("image_id", "group").agg(_half_up(F.median("center_row")).alias("center_row"), _half_up(F.median("center_col")).alias("center_col"), F.count(F.lit(1)).cast("double").alias("weight"))
+    angles = mean_orientations(grouped, step)
+    return centers.join(angles, ["image_id", "group"], "left").select("image_id", F.col("group").cast("long").alias("fiber_id"), "center_row", "center_col", "angle", "weight")

@@ -180,7 +180,7 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curvelet_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Grouping depends on the order of seeds."""
+    """Every fiber as a curvelet; the order of seeds is that of the ids."""
     return rounded(grouping.group_curvelets(derived.fibers(spark, d).withColumn("seed", F.col("fiber_id")), 10.0, 5.625))
 
 
@@ -330,6 +330,16 @@ ORACLE_SQL = {
     "orientations3d": f"""WITH {COEFFS_SQL}, {_MEANS}, {_TOP}, t AS (SELECT image_id, wedge, quantile_cont(value, 0.9) AS threshold FROM coeffs GROUP BY ALL)
       SELECT image_id, wedge, k // 4 AS k1, (k // 2) % 2 AS k2, k % 2 AS k3, round(sin(0.5::DOUBLE) * cos(wedge * 0.5::DOUBLE), 6) AS x, round(sin(0.5::DOUBLE) * sin(wedge * 0.5::DOUBLE), 6) AS y, round(cos(0.5::DOUBLE), 6) AS z
       FROM coeffs JOIN t USING (image_id, wedge) JOIN tw USING (image_id, wedge) WHERE value > threshold""",
+    "curvelet_groups": f"""WITH RECURSIVE {FIBERS_SQL}, pts AS (SELECT image_id, list({{'s': fiber_id, 'r': center_row, 'c': center_col, 'a': angle}} ORDER BY fiber_id) AS p FROM fibers GROUP BY image_id),
+      g AS (SELECT image_id, 0 AS k, list_transform(p, lambda x: 0) AS grp FROM pts UNION ALL
+        SELECT g.image_id, k + 1, CASE WHEN grp[k + 1] <> 0 THEN grp ELSE list_transform(grp, lambda v, i: CASE WHEN v <> 0 THEN v WHEN i = k + 1 THEN k + 1
+          WHEN p[i].r > floor(p[k + 1].r - 10) AND p[i].r < ceil(p[k + 1].r + 10) AND p[i].c > ceil(p[k + 1].c - 10) AND p[i].c < floor(p[k + 1].c + 10) THEN k + 1 ELSE 0 END) END FROM g JOIN pts USING (image_id) WHERE k < len(p)),
+      m AS (SELECT image_id, p[grp[i]].s AS fiber_id, p[i].r AS r, p[i].c AS c, p[i].a AS a FROM (SELECT g.image_id, p, grp, unnest(range(1, len(p) + 1)) AS i FROM g JOIN pts USING (image_id) WHERE k = len(p))),
+      low AS (SELECT image_id, fiber_id, min(a) AS low, count(*) AS n, floor(median(r) + 0.5) AS center_row, floor(median(c) + 0.5) AS center_col FROM m GROUP BY ALL),
+      cuts AS (SELECT image_id, fiber_id, k, avg(CASE WHEN k < 34 AND a >= low + k * 5.625 THEN a - 180 ELSE a END) AS mean, round(stddev_pop(CASE WHEN k < 34 AND a >= low + k * 5.625 THEN a - 180 ELSE a END), 9) AS d
+        FROM m JOIN low USING (image_id, fiber_id), (SELECT unnest(range(0, 35)) AS k) GROUP BY ALL)
+      SELECT image_id, fiber_id, any_value(center_row) AS center_row, any_value(center_col) AS center_col, round((arg_min(mean, (d, -k)) % 180 + 180) % 180, 6) AS angle, any_value(n)::DOUBLE AS weight
+      FROM cuts JOIN low USING (image_id, fiber_id) GROUP BY image_id, fiber_id""",
     "curvelet3d_energy": f"WITH {FIBERS_SQL}, {STACKS_SQL} SELECT image_id, round(sum(v * v)::DOUBLE, 3) AS energy FROM lit GROUP BY image_id",
     "curvelet3d_reconstruction": f"WITH {FIBERS_SQL}, {STACKS_SQL} SELECT image_id, z, count(*) AS pixels, sum(v)::BIGINT AS levels, sum(v * (r * 32 + c))::BIGINT AS places FROM lit GROUP BY image_id, z",
     "map_raw": f"WITH {FIBERS_SQL}, {_RAW} SELECT image_id, row, col, {_round('value')} FROM raw",
