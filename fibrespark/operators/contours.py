@@ -1,86 +1,146 @@
-"""Masks to outlines: connected components and contours of an image, traced where the image is; pixels of one image are one group."""
+"""Masks to outlines: connected components of a raster and closed contours, as joins and grouped aggregates; an image may be many keys.
 
-from __future__ import annotations
+Components: pixels become runs of a pixel row; runs of neighbouring rows that overlap, corners included, are linked; alternating stars (Kiveris et al., 2014) join linked runs to their first.
+Contours: a filled pixel with an empty neighbour holds a point between the two. Which point follows is told by the eight pixels around, so the points of a loop are a linked list.
+Lists are ranked by pointer doubling: after k rounds a point knows the least of the next 2 ** k points and how far it is, and rounds end when no point learns a lesser one.
+"""
 
-from collections import deque
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from fibrespark.functions.tables import Rounds
+
+#: Columns of a cell in which runs of neighbouring rows meet.
+CELL = 64
+#: Steps (row, column) up, right, down, left: each is the one before it turned clockwise.
+STEPS = ((-1, 0), (0, 1), (1, 0), (0, -1))
+
+
+def _filled(mask: DataFrame) -> DataFrame:
+    return mask.where("value > 0").select("image_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+
+
+def mask_runs(mask: DataFrame) -> DataFrame:
+    """(image_id, row, first, last): the runs of filled pixels of every pixel row. Mask: image_id, row, col, value; above 0 is filled, repeated pixels count once."""
+    order = Window.partitionBy("image_id", "row").orderBy("col")
+    rows = _filled(mask).withColumn("run", F.col("col") - F.row_number().over(order))
+    return rows.groupBy("image_id", "row", "run").agg(F.min("col").alias("first"), F.max("col").alias("last")).drop("run")
+
+
+def run_links(runs: DataFrame) -> DataFrame:
+    """Runs (image_id, row, first, last, node) to (image_id, a, b): runs of neighbouring rows that overlap or touch by a corner."""
+    cell = lambda c: F.floor(c / CELL)
+    spread = runs.select("image_id", "row", "first", "last", "node", F.explode(F.sequence(cell(F.col("first") - 1), cell(F.col("last") + 1))).alias("cell"))
+    above = spread.select("image_id", (F.col("row") + 1).alias("row"), "cell", F.col("first").alias("f"), F.col("last").alias("l"), F.col("node").alias("b"))
+    met = spread.join(above, ["image_id", "row", "cell"]).where("first <= l + 1 AND f <= last + 1")
+    return met.select("image_id", F.col("node").alias("a"), "b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Links (image_id, a, b) between longs to (image_id, node, root): each linked node with the least one that links reach. Large star and small star in turn, until neither moves a link."""
+    rounds = Rounds(links.sparkSession, "components")
+    both = lambda e: e.unionByName(e.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    ordered = lambda e: e.where("a <> b").select("image_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = rounds.write(ordered(links))
+    while True:
+        around = both(edges)
+        least = around.groupBy("image_id", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = rounds.write(ordered(around.where("b > a").join(least, ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b"))))
+        least = large.groupBy("image_id", "a").agg(F.min("b").alias("m"))
+        small = large.join(least, ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("image_id", "a", F.col("m").alias("b")))
+        small = rounds.write(ordered(small))
+        moved = small.join(edges, ["image_id", "a", "b"], "left_anti")
+        done = moved.isEmpty() and edges.join(small, ["image_id", "a", "b"], "left_anti").isEmpty()
+        rounds.drop(edges, large)
+        edges = small
+        if done:
+            return edges.select("image_id", F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("image_id", F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def labelled_runs(mask: DataFrame) -> DataFrame:
+    """(image_id, row, first, last, roi_id): runs with the number of their component, from 1 in the order of components' first pixels, row by row."""
+    rounds = Rounds(mask.sparkSession, "runs")
+    # a run is named by its first pixel, so a component's least run is its first
+    runs = rounds.write(mask_runs(mask).withColumn("node", F.shiftleft("row", 32) + F.col("first")))
+    roots = components(run_links(runs))
+    rooted = runs.join(roots, ["image_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    number = F.row_number().over(Window.partitionBy("image_id").orderBy("root")).cast("long")
+    numbers = rooted.select("image_id", "root").distinct().withColumn("roi_id", number)
+    return rooted.join(numbers, ["image_id", "root"]).select("image_id", "row", "first", "last", "roi_id")
 
 
-def label_pixels(filled: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
-    """Component number (from 1, by first pixel in row order) of each filled pixel; corners connect."""
-    labels: dict[tuple[int, int], int] = {}
-    n = 0
-    for start in sorted(filled):
-        if start in labels:
-            continue
-        n += 1
-        labels[start] = n
-        queue = deque([start])
-        while queue:
-            r, c = queue.popleft()
-            for p in ((r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                if p in filled and p not in labels:
-                    labels[p] = n
-                    queue.append(p)
-    return labels
+def mask_components(mask: DataFrame) -> DataFrame:
+    """(image_id, row, col, roi_id) of every filled pixel."""
+    return labelled_runs(mask).select("image_id", "row", F.explode(F.sequence("first", "last")).alias("col"), "roi_id")
 
 
-def trace(filled: set[tuple[int, int]]) -> list[list[tuple[float, float]]]:
-    """Closed contours at level one half: loops over the midpoints between a filled pixel and an empty neighbour, filled pixels to the left.
+def contour_steps(mask: DataFrame) -> DataFrame:
+    """(image_id, r, c, next_r, next_c, row, col): the points of all contours in half pixels (r and c are doubled), the point after each, and the filled pixel that it is beside.
 
-    Every square of four pixels joins the midpoints on its sides; where two filled pixels touch by their corner, the empty ones stay apart from each other.
+    Filled pixels lie to the left. Where two of them touch by their corner, the empty ones stay apart from each other.
     """
-    squares = {(r - a, c - b) for r, c in filled for a in (0, 1) for b in (0, 1)}
-    follow: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for r, c in squares:
-        corner = [(r, c) in filled, (r, c + 1) in filled, (r + 1, c + 1) in filled, (r + 1, c) in filled]  # clockwise
-        side = [(r, c + 0.5), (r + 0.5, c + 1), (r + 1, c + 0.5), (r + 0.5, c)]  # after each corner
-        enters = [k for k in range(4) if not corner[k] and corner[(k + 1) % 4]]
-        for k in enters:
-            leave = next(m % 4 for m in range(k + 1, k + 5) if corner[m % 4] and not corner[(m + 1) % 4])
-            follow.setdefault(side[leave], []).append(side[k])
-    loops = []
-    while follow:
-        start = min(follow)
-        loop = [start]
-        while True:
-            nexts = follow[loop[-1]]
-            step = nexts.pop()
-            if not nexts:
-                del follow[loop[-1]]
-            loop.append(step)
-            if step == start:
-                break
-        loops.append(loop)
-    return loops
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    bit = {step: 1 << k for k, step in enumerate(around)}
+    told = F.explode(F.array(*[F.struct((F.col("row") - a).alias("row"), (F.col("col") - b).alias("col"), F.lit(bit[a, b]).alias("bit")) for a, b in around]))
+    seen = _filled(mask).select("image_id", told.alias("x")).select("image_id", "x.*").groupBy("image_id", "row", "col").agg(F.bit_or("bit").alias("seen"))
+    edge = sum(bit[s] for s in STEPS)
+    seen = seen.where((F.col("seen").bitwiseAND(F.lit(bit[0, 0])) != 0) & (F.col("seen").bitwiseAND(F.lit(edge)) != edge))
+    filled = lambda *step: F.col("seen").bitwiseAND(F.lit(bit[step])) != 0
+
+    def point(at: tuple[int, int], towards: tuple[int, int]) -> Column:
+        return F.struct((2 * (F.col("row") + at[0]) + towards[0]).alias("r"), (2 * (F.col("col") + at[1]) + towards[1]).alias("c"))
+
+    points = []
+    for k, (dr, dc) in enumerate(STEPS):
+        side, back = STEPS[(k + 1) % 4], STEPS[k - 1]
+        ahead = (side[0] + dr, side[1] + dc)
+        follows = F.when(~filled(*side), point((0, 0), side)).when(~filled(*ahead), point(side, (dr, dc))).otherwise(point(ahead, back))
+        points.append(F.when(~filled(dr, dc), F.struct(point((0, 0), (dr, dc)).alias("p"), follows.alias("n"))))
+    each = seen.select("image_id", "row", "col", F.explode(F.array_compact(F.array(*points))).alias("x"))
+    return each.select("image_id", F.col("x.p.r").alias("r"), F.col("x.p.c").alias("c"), F.col("x.n.r").alias("next_r"), F.col("x.n.c").alias("next_c"), "row", "col")
+
+
+def ranked_loops(steps: DataFrame) -> DataFrame:
+    """Closed lists (image_id, at, next) to (image_id, at, start, left): the least place of each loop, and how many steps lead there."""
+    rounds = Rounds(steps.sparkSession, "loops")
+    state = rounds.write(steps.select("image_id", "at", "next", F.col("at").alias("start"), F.lit(0).cast("long").alias("left")))
+    reach = 1
+    while True:
+        ahead = state.select("image_id", F.col("at").alias("next"), F.col("next").alias("_next"), F.col("start").alias("_start"), F.col("left").alias("_left"))
+        better = F.col("_start") < F.col("start")
+        both = state.join(ahead, ["image_id", "next"])
+        doubled = rounds.write(
+            both.select("image_id", "at", F.col("_next").alias("next"), F.least("start", "_start").alias("start"), F.when(better, F.col("_left") + reach).otherwise(F.col("left")).alias("left"), better.alias("moved"))
+        )
+        rounds.drop(state)
+        state, reach = doubled, 2 * reach
+        if state.where("moved").isEmpty():
+            return state.select("image_id", "at", "start", "left")
+
+
+def contours(mask: DataFrame) -> DataFrame:
+    """(image_id, loop, size, seq, row, col, pixel_row, pixel_col): every closed contour in half-pixel coordinates from its least point on; loop names it, and the first point isn't repeated."""
+    rounds = Rounds(mask.sparkSession, "contours")
+    at = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
+    steps = rounds.write(contour_steps(mask).select("image_id", at("r", "c").alias("at"), at("next_r", "next_c").alias("next"), "row", "col"))
+    found = rounds.write(ranked_loops(steps))
+    sizes = found.groupBy("image_id", "start").agg(F.count(F.lit(1)).alias("size"))
+    placed = found.join(sizes, ["image_id", "start"]).join(steps.select("image_id", "at", F.col("row").alias("pixel_row"), F.col("col").alias("pixel_col")), ["image_id", "at"])
+    seq = F.pmod(F.col("size") - F.col("left"), F.col("size"))
+    return placed.select("image_id", F.col("start").alias("loop"), "size", seq.alias("seq"), (F.col("at.r") / 2).alias("row"), (F.col("at.c") / 2).alias("col"), "pixel_row", "pixel_col")
 
 
 def mask_contours(mask: DataFrame) -> DataFrame:
     """(image_id, roi_id, seq, row, col): the longest contour of each component (the first of equal ones), in half-pixel coordinates, closed. Mask: image_id, row, col, value; above 0 is filled."""
-    kind = mask.schema["image_id"].dataType.simpleString()
-
-    def contours(key: tuple, pixels: pd.DataFrame) -> pd.DataFrame:
-        labels = label_pixels(set(zip(pixels["row"].astype(int), pixels["col"].astype(int))))
-        parts: dict[int, set[tuple[int, int]]] = {}
-        for p, n in labels.items():
-            parts.setdefault(n, set()).add(p)
-        made = []
-        for n in sorted(parts):
-            longest = max(trace(parts[n]), key=len)
-            made += [(key[0], n, k, r, c) for k, (r, c) in enumerate(longest)]
-        return pd.DataFrame(made, columns=["image_id", "roi_id", "seq", "row", "col"])
-
-    return mask.where("value > 0").groupBy("image_id").applyInPandas(contours, f"image_id {kind}, roi_id long, seq long, row double, col double")
-
-
-def mask_components(mask: DataFrame) -> DataFrame:
-    """(image_id, row, col, roi_id) of every filled pixel."""
-    kind = mask.schema["image_id"].dataType.simpleString()
-
-    def label(key: tuple, pixels: pd.DataFrame) -> pd.DataFrame:
-        labels = label_pixels(set(zip(pixels["row"].astype(int), pixels["col"].astype(int))))
-        return pd.DataFrame([(key[0], r, c, n) for (r, c), n in labels.items()], columns=["image_id", "row", "col", "roi_id"])
-
-    return mask.where("value > 0").groupBy("image_id").applyInPandas(label, f"image_id {kind}, row long, col long, roi_id long")
+    rounds = Rounds(mask.sparkSession, "contours")
+    mask = rounds.write(_filled(mask).withColumn("value", F.lit(1)))
+    points = rounds.write(contours(mask))
+    loops = points.where("seq = 0").select("image_id", "loop", "size", "pixel_row", "pixel_col")
+    runs = labelled_runs(mask).withColumnRenamed("image_id", "_image")
+    named = loops.join(runs, (F.col("image_id") == F.col("_image")) & (F.col("pixel_row") == F.col("row")) & F.col("pixel_col").between(F.col("first"), F.col("last")))
+    longest = named.groupBy("image_id", "roi_id").agg(F.min(F.struct((-F.col("size")).alias("less"), "loop"))["loop"].alias("loop"))
+    chosen = points.join(longest, ["image_id", "loop"])
+    again = chosen.where("seq = 0").withColumn("seq", F.col("size"))
+    return chosen.unionByName(again).select("image_id", "roi_id", "seq", "row", "col")

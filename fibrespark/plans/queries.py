@@ -330,6 +330,21 @@ ORACLE_SQL = {
     "orientations3d": f"""WITH {COEFFS_SQL}, {_MEANS}, {_TOP}, t AS (SELECT image_id, wedge, quantile_cont(value, 0.9) AS threshold FROM coeffs GROUP BY ALL)
       SELECT image_id, wedge, k // 4 AS k1, (k // 2) % 2 AS k2, k % 2 AS k3, round(sin(0.5::DOUBLE) * cos(wedge * 0.5::DOUBLE), 6) AS x, round(sin(0.5::DOUBLE) * sin(wedge * 0.5::DOUBLE), 6) AS y, round(cos(0.5::DOUBLE), 6) AS z
       FROM coeffs JOIN t USING (image_id, wedge) JOIN tw USING (image_id, wedge) WHERE value > threshold""",
+    "mask_contours": f"""WITH RECURSIVE {POINTS_SQL}, {MASK_SQL}, d AS (SELECT unnest([0, 1, 2, 3]) AS k, unnest([-1, 0, 1, 0]) AS dr, unnest([0, 1, 0, -1]) AS dc),
+      turns AS (SELECT d.dr, d.dc, s.dr AS sr, s.dc AS sc, b.dr AS br, b.dc AS bc FROM d JOIN d s ON s.k = (d.k + 1) % 4 JOIN d b ON b.k = (d.k + 3) % 4),
+      open AS (SELECT m.*, t.* FROM mask m, turns t WHERE NOT EXISTS (SELECT 1 FROM mask e WHERE e.image_id = m.image_id AND e.row = m.row + t.dr AND e.col = m.col + t.dc)),
+      st AS (SELECT o.image_id, o.row, o.col, (2 * o.row + dr) * 10000 + 2 * o.col + dc AS here, CASE WHEN a.row IS NULL THEN (2 * o.row + sr) * 10000 + 2 * o.col + sc
+          WHEN x.row IS NULL THEN (2 * (o.row + sr) + dr) * 10000 + 2 * (o.col + sc) + dc ELSE (2 * (o.row + sr + dr) + br) * 10000 + 2 * (o.col + sc + dc) + bc END AS nxt
+        FROM open o LEFT JOIN mask a ON a.image_id = o.image_id AND a.row = o.row + sr AND a.col = o.col + sc LEFT JOIN mask x ON x.image_id = o.image_id AND x.row = o.row + sr + dr AND x.col = o.col + sc + dc),
+      w AS (SELECT image_id, here, nxt, here AS least, 0 AS k FROM st UNION ALL SELECT a.image_id, a.here, b.nxt, least(a.least, b.least), a.k + 1 FROM w a JOIN w b ON a.image_id = b.image_id AND a.nxt = b.here WHERE a.k < 13),
+      loops AS (SELECT image_id, least, count(*) AS n, sum(here // 10000) / 2.0 AS rows, sum(here % 10000) / 2.0 AS cols FROM w WHERE k = 13 GROUP BY ALL),
+      near AS (SELECT a.roi_id AS a, b.roi_id AS b FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.r0 <= b.r0 + b.h AND b.r0 <= a.r0 + a.h AND a.c0 <= b.c0 + b.w AND b.c0 <= a.c0 + a.w),
+      reach AS (SELECT roi_id AS box, r0 * 10000 + c0 AS first FROM boxes UNION SELECT near.b, reach.first FROM reach JOIN near ON near.a = reach.box),
+      part AS (SELECT image_id, roi_id AS box, dense_rank() OVER (PARTITION BY image_id ORDER BY first) AS roi_id FROM (SELECT box, min(first) AS first FROM reach GROUP BY box) JOIN boxes ON boxes.roi_id = box),
+      named AS (SELECT DISTINCT loops.*, part.roi_id FROM loops JOIN st ON st.image_id = loops.image_id AND st.here = loops.least
+        JOIN boxes ON boxes.image_id = st.image_id AND st.row >= r0 AND st.row < r0 + h AND st.col >= c0 AND st.col < c0 + w JOIN part ON part.box = boxes.roi_id)
+      SELECT image_id, roi_id, n + 1 AS n, round((rows + (least // 10000) / 2.0) / (n + 1), 6) AS row, round((cols + (least % 10000) / 2.0) / (n + 1), 6) AS col FROM named
+      QUALIFY row_number() OVER (PARTITION BY image_id, roi_id ORDER BY n DESC, least) = 1""",
     "curvelet_groups": f"""WITH RECURSIVE {FIBERS_SQL}, pts AS (SELECT image_id, list({{'s': fiber_id, 'r': center_row, 'c': center_col, 'a': angle}} ORDER BY fiber_id) AS p FROM fibers GROUP BY image_id),
       g AS (SELECT image_id, 0 AS k, list_transform(p, lambda x: 0) AS grp FROM pts UNION ALL
         SELECT g.image_id, k + 1, CASE WHEN grp[k + 1] <> 0 THEN grp ELSE list_transform(grp, lambda v, i: CASE WHEN v <> 0 THEN v WHEN i = k + 1 THEN k + 1
