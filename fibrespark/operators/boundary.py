@@ -8,14 +8,12 @@ and a fiber meets the points around it only.
 from __future__ import annotations
 
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fibrespark.functions.angles import edge_angle, on_image_edge, round_half_even
 
-OUTLINE_POINTS = 21
+from .outlines import OUTLINE_POINTS, outline_slopes
 
 
 #: Sizes of the grids in which the nearest point is looked for; fibers further from any than the last look at all points of their image.
@@ -109,75 +107,10 @@ def association_flags(rows: DataFrame, threshold: float, min_distance: float | N
     return rows.withColumn("included", included).withColumn("excluded", ~included)
 
 
-# The order in which an outline's neighbours are tried, as (row, column) steps, going back and going on.
-BACK = ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))
-ON = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-
-# The fitted parabola is sampled at so many places, and its slope is taken between these two.
-SLOPE_STEPS = 50
-SLOPE_BETWEEN = (23, 25)
-
-
-def outline_slopes(rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, points: int = OUTLINE_POINTS) -> np.ndarray:
-    """Slope in degrees [0, 180), from the row axis, at each wanted index of an outline; NaN where too few points touch.
-
-    From the point the outline is followed half of ``points`` each way over touching points that weren't met before. A parabola through them, over the axis
-    along which they run, gives the direction at its middle.
-    """
-    place: dict[tuple[float, float], int] = {}
-    for k, rc in enumerate(zip(rows.tolist(), cols.tolist())):
-        place.setdefault(rc, k)
-
-    def follow(start: int, steps: tuple, met: set[int]) -> list[int]:
-        out, here = [], start
-        for _ in range(points // 2):
-            for dr, dc in steps:
-                k = place.get((rows[here] + dr, cols[here] + dc))
-                if k is not None and k not in met:
-                    here = k
-                    break
-            met.add(here)  # with no neighbour left the walk stays, and the point counts again
-            out.append(here)
-        return out
-
-    slopes = np.full(len(wanted), np.nan)
-    for n, start in enumerate(wanted.tolist()):
-        met = {start}
-        back = follow(start, BACK, met)
-        path = np.array([*back[::-1], start, *follow(start, ON, met)])
-        y, x = cols[path].astype(float), rows[path].astype(float)
-        if len(set(path.tolist())) < 3:
-            continue
-        rough = np.degrees(np.arctan2(y[-1] - y[0], x[-1] - x[0])) % 180
-        over, value = (x, y) if rough < 45 or rough > 135 else (y, x)
-        if len(np.unique(over)) < 3:
-            slopes[n] = rough
-            continue
-        fit = np.polynomial.Polynomial.fit(over, value, 2)
-        line = np.linspace(over[0], over[-1], SLOPE_STEPS)
-        before, after = SLOPE_BETWEEN
-        a, b = fit(line[before]), fit(line[after])
-        step = line[after] - line[before]
-        rise, run = (b - a, step) if over is x else (step, b - a)
-        slopes[n] = np.degrees(np.arctan2(rise, run)) % 180
-    return slopes
-
-
 def with_slopes(nearest: DataFrame, points: DataFrame, outline_points: int = OUTLINE_POINTS) -> DataFrame:
-    """Adds slope at each row's (boundary_roi, boundary_seq). Only outlines that are some fiber's nearest are walked, each point once, a region a group."""
-    wanted = nearest.select("image_id", F.col("boundary_roi").alias("roi_id"), F.col("boundary_seq").alias("seq")).distinct()
-
-    def walk(key: tuple, outline: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        outline = outline.sort_values("seq", kind="stable").reset_index(drop=True)
-        index = {s: k for k, s in enumerate(outline["seq"].tolist())}
-        seqs = [s for s in asked["seq"].tolist() if s in index]
-        slopes = outline_slopes(outline["row"].to_numpy(float), outline["col"].to_numpy(float), np.array([index[s] for s in seqs], dtype=int), outline_points)
-        return pd.DataFrame({"image_id": key[0], "roi_id": key[1], "seq": seqs, "slope": slopes})
-
-    kinds = {c: points.schema[c].dataType.simpleString() for c in ("image_id", "roi_id", "seq")}
-    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", slope double"
-    found = points.groupBy("image_id", "roi_id").cogroup(wanted.groupBy("image_id", "roi_id")).applyInPandas(walk, schema)
-    found = found.select("image_id", F.col("roi_id").alias("boundary_roi"), F.col("seq").alias("boundary_seq"), F.nanvl("slope", F.lit(None)).alias("slope"))
+    """Adds slope at each row's (boundary_roi, boundary_seq). Only points that are some fiber's nearest are walked from, each once."""
+    wanted = nearest.select("image_id", F.col("boundary_roi").alias("roi_id"), F.col("boundary_seq").alias("seq"))
+    found = outline_slopes(wanted, points, outline_points).select("image_id", F.col("roi_id").alias("boundary_roi"), F.col("seq").alias("boundary_seq"), "slope")
     return nearest.join(found, ["image_id", "boundary_roi", "boundary_seq"], "left")
 
 

@@ -63,7 +63,7 @@ def nearest_boundary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boundary_association(spark: SparkSession, d: str) -> DataFrame:
-    """With outline slopes, which a walk finds; SQL has no such operation."""
+    """With outline slopes."""
     mask = _mask(spark, d).withColumn("value", F.lit(1))
     return rounded(boundary.global_association(derived.fibers(spark, d), derived.points(spark, d), mask, SIDE, SIDE, THRESHOLD))
 
@@ -259,11 +259,38 @@ _FLAGGED = f"""bp AS (SELECT f.image_id, f.fiber_id, f.center_row, f.center_col,
     FROM fibers f JOIN points p USING (image_id) GROUP BY ALL),
 bf AS (SELECT bp.*, m[1] AS distance, CASE WHEN mask.row IS NULL THEN 0 ELSE 1 END AS region FROM bp LEFT JOIN mask ON mask.image_id = bp.image_id
     AND mask.row = greatest(0, least({SIDE - 1}, round_even(center_row, 0)))::BIGINT AND mask.col = greatest(0, least({SIDE - 1}, round_even(center_col, 0)))::BIGINT)"""
+# the outline of a box is known, so its walk needs no table: places are row * 1000 + col
+_SLOPES = """walk AS (SELECT want.image_id, want.roi_id, seq, want.row * 1000 + want.col AS start, r0, c0, h, w, 0 AS k, want.row * 1000 + want.col AS here, [want.row * 1000 + want.col] AS path FROM want JOIN boxes USING (image_id, roi_id)
+  UNION ALL SELECT image_id, roi_id, seq, start, r0, c0, h, w, k + 1, nxt, list_append(path, nxt) FROM (SELECT *, coalesce(list_filter(
+        list_transform(CASE WHEN k < 10 THEN [1000, 999, -1, -1001, -1000, -999, 1, 1001] ELSE [-1000, -999, 1, 1001, 1000, 999, -1, -1001] END, lambda o: cur + o),
+        lambda q: NOT list_contains(path, q) AND ((q // 1000 IN (r0, r0 + h) AND q % 1000 BETWEEN c0 AND c0 + w) OR (q % 1000 IN (c0, c0 + w) AND q // 1000 BETWEEN r0 AND r0 + h)))[1], cur) AS nxt
+      FROM (SELECT *, CASE WHEN k = 10 THEN start ELSE here END AS cur FROM walk WHERE k < 20))),
+path AS (SELECT image_id, roi_id, seq, start, unnest(list_concat(list_reverse(path[2:11]), [start], path[12:21])) AS q, unnest(range(21)) AS i FROM walk WHERE k = 20),
+xy AS (SELECT *, (q // 1000 - start // 1000)::DOUBLE AS x, (q % 1000 - start % 1000)::DOUBLE AS y FROM path),
+ends AS (SELECT image_id, roi_id, seq, (degrees(atan2(max(y) FILTER (i = 20) - max(y) FILTER (i = 0), max(x) FILTER (i = 20) - max(x) FILTER (i = 0))) % 180 + 180) % 180 AS rough FROM xy GROUP BY ALL),
+tv AS (SELECT xy.*, rough, rough < 45 OR rough > 135 AS by_row, CASE WHEN rough < 45 OR rough > 135 THEN x ELSE y END AS t, CASE WHEN rough < 45 OR rough > 135 THEN y ELSE x END AS v FROM xy JOIN ends USING (image_id, roi_id, seq)),
+sums AS (SELECT image_id, roi_id, seq, rough, by_row, count(DISTINCT t) AS nt, count(DISTINCT q) AS nq, count(*)::DOUBLE AS s0, sum(t) AS s1, sum(t * t) AS s2, sum(t * t * t) AS s3, sum(t * t * t * t) AS s4, sum(v) AS t0, sum(t * v) AS t1, sum(t * t * v) AS t2,
+  max(t) FILTER (i = 0) AS f, max(t) FILTER (i = 20) - max(t) FILTER (i = 0) AS run FROM tv GROUP BY ALL),
+fit AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det, f + run * 23 / 49 AS a, f + run * 25 / 49 AS b FROM sums),
+rise AS (SELECT *, (s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det * (b - a) + (s0 * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)) / det * (b * b - a * a) AS up FROM fit),
+slopes AS (SELECT image_id, roi_id, seq, CASE WHEN nq < 3 THEN NULL WHEN nt < 3 THEN rough ELSE (degrees(CASE WHEN by_row THEN atan2(up, b - a) ELSE atan2(b - a, up) END) % 180 + 180) % 180 END AS slope FROM rise)"""
+
+
+def _edge(angle: str, row: str, col: str) -> str:
+    return f"CASE WHEN {row} IN (0, {SIDE - 1}) OR {col} IN (0, {SIDE - 1}) THEN 0 ELSE degrees(asin(least(1.0, abs(cos(radians({angle} - slope)))))) END"
+
+
+def _associated(threshold: float) -> str:
+    """Every fiber with its nearest point and, within the threshold, its angle to the outline."""
+    return f"""want AS (SELECT DISTINCT image_id, m[2] AS roi_id, m[3] AS seq, m[4] AS row, m[5] AS col FROM bf WHERE distance <= {threshold}), {_SLOPES},
+      assoc AS (SELECT bf.*, slope, CASE WHEN distance <= {threshold} THEN {_edge('angle', 'm[4]', 'm[5]')} END AS relative_angle FROM bf LEFT JOIN slopes ON slopes.image_id = bf.image_id AND slopes.roi_id = m[2] AND slopes.seq = m[3])"""
+
+
 _PROPS = """pix AS (SELECT image_id, roi_id, r AS row, c AS col FROM (SELECT *, unnest(range(r0, r0 + h)) AS r FROM boxes), LATERAL (SELECT unnest(range(c0, c0 + w)) AS c)),
 mom AS (SELECT image_id, roi_id, avg(row) AS roi_row, avg(col) AS roi_col, count(*) AS area, var_pop(row) + 1.0 / 12 AS vr, var_pop(col) + 1.0 / 12 AS vc, covar_pop(row, col) AS c0 FROM pix GROUP BY ALL),
 mom2 AS (SELECT *, CASE WHEN abs(c0) <= 1e-9 * (vr + vc) THEN 0.0 ELSE c0 END AS cv, CASE WHEN abs(vr - vc) <= 1e-9 * (vr + vc) THEN 0.0 ELSE vr - vc END AS ap FROM mom),
 props AS (SELECT image_id, roi_id, roi_row, roi_col, area, ((CASE WHEN ap = 0 AND cv <= 0 THEN -45.0 ELSE degrees(0.5 * atan2(2 * cv, ap)) END + 90) % 180 + 180) % 180 AS orientation FROM mom2)"""
-_LINE = """ral AS (SELECT n.image_id, n.roi_id, n.fiber_id, center_row, center_col, angle, m[1] AS distance, m[3] AS pr, m[4] AS pc, orientation,
+_LINE = """ral AS (SELECT n.image_id, n.roi_id, n.fiber_id, center_row, center_col, angle, m[1] AS distance, m[2] AS sq, m[3] AS pr, m[4] AS pc, orientation,
     CASE WHEN t < 0 THEN -t ELSE 180 - t END AS line FROM (SELECT n.*, orientation, CASE WHEN center_col <> roi_col THEN degrees(atan((center_row - roi_row) / (center_col - roi_col))) WHEN center_row > roi_row THEN 90.0 WHEN center_row < roi_row THEN -90.0 END AS t
       FROM (SELECT f.image_id, p.roi_id, f.fiber_id, f.center_row, f.center_col, f.angle, min((sqrt(pow(center_row - row, 2) + pow(center_col - col, 2)), seq, row, col)) AS m FROM fibers f JOIN points p USING (image_id) GROUP BY ALL) n
       JOIN props USING (image_id, roi_id) WHERE m[1] <= 40.0) n),
@@ -283,12 +310,24 @@ def _round(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n.split('.')[-1]}" for n in names)
 
 
+_FEATURES = (
+    ", ".join(f"round(d{k}, 6) AS distance_to_nearest_{k}_fibers, round(a{k}, 6) AS alignment_of_nearest_{k}_fibers" for k in (2, 4, 8, 16))
+    + f", round({_four('d')[0]}, 6) AS distance_to_nearest_fiber_mean, round({_four('d')[1]}, 6) AS distance_to_nearest_fiber_std, round({_four('a')[0]}, 6) AS alignment_mean, round({_four('a')[1]}, 6) AS alignment_std"
+)
+
+
 ORACLE_SQL = {
     "nearest_neighbors": f"WITH {FIBERS_SQL}, {_KNN} SELECT image_id, fiber_id, rank, round(distance, 6) AS distance, nb_id FROM knn WHERE rank <= 4",
     "box_features": f"WITH {FIBERS_SQL}, {_BOX} SELECT image_id, fiber_id, {_BOX_COLUMNS} FROM box",
+    "boundary_association": f"""WITH RECURSIVE {FIBERS_SQL}, {POINTS_SQL}, {MASK_SQL}, {_FLAGGED}, {_associated(40.0)} SELECT image_id, fiber_id, center_row, center_col, round(angle, 6) AS angle, round(distance, 6) AS distance,
+      m[2] AS boundary_roi, m[3] AS boundary_seq, m[4] AS boundary_point_row, m[5] AS boundary_point_col, region, distance <= 40 AND region = 0 AS included, NOT (distance <= 40 AND region = 0) AS excluded,
+      round(relative_angle, 6) AS relative_angle, NULL::DOUBLE AS extension_point_distance, NULL::DOUBLE AS extension_point_angle FROM assoc""",
+    "feature_table": f"""WITH RECURSIVE {FIBERS_SQL}, {POINTS_SQL}, {MASK_SQL}, {_KNN}, {_NEAR}, {_BOX}, {_FLAGGED}, {_associated(100.0)} SELECT image_id, fiber_id AS fiber_key, center_row, center_col, round(angle, 6) AS fiber_absolute_angle,
+      """ + ", ".join(f"NULL::DOUBLE AS {c}" for c in ("fiber_weight", "total_length", "end_to_end_length", "curvature", "width")) + f""", {_FEATURES}, {_BOX_COLUMNS},
+      round(distance, 6) AS nearest_distance_to_boundary, region::DOUBLE AS inside_epicenter_region, round(relative_angle, 6) AS nearest_relative_boundary_angle, NULL::DOUBLE AS extension_point_distance, NULL::DOUBLE AS extension_point_angle,
+      m[5] AS boundary_point_col, m[4] AS boundary_point_row FROM fibers JOIN near USING (image_id, fiber_id) JOIN box USING (image_id, fiber_id) LEFT JOIN (SELECT image_id, fiber_id, distance, region, relative_angle, m FROM assoc) USING (image_id, fiber_id)""",
     "fiber_features": f"WITH {FIBERS_SQL}, {_KNN}, {_NEAR}, {_BOX} SELECT image_id, fiber_id, "
-    + ", ".join(f"round(d{k}, 6) AS distance_to_nearest_{k}_fibers, round(a{k}, 6) AS alignment_of_nearest_{k}_fibers" for k in (2, 4, 8, 16))
-    + f", round({_four('d')[0]}, 6) AS distance_to_nearest_fiber_mean, round({_four('d')[1]}, 6) AS distance_to_nearest_fiber_std, round({_four('a')[0]}, 6) AS alignment_mean, round({_four('a')[1]}, 6) AS alignment_std, "
+    + f"{_FEATURES}, "
     + f"{_BOX_COLUMNS} FROM near JOIN box USING (image_id, fiber_id)",
     "angle_histogram": f"WITH {FIBERS_SQL} " + _HIST.format(middle="5.0::DOUBLE", n=35, bin="least(floor((angle - 2.5) / 5), 34)::INT", inside="angle BETWEEN 2.5 AND 177.5"),
     "angle_histogram_centers": f"WITH {FIBERS_SQL} " + _HIST.format(middle="2.5::DOUBLE", n=36, bin="greatest(0, least(floor((angle - 2.5) / 5 + 0.5), 35))::INT", inside="true"),
@@ -307,6 +346,9 @@ ORACLE_SQL = {
     "roi_properties": f"WITH {POINTS_SQL}, {_PROPS} SELECT image_id, roi_id, {_round('roi_row', 'roi_col')}, area, {_round('orientation')} FROM props",
     "roi_alignment": f"""WITH {FIBERS_SQL}, {POINTS_SQL}, {_PROPS}, {_LINE} SELECT image_id, roi_id, fiber_id, round(to_center, 6) AS angle_to_boundary_center, round(to_line, 6) AS angle_to_center_line, center_row AS fiber_center_row,
       center_col AS fiber_center_col, angle AS fiber_angle, round(distance, 6) AS distance, pr::DOUBLE AS boundary_point_row, pc::DOUBLE AS boundary_point_col FROM rdet""",
+    "roi_edge_alignment": f"""WITH RECURSIVE {FIBERS_SQL}, {POINTS_SQL}, {_PROPS}, {_LINE}, want AS (SELECT DISTINCT image_id, roi_id, sq AS seq, pr AS row, pc AS col FROM rdet), {_SLOPES}
+      SELECT rdet.image_id, rdet.roi_id, fiber_id, round({_edge('angle', 'pr', 'pc')}, 6) AS angle_to_boundary_edge, round(to_center, 6) AS angle_to_boundary_center, round(to_line, 6) AS angle_to_center_line, center_row AS fiber_center_row,
+      center_col AS fiber_center_col, round(angle, 6) AS fiber_angle, round(distance, 6) AS distance, pr AS boundary_point_row, pc AS boundary_point_col FROM rdet LEFT JOIN slopes ON slopes.image_id = rdet.image_id AND slopes.roi_id = rdet.roi_id AND slopes.seq = sq""",
     "roi_summary": f"""WITH {FIBERS_SQL}, {POINTS_SQL}, {_PROPS}, {_LINE}, a AS (SELECT image_id, roi_id, avg(to_center) AS c, avg(to_line) AS l, count(*) AS n FROM rdet GROUP BY ALL)
       SELECT image_id, roi_id, round(roi_row, 6) AS center_row, round(roi_col, 6) AS center_col, {_round('orientation')}, area, round(c, 6) AS mean_angle_to_boundary_center, round(l, 6) AS mean_angle_to_center_line,
         coalesce(n, 0) AS number_of_fibers, 'ok' AS status FROM props LEFT JOIN a USING (image_id, roi_id)""",

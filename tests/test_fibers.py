@@ -78,15 +78,6 @@ def test_histograms(spark):
     assert len(centers) == 36 and sum(centers.values()) == 6
 
 
-def test_outline_slopes_of_straight_and_slanted_lines():
-    r = np.arange(60.0)
-    wanted = np.array([30])
-    assert boundary.outline_slopes(r, np.zeros(60), wanted)[0] == pytest.approx(0, abs=1e-6)
-    assert boundary.outline_slopes(np.zeros(60), r, wanted)[0] == pytest.approx(90)
-    assert boundary.outline_slopes(r, r, wanted)[0] == pytest.approx(45)
-    assert np.isnan(boundary.outline_slopes(np.array([1.0]), np.array([1.0]), np.array([0]))[0])
-
-
 def test_association_with_a_square(spark):
     points = spark.createDataFrame(square(0, 1, 50, 50, 40, 40), POINTS)
     f = spark.createDataFrame([(0, 1, 45.0, 70.0, 0.0), (0, 2, 70.0, 70.0, 30.0), (0, 3, 190.0, 190.0, 0.0)], FIBERS)
