@@ -1,4 +1,4 @@
-"""Fast discrete curvelet transform by wrapping, forward and inverse, in numpy per image.
+"""Fast discrete curvelet transform by wrapping, forward and inverse, in numpy per image; ``curvelet3d`` spreads it over tasks for images that don't fit one.
 
 The construction is that of Candes, Demanet, Donoho and Ying (2006): smooth radial windows split the Fourier plane into nested squares, smooth
 angular windows split each ring into wedges, and each wedge is wrapped onto a rectangle around the origin and inverse-transformed. Windows are a partition of unity in squares, so the
@@ -8,6 +8,8 @@ transform is a tight frame: energy is kept and the inverse is the adjoint. The f
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,25 +26,6 @@ def _rise(x: np.ndarray) -> np.ndarray:
     return np.sin(np.pi / 2 * x**4 * (35 - 84 * x + 70 * x**2 - 20 * x**3))
 
 
-def _low_pass(n: int, cut: float) -> np.ndarray:
-    """1 below cut, 0 above twice cut, over centred frequencies of n samples; cut is a share of the half band."""
-    f = np.abs(np.arange(n) - n // 2) / (n / 2)
-    return _rise((2 * cut - f) / cut)
-
-
-def _radial(height: int, width: int, scales: int) -> list[np.ndarray]:
-    """Windows of each scale, coarsest first; their squares sum to 1."""
-    lows = []
-    for j in range(scales - 1):
-        cut = 2.0 ** (j - scales + 1) / 1.5
-        lows.append(np.outer(_low_pass(height, cut), _low_pass(width, cut)))
-    rings = [lows[0]]
-    for a, b in zip(lows, lows[1:]):
-        rings.append(np.sqrt(np.clip(b**2 - a**2, 0, 1)))
-    rings.append(np.sqrt(np.clip(1 - lows[-1] ** 2, 0, 1)))
-    return rings
-
-
 def wedges_at(scale: int, scales: int, coarse_wedges: int = 16) -> int:
     """Number of wedges of a scale counted from 0, the coarsest: 1 there and at the finest, else doubled at every other scale."""
     if scale == 0 or scale == scales - 1:
@@ -50,67 +33,128 @@ def wedges_at(scale: int, scales: int, coarse_wedges: int = 16) -> int:
     return coarse_wedges * 2 ** math.ceil((scale - 1) / 2)
 
 
-def _angular(height: int, width: int, n: int) -> list[np.ndarray]:
-    """n angular windows over the centred plane, wedge 0 first; squares sum to 1. Angles are those of a square, so a quadrant holds n / 4 wedges of equal width."""
-    y = ((np.arange(height) - height // 2) / (height / 2))[:, None]
-    x = ((np.arange(width) - width // 2) / (width / 2))[None, :]
-    y, x = np.broadcast_to(y, (height, width)), np.broadcast_to(x, (height, width))
-    big = np.maximum(np.maximum(np.abs(x), np.abs(y)), 1e-12)
-    # position along the square's border in [0, 4): one quadrant a unit, from its lower corner on
-    u = np.where(np.abs(x) >= np.abs(y), np.where(x > 0, 0.5 + y / big / 2, 2.5 - y / big / 2), np.where(y > 0, 1.5 - x / big / 2, 3.5 + x / big / 2))
-    place = ((u - 1) * n / 4) % n  # wedge 0 holds frequencies of lines just under 45 degrees, and angles fall from there
-    return [_rise(1 - np.abs((place - k - 0.5 + n / 2) % n - n / 2)) for k in range(n)]
+@dataclass(frozen=True)
+class PlaneFrame:
+    """Windows over the frequencies of an image, and the boxes that wedges wrap onto, in closed form: no task needs the plane.
 
+    An image is a volume of dims (height, 1, width), as the spread transform of volumes takes it. Frequencies are whole numbers around 0. ``coarse`` is a multiple of 4 and at least 8.
+    """
 
-def _plan(height: int, width: int, scales: int, coarse_wedges: int = 16) -> list[list[tuple[np.ndarray, int, int]]]:
-    """Per scale and wedge: (window, rows, columns of the rectangle that it wraps onto)."""
-    out = []
-    rings = _radial(height, width, scales)
-    for j, ring in enumerate(rings):
-        n = wedges_at(j, scales, coarse_wedges)
-        if n == 1:
-            rows = height if j else _support(ring.any(axis=1))
-            cols = width if j else _support(ring.any(axis=0))
-            out.append([(ring, rows, cols)])
-            continue
-        level = []
-        for window in _angular(height, width, n):
-            w = ring * window
-            level.append((w, *_rectangle(w > 0)))
-        out.append(level)
-    return out
+    dims: tuple[int, int, int]
+    scales: int
+    coarse: int = 16
 
+    def n_wedges(self, scale: int) -> int:
+        return wedges_at(scale, self.scales, self.coarse)
 
-def _support(used: np.ndarray) -> int:
-    k = np.flatnonzero(used)
-    return int(k[-1] - k[0] + 1)
+    def _cut(self, scale: int) -> float:
+        return 2.0 ** (scale - self.scales + 1) / 1.5
 
+    def _relative(self, freq: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return freq[0] / (self.dims[0] / 2), freq[2] / (self.dims[2] / 2)
 
-def _rectangle(used: np.ndarray) -> tuple[int, int]:
-    """Smallest rows x cols (one of them the full extent of the wedge) on which wrapping puts no two samples on one place."""
-    rows, cols = np.nonzero(used)
-    high, wide = int(np.ptp(rows)) + 1, int(np.ptp(cols)) + 1
-    upright = high >= wide
-    long, first, second = (high, rows, cols) if upright else (wide, cols, rows)
-    # within a line of the long direction the samples are a run; the longest run is the least width
-    starts = np.full(first.max() + 1, np.iinfo(np.int64).max)
-    ends = np.full(first.max() + 1, -1)
-    np.minimum.at(starts, first, second)
-    np.maximum.at(ends, first, second)
-    short = int((ends - starts)[ends >= 0].max()) + 1
-    return (long, short) if upright else (short, long)
+    def _low(self, scale: int, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        cut = self._cut(scale)
+        return _rise((2 * cut - np.abs(y)) / cut) * _rise((2 * cut - np.abs(x)) / cut)
 
+    def _ring(self, scale: int, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The scale's radial window; the squares of all sum to 1."""
+        outer = 1.0 if scale == self.scales - 1 else self._low(scale, y, x) ** 2
+        inner = 0.0 if scale == 0 else self._low(scale - 1, y, x) ** 2
+        return np.sqrt(np.clip(outer - inner, 0, 1))
 
-_plans: dict[tuple[int, int, int, int], list] = {}
+    @staticmethod
+    def _around(y: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        """Place in [0, n) along the border of the square through each frequency: a side holds n / 4 wedges of equal width; angles fall from wedge 0, just under 45 degrees."""
+        big = np.maximum(np.maximum(np.abs(x), np.abs(y)), 1e-12)
+        u = np.where(np.abs(x) >= np.abs(y), np.where(x > 0, 0.5 + y / big / 2, 2.5 - y / big / 2), np.where(y > 0, 1.5 - x / big / 2, 3.5 + x / big / 2))
+        return ((u - 1) * n / 4) % n
 
+    def windows(self, scale: int, freq: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(wedge, place, weight) of every window of the scale that isn't zero at a place."""
+        y, x = self._relative(freq)
+        ring, n = self._ring(scale, y, x), self.n_wedges(scale)
+        used = np.flatnonzero(ring)
+        if n == 1:
+            return np.zeros(len(used), np.int64), used, ring[used]
+        around = self._around(y[used], x[used], n)
+        found = []
+        for step in (0, 1):
+            k = np.floor(around - 0.5) + step
+            weight = _rise(1 - np.abs(around - k - 0.5)) * ring[used]
+            ok = weight > 0
+            found.append(((k[ok] % n).astype(np.int64), used[ok], weight[ok]))
+        return tuple(np.concatenate(f) for f in zip(*found))
+
+    def weights(self, scale: int, wedge: int, freq: list[np.ndarray]) -> np.ndarray:
+        """The wedge's window at each place."""
+        y, x = self._relative(freq)
+        ring, n = self._ring(scale, y, x), self.n_wedges(scale)
+        if n == 1:
+            return ring
+        return ring * _rise(1 - np.abs((self._around(y, x, n) - wedge - 0.5 + n / 2) % n - n / 2))
+
+    def box(self, scale: int, wedge: int) -> tuple[int, int, int]:
+        return self._place(scale, wedge)[0]
 
-def plan(height: int, width: int, scales: int | None = None, coarse_wedges: int = 16) -> list:
-    key = (height, width, scales or number_of_scales(height, width), coarse_wedges)
-    if key not in _plans:
-        if len(_plans) > 8:
-            _plans.clear()
-        _plans[key] = _plan(*key)
-    return _plans[key]
+    def _place(self, scale: int, wedge: int) -> tuple[tuple[int, int, int], int, int, int, float]:
+        """(sizes, long axis, sign, first frequency along it, slope of the first frequency of the other axis).
+
+        The box is as long as the wedge along the axis that its side of the square crosses, and as wide as its widest cross-section.
+        """
+        n = self.n_wedges(scale)
+        if n == 1:
+            reach = [math.ceil(2 * self._cut(0) * d / 2) - 1 for d in self.dims]
+            return tuple(d if scale or d == 1 else min(d, 2 * r + 1) for d, r in zip(self.dims, reach)), -1, 1, 0, 0.0
+        side, at = divmod(wedge, n // 4)
+        axis, sign = ((0, 1), (2, -1), (0, -1), (2, 1))[side]
+        ends = sorted(1 - 8 * (at + e) / n if side < 2 else 8 * (at + e) / n - 1 for e in (-0.5, 1.5))
+        # beyond the corner the border runs along the other axis
+        t0, t1 = [t if abs(t) <= 1 else math.copysign(1 / (2 - abs(t)), t) for t in ends]
+        low, high = self._cut(scale - 1) / max(1.0, abs(t0), abs(t1)), 2 * self._cut(scale)
+        half = self.dims[axis] / 2
+        first, last = math.floor(low * half) + 1, min(math.ceil(high * half) - 1, self.dims[axis] // 2)
+        size = [1, 1, 1]
+        size[axis] = max(1, last - first + 1)
+        size[2 - axis] = min(self.dims[2 - axis], math.floor(high * (t1 - t0) * self.dims[2 - axis] / 2) + 1)
+        return tuple(size), axis, sign, first if sign > 0 else -last, t0
+
+    def unwrapped(self, scale: int, wedge: int, places: list[np.ndarray]) -> list[np.ndarray]:
+        """The one frequency of the wedge that is wrapped onto each place of its box."""
+        size, axis, sign, first, slope = self._place(scale, wedge)
+        if axis < 0:
+            return [(p + n // 2) % n - n // 2 for p, n in zip(places, size)]
+        freq = [np.zeros_like(places[1])] * 3
+        freq[axis] = first + (places[axis] - first) % size[axis]
+        other = 2 - axis
+        n = self.dims[other]
+        start = np.floor(sign * freq[axis] / (self.dims[axis] / 2) * slope * n / 2).astype(np.int64) + 1 if size[other] < n else -(n // 2)
+        freq[other] = start + (places[other] - start) % size[other]
+        return freq
+
+
+@lru_cache(maxsize=16)
+def plane_frame(dims: tuple[int, int, int], scales: int | None = None, coarse_wedges: int = 16) -> PlaneFrame:
+    return PlaneFrame(dims, scales or number_of_scales(dims[0], dims[2]), coarse_wedges)
+
+
+@lru_cache(maxsize=4)
+def plan(height: int, width: int, scales: int | None = None, coarse_wedges: int = 16) -> list[list[tuple]]:
+    """Per scale and wedge: (rows and columns of the centred plane, weights, rows and columns of the box, its size)."""
+    frame = plane_frame((height, 1, width), scales, coarse_wedges)
+    r, c = (x.ravel() for x in np.meshgrid(np.arange(height) - height // 2, np.arange(width) - width // 2, indexing="ij"))
+    out = []
+    for scale in range(frame.scales):
+        wedge, at, weight = frame.windows(scale, [r, np.zeros_like(r), c])
+        order = np.argsort(wedge, kind="stable")
+        bounds = np.searchsorted(wedge[order], np.arange(frame.n_wedges(scale) + 1))
+        level = []
+        for k in range(frame.n_wedges(scale)):
+            mine, own = at[order[bounds[k] : bounds[k + 1]]], weight[order[bounds[k] : bounds[k + 1]]]
+            rows, _, cols = frame.box(scale, k)
+            level.append((r[mine] + height // 2, c[mine] + width // 2, own, r[mine] % rows, c[mine] % cols, rows, cols))
+        out.append(level)
+    return out
 
 
 def forward(image: np.ndarray, scales: int | None = None, coarse_wedges: int = 16) -> list[list[np.ndarray]]:
@@ -120,10 +164,9 @@ def forward(image: np.ndarray, scales: int | None = None, coarse_wedges: int = 1
     out = []
     for level in plan(height, width, scales, coarse_wedges):
         made = []
-        for window, rows, cols in level:
-            r, c = np.nonzero(window)
+        for r, c, weight, to_r, to_c, rows, cols in level:
             small = np.zeros((rows, cols), dtype=complex)
-            small[(r - height // 2) % rows, (c - width // 2) % cols] = plane[r, c] * window[r, c]
+            small[to_r, to_c] = plane[r, c] * weight
             made.append(np.fft.fftshift(np.fft.ifft2(small)) * math.sqrt(rows * cols))
         out.append(made)
     return out
@@ -132,10 +175,9 @@ def forward(image: np.ndarray, scales: int | None = None, coarse_wedges: int = 1
 def inverse(coefficients: list[list[np.ndarray]], height: int, width: int, coarse_wedges: int = 16) -> np.ndarray:
     plane = np.zeros((height, width), dtype=complex)
     for level, made in zip(plan(height, width, len(coefficients), coarse_wedges), coefficients):
-        for (window, rows, cols), c in zip(level, made):
-            small = np.fft.fft2(np.fft.ifftshift(c)) / math.sqrt(rows * cols)
-            r, q = np.nonzero(window)
-            plane[r, q] += small[(r - height // 2) % rows, (q - width // 2) % cols] * window[r, q]
+        for (r, c, weight, to_r, to_c, rows, cols), coefficient in zip(level, made):
+            small = np.fft.fft2(np.fft.ifftshift(coefficient)) / math.sqrt(rows * cols)
+            plane[r, c] += small[to_r, to_c] * weight
     return np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(plane))).real * math.sqrt(height * width)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fibrespark.operators.curvelet import _rise
+from fibrespark.operators.curvelet import _rise, plane_frame
 
 TILE = 1 << 17
 SCALES = 4
@@ -161,7 +161,7 @@ def _covered(u: np.ndarray, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=16)
-def _frame(dims: tuple[int, int, int], scales: int, coarse: int) -> Frame:
+def volume_frame(dims: tuple[int, int, int], scales: int, coarse: int) -> Frame:
     return Frame(dims, scales, coarse)
 
 
@@ -229,8 +229,10 @@ def _first(table: pa.Table, *names: str) -> tuple:
 COEFFICIENTS = ("image_id", "depth", "height", "width", "scale", "wedge", "n_wedges", "n1", "n2", "n3", "k1", "re", "im")
 
 
-def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int = COARSE_WEDGES, tile_values: int = TILE) -> DataFrame:
-    """Slices to coefficients: a row per plane k1 of each wedge's box (n1 x n2 x n3), with its values (re, im) by k2, k3; image_id, depth, height, width, scale, wedge, n_wedges."""
+def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int = COARSE_WEDGES, tile_values: int = TILE, frame_of=volume_frame) -> DataFrame:
+    """``frame_of``: makes the windows from dims, scales and coarse wedges.
+
+    Slices to coefficients: a row per plane k1 of each wedge's box (n1 x n2 x n3), with its values (re, im) by k2, k3; image_id, depth, height, width, scale, wedge, n_wedges."""
     kind, arrow = _key(slices)
     own = slices.where("pixels IS NOT NULL").select("image_id", F.col("z").cast("int").alias("z"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels")
     depth = own.groupBy("image_id").agg((F.max("z") + 1).alias("depth"))
@@ -252,7 +254,7 @@ def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int
 
     def along(table: pa.Table) -> pa.Table:
         image, d, h, w, tile = _first(table, "image_id", "depth", "height", "width", "tile")
-        frame = _frame((d, h, w), scales, coarse_wedges)
+        frame = frame_of((d, h, w), scales, coarse_wedges)
         start = tile * _width((d, h, w), tile_values)
         pencils = min(_width((d, h, w), tile_values), h * w - start)
         block = np.zeros((d, pencils), dtype=complex)
@@ -263,7 +265,7 @@ def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int
         centred = lambda x, n: (x + n // 2) % n - n // 2
         freq = [np.repeat(centred(np.arange(d), d), pencils), np.tile(centred(place // w, h), d), np.tile(centred(place % w, w), d)]
         rows = []
-        for scale in range(scales):
+        for scale in range(frame.scales):
             wedge, at, weight = frame.windows(scale, freq)
             order = np.argsort(wedge, kind="stable")
             wedge, at, weight = wedge[order], at[order], weight[order]
@@ -289,7 +291,7 @@ def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int
         image, d, h, w, scale, pack, tile = _first(table, *sent[:7])
         rows = []
         for wedge, (at, values) in _of_each(table, "wedge", "at", "values").items():
-            size = _frame((d, h, w), scales, coarse_wedges).box(scale, wedge)
+            size = frame_of((d, h, w), scales, coarse_wedges).box(scale, wedge)
             block = np.fft.ifft(_pieces(size, _width(size, tile_values), tile, at, values), axis=0) * math.sqrt(size[0])
             planes = _planes(size, tile_values)
             rows += [(image, d, h, w, scale, pack, s, wedge, tile, block[s * planes : (s + 1) * planes].tobytes()) for s in range(-(-size[0] // planes))]
@@ -299,7 +301,7 @@ def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int
 
     def finish(table: pa.Table) -> pa.Table:
         image, d, h, w, scale, slab = _first(table, *slabs[:5], "slab")
-        frame = _frame((d, h, w), scales, coarse_wedges)
+        frame = frame_of((d, h, w), scales, coarse_wedges)
         n_wedges, rows = frame.n_wedges(scale), []
         for wedge, (tiles, values) in _of_each(table, "wedge", "tile", "values").items():
             size = frame.box(scale, wedge)
@@ -323,7 +325,7 @@ def coefficient_rows(planes: DataFrame, scale: int | None = None) -> DataFrame:
     return each.select("image_id", "scale", "wedge", "k1", F.floor(k / F.col("n3")).cast("int").alias("k2"), (k % F.col("n3")).alias("k3"), "c.re", "c.im", F.hypot("c.re", "c.im").alias("value"))
 
 
-def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: int = COARSE_WEDGES, tile_values: int = TILE) -> DataFrame:
+def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: int = COARSE_WEDGES, tile_values: int = TILE, frame_of=volume_frame) -> DataFrame:
     """transform_stacks(), or what was kept of it, to slices (image_id, z, height, width, pixels): the adjoint, which is the inverse. Planes that are left out count as zero."""
     kind, arrow = _key(planes)
     fields = ("image_id", "depth", "height", "width", "scale", "pack", "tile", "wedge", "k1", "values")
@@ -332,7 +334,7 @@ def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: i
         for batch in batches:
             for k in range(batch.num_rows):
                 image, d, h, w, scale, wedge, k1 = (batch.column(c)[k].as_py() for c in range(7))
-                size = _frame((d, h, w), scales, coarse_wedges).box(scale, wedge)
+                size = frame_of((d, h, w), scales, coarse_wedges).box(scale, wedge)
                 plane = (np.asarray(batch.column(7)[k].values) + 1j * np.asarray(batch.column(8)[k].values)).reshape(size[1:])
                 flat = np.fft.fft2(np.fft.ifftshift(plane)).ravel() / math.sqrt(size[1] * size[2])
                 step, at = _width(size, tile_values), (k1 - size[0] // 2) % size[0]
@@ -345,7 +347,7 @@ def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: i
 
     def along(table: pa.Table) -> pa.Table:
         image, d, h, w, scale, tile = _first(table, *fields[:5], "tile")
-        frame, rows = _frame((d, h, w), scales, coarse_wedges), []
+        frame, rows = frame_of((d, h, w), scales, coarse_wedges), []
         for wedge, (planes, values) in _of_each(table, "wedge", "k1", "values").items():
             size = frame.box(scale, wedge)
             start = tile * _width(size, tile_values)
@@ -390,3 +392,32 @@ def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: i
         return _table(_kinds(arrow, *slices), [(image, z, h, w, plane.real.ravel())])
 
     return returned.groupBy("image_id", "z").applyInArrow(finish, _schema(kind, *slices))
+
+
+def image_rows(bands: DataFrame) -> DataFrame:
+    """Bands of images (image_id, first_row, height and width of the image, pixels row by row) to slices of one pixel row: images as volumes of dims (height, 1, width)."""
+    width = F.col("width").cast("int")
+    rows = (F.size("pixels") / width).cast("int")
+    each = bands.where("pixels IS NOT NULL AND size(pixels) > 0").select("image_id", "first_row", "width", "pixels", F.explode(F.sequence(F.lit(0), rows - 1)).alias("k"))
+    return each.select("image_id", (F.col("first_row") + F.col("k")).cast("int").alias("z"), F.lit(1).alias("height"), "width", F.slice("pixels", F.col("k") * width + 1, width).alias("pixels"))
+
+
+def transform_bands(bands: DataFrame, scales: int | None = None, coarse_wedges: int = 16, tile_values: int = TILE) -> DataFrame:
+    """The transform of ``curvelet`` for images of any size, given as bands: planes as transform_stacks() has them, with n2 = 1. Pixel rows that are missing count as zero, up to the last one there is."""
+    return transform_stacks(image_rows(bands), scales, coarse_wedges, tile_values, plane_frame)
+
+
+def band_coefficients(planes: DataFrame, scale_from_finest: int = 1) -> DataFrame:
+    """transform_bands() to the rows of ``curvelet.transform_images``, of one scale (1: the second finest)."""
+    finest = planes.groupBy("image_id").agg(F.max("scale").alias("finest"))
+    own = planes.join(finest, "image_id").where(F.col("scale") == F.col("finest") - scale_from_finest)
+    each = own.select("image_id", "scale", "wedge", "n_wedges", "k1", F.col("n1").alias("nx"), F.col("n3").alias("ny"), F.posexplode(F.arrays_zip("re", "im")).alias("k2", "c"))
+    return each.select(
+        "image_id", "scale", "wedge", "n_wedges", "k1", "k2", "nx", "ny", (1 / F.col("nx")).alias("sx"), (1 / F.col("ny")).alias("sy"), "c.re", "c.im", F.hypot("c.re", "c.im").alias("value")
+    )
+
+
+def reconstruct_bands(planes: DataFrame, scales: int | None = None, coarse_wedges: int = 16, tile_values: int = TILE) -> DataFrame:
+    """transform_bands(), or what was kept of it, to bands of one pixel row: image_id, first_row, width, pixels."""
+    rows = reconstruct_stacks(planes, scales, coarse_wedges, tile_values, plane_frame)
+    return rows.select("image_id", F.col("z").alias("first_row"), "width", "pixels")

@@ -65,8 +65,17 @@ class AnalysisParameters:
 
 def extract_fibers(images: DataFrame, parameters: AnalysisParameters) -> DataFrame:
     """Images (image_id, height, width, pixels) to fibers: transform, keep the strongest coefficients, place them, group them, leave the border out."""
+    return fibers_of_coefficients(curvelet.transform_images(images, parameters.curvelet.scale, parameters.curvelet.coarse_wedges), parameters)
+
+
+def extract_fibers_of_bands(bands: DataFrame, parameters: AnalysisParameters) -> DataFrame:
+    """The same for images too large for a task, given as bands of pixel rows (image_id, first_row, height, width, pixels)."""
+    planes = curvelet3d.transform_bands(bands, None, parameters.curvelet.coarse_wedges)
+    return fibers_of_coefficients(curvelet3d.band_coefficients(planes, parameters.curvelet.scale), parameters)
+
+
+def fibers_of_coefficients(coeffs: DataFrame, parameters: AnalysisParameters) -> DataFrame:
     c = parameters.curvelet
-    coeffs = curvelet.transform_images(images, c.scale, c.coarse_wedges)
     kept = coeffs.join(coefficients.keep_threshold(coeffs, c.keep), "image_id").where("value >= threshold AND value <> 0 AND wedge < n_wedges / 2")
     at = lambda size, step, i, n: F.floor(1 + size * (F.col(step) * (F.col(i) + 1 - F.ceil((F.col(n) + 1) / 2)) + 0.5) + 0.5)
     from fibrespark.functions.angles import wedge_angle

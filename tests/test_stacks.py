@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fibrespark.operators import curvelet3d
+from fibrespark.operators import curvelet, curvelet3d
 from fibrespark.operators.curvelet3d import Frame
-from fibrespark.plans.pipeline import ParameterError, analyze_stacks
+from fibrespark.plans.pipeline import AnalysisParameters, ParameterError, analyze_stacks, extract_fibers, extract_fibers_of_bands
 
 SLICES = "image_id string, z int, height int, width int, pixels array<double>, note string"
 
@@ -91,3 +91,61 @@ def test_no_stacks(spark):
     none = spark.createDataFrame([], SLICES)
     assert curvelet3d.transform_stacks(none).count() == 0
     assert curvelet3d.reconstruct_stacks(curvelet3d.transform_stacks(none)).count() == 0
+
+
+BANDS = "image_id string, first_row int, height int, width int, pixels array<double>"
+
+
+def bands_of(name, image, rows):
+    return [(name, k, image.shape[0], image.shape[1], image[k : k + rows].ravel().tolist()) for k in range(0, image.shape[0], rows)]
+
+
+@pytest.mark.parametrize("height,width,scales,coarse", [(64, 64, 3, 16), (96, 70, 3, 16), (33, 120, 4, 8), (128, 20, 2, 16)])
+def test_boxes_of_planes_hold_each_frequency_once(height, width, scales, coarse):
+    frame = curvelet.PlaneFrame((height, 1, width), scales, coarse)
+    freq = [x.ravel() for x in np.meshgrid(np.arange(height) - height // 2, [0], np.arange(width) - width // 2, indexing="ij")]
+    squares = np.zeros(height * width)
+    for scale in range(scales):
+        wedges, at, weight = frame.windows(scale, freq)
+        np.add.at(squares, at, weight**2)
+        for wedge in np.unique(wedges).tolist():
+            mine = at[wedges == wedge]
+            own, size = [f[mine] for f in freq], frame.box(scale, wedge)
+            places = [f % n for f, n in zip(own, size)]
+            assert len(np.unique(np.ravel_multi_index(places, size))) == len(mine)
+            assert all((a == b).all() for a, b in zip(frame.unwrapped(scale, wedge, places), own))
+            assert np.allclose(frame.weights(scale, wedge, own), weight[wedges == wedge])
+    assert np.abs(squares - 1).max() < 1e-12
+
+
+@pytest.mark.parametrize("tile", [211, 1 << 17])
+def test_bands_equal_whole_images(spark, tile):
+    rng = np.random.default_rng(5)
+    images = {"a": rng.normal(size=(64, 64)), "b": rng.normal(size=(96, 70))}
+    bands = spark.createDataFrame([b for name, i in images.items() for b in bands_of(name, i, 7)] + [("c", 0, 4, 4, None)], BANDS).repartition(5)
+    planes = curvelet3d.transform_bands(bands, tile_values=tile)
+    got = {}
+    for r in planes.collect():
+        got[r.image_id, r.scale, r.wedge, r.k1] = np.array(r.re) + 1j * np.array(r.im)
+    want = {(name, j, w, k): row for name, i in images.items() for j, level in enumerate(curvelet.forward(i)) for w, c in enumerate(level) for k, row in enumerate(c)}
+    assert set(got) == set(want) and all(np.abs(got[k] - want[k]).max() < 1e-12 for k in want)
+    back = curvelet3d.reconstruct_bands(planes, tile_values=tile).collect()
+    assert len(back) == 160
+    assert all(np.abs(np.array(r.pixels) - images[r.image_id][r.first_row]).max() < 1e-9 for r in back)
+
+
+def test_coefficients_and_fibers_of_a_full_image(spark):
+    y, x = np.mgrid[:512, :512]
+    image = np.exp(-(((x - 256 + 0.5 * (y - 256)) / 2) ** 2)) + np.exp(-(((y - 300) / 2) ** 2))
+    bands = spark.createDataFrame(bands_of("i", image, 64), BANDS)
+    whole = spark.createDataFrame([("i", 512, 512, image.ravel().tolist())], "image_id string, height int, width int, pixels array<double>")
+    key = ["image_id", "scale", "wedge", "n_wedges", "k1", "k2", "nx", "ny"]
+    a = curvelet3d.band_coefficients(curvelet3d.transform_bands(bands)).select(*key, F.col("re").alias("r1"), F.col("im").alias("i1"))
+    b = curvelet.transform_images(whole)
+    met = a.join(b, key)
+    assert met.count() == a.count() == b.count()
+    assert met.agg(F.max(F.abs(F.col("r1") - F.col("re")) + F.abs(F.col("i1") - F.col("im")))).first()[0] < 1e-11
+    p = AnalysisParameters(512, 512)
+    place = lambda f: sorted((r.center_row, r.center_col, round(r.angle, 6), r.weight) for r in f.collect())
+    one, other = place(extract_fibers_of_bands(bands, p)), place(extract_fibers(whole, p))
+    assert one == other and len(one) > 20
