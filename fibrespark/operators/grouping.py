@@ -9,6 +9,7 @@ depends on it (some ten on images, as many as there are boxes in a row where see
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,19 +37,20 @@ def seeds(points: DataFrame, radius: float) -> DataFrame:
     rounds = Rounds(points.sparkSession, "groups")
     own = rounds.write(points.select("image_id", "seed", F.col("center_row").cast("double"), F.col("center_col").cast("double")))
     edges = rounds.write(reaches(own, radius))
-    left, taken = edges, None
+    left, taken = edges, []
     while not left.isEmpty():
-        ready = left.select("image_id", F.col("by").alias("seed")).distinct().join(left.select("image_id", "seed").distinct(), ["image_id", "seed"], "left_anti")
-        met = left.join(ready.withColumnRenamed("seed", "by"), ["image_id", "by"], "left_semi").select("image_id", "seed").distinct()
-        met = rounds.write(met)
-        taken = met if taken is None else taken.unionByName(met)
-        before, left = left, left.join(met, ["image_id", "seed"], "left_anti").join(met.withColumnRenamed("seed", "by"), ["image_id", "by"], "left_anti")
-        left = rounds.write(left.select("image_id", "seed", "by"))
-        if before is not edges:
-            rounds.drop(before)
-    if taken is None:
+        # earlier points that no undecided one reaches are seeds; whom they reach is taken, and reaches no one
+        nodes = left.select("image_id", "seed", F.lit(1).alias("waits")).unionByName(left.select("image_id", F.col("by").alias("seed"), F.lit(0).alias("waits")))
+        ready = nodes.groupBy("image_id", "seed").agg(F.max("waits").alias("waits")).where("waits = 0").select("image_id", F.col("seed").alias("by"), F.lit(True).alias("ready"))
+        met = left.join(ready, ["image_id", "by"]).groupBy("image_id", "seed").agg(F.lit(True).alias("met"))
+        told = left.join(met, ["image_id", "seed"], "left").join(met.select("image_id", F.col("seed").alias("by"), F.col("met").alias("gone")), ["image_id", "by"], "left")
+        told = rounds.write(told.select("image_id", "seed", "by", "met", "gone"))
+        taken.append(told.where("met").select("image_id", "seed"))
+        left = told.where("met IS NULL AND gone IS NULL").select("image_id", "seed", "by")
+    if not taken:
         return own.select("image_id", "seed", F.col("seed").alias("group"))
-    first = edges.join(taken.withColumnRenamed("seed", "by"), ["image_id", "by"], "left_anti").groupBy("image_id", "seed").agg(F.min("by").alias("group"))
+    every = rounds.write(reduce(DataFrame.unionByName, taken).distinct())
+    first = edges.join(every.withColumnRenamed("seed", "by"), ["image_id", "by"], "left_anti").groupBy("image_id", "seed").agg(F.min("by").alias("group"))
     return own.select("image_id", "seed").join(first, ["image_id", "seed"], "left").withColumn("group", F.coalesce("group", "seed"))
 
 
