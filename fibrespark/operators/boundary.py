@@ -1,8 +1,7 @@
 """Fibers against tissue boundaries: nearest points, distances, flags, outline slopes and relative angles.
 
 Boundary points: image_id, roi_id, seq, row, col (closed outlines, neighbours in seq touch). Distances are to the nearest point, ties by (roi_id, seq).
-Fibers and points meet on grid cells: within a threshold on cells of that size, else on cells that grow with the distance to the nearest outline, so a large image is many keys
-and a fiber meets the points around it only.
+Fibers and points meet on grid cells: within a threshold on cells of that size, else down a tree of boxes, so a large image is many keys and a fiber meets few points of each outline.
 """
 
 from __future__ import annotations
@@ -16,8 +15,9 @@ from fibrespark.functions.angles import edge_angle, on_image_edge, round_half_ev
 from .outlines import OUTLINE_POINTS, outline_slopes
 
 
-#: Sizes of the grids in which the nearest point is looked for; fibers further from any than the last look at all points of their image.
-GRIDS = tuple(8.0 * 2**k for k in range(12))
+#: Side of the finest boxes in which the nearest point is looked for; each level above has boxes of four times the side.
+FINEST = 8.0
+BRANCH = 4
 
 
 def _cells(row: Column, col: Column, size: Column, reach: int) -> Column:
@@ -27,29 +27,36 @@ def _cells(row: Column, col: Column, size: Column, reach: int) -> Column:
     return F.explode(F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.struct((own(row) + a).alias("r"), (own(col) + b).alias("c"))))))
 
 
-def _near_pairs(fibers: DataFrame, points: DataFrame, match: list[str]) -> DataFrame:
-    """Fibers (center_row, center_col) with every point that may be their nearest.
-
-    A fiber's grid is the finest in which a point lies in its cell or one next to it: that point is less than 3 cells away, and so is the nearest.
-    """
-    grid = F.posexplode(F.array(*map(F.lit, GRIDS))).alias("_grid", "_size")
-    gridded = points.select("*", grid).withColumns({"_r": F.floor(F.col("_row") / F.col("_size")).cast("long"), "_c": F.floor(F.col("_col") / F.col("_size")).cast("long")})
-    held = gridded.groupBy(*match, "_grid", "_r", "_c").agg(F.min("_row").alias("_r0"), F.max("_row").alias("_r1"), F.min("_col").alias("_c0"), F.max("_col").alias("_c1"))
-    around = held.select(*match, "_grid", _cells(F.col("_r"), F.col("_c"), F.lit(1), 1).alias("_x")).select(*match, "_grid", F.col("_x.r").alias("_r"), F.col("_x.c").alias("_c")).distinct()
-    row, col, size = F.col("center_row"), F.col("center_col"), F.col("_size")
-    placed = fibers.select("*", grid).withColumns({"_r": F.floor(row / size).cast("long"), "_c": F.floor(col / size).cast("long")})
-    finest = placed.join(around, [*match, "_grid", "_r", "_c"]).groupBy(*fibers.columns).agg(F.min(F.struct("_grid", "_size")).alias("_g")).select(*fibers.columns, "_g.*")
-    cells = finest.select("*", _cells(row, col, size, 3).alias("_x")).select(*fibers.columns, "_grid", F.col("_x.r").alias("_r"), F.col("_x.c").alias("_c"))
-    # of these the ones whose points may be nearer than the points of another surely are
-    boxed = cells.join(held, [*match, "_grid", "_r", "_c"])
+def box_distances(row: Column, col: Column) -> tuple[Column, Column]:
+    """Squares of the least and the largest distance between a place and the points of a box (_r0, _r1, _c0, _c1 are their extremes)."""
     square = lambda a, b: a * a + b * b
     least = square(F.greatest(F.lit(0.0), F.col("_r0") - row, row - F.col("_r1")), F.greatest(F.lit(0.0), F.col("_c0") - col, col - F.col("_c1")))
-    most = square(F.greatest(row - F.col("_r0"), F.col("_r1") - row), F.greatest(col - F.col("_c0"), F.col("_c1") - col))
-    boxed = boxed.withColumns({"_least": least, "_bound": F.min(most).over(Window.partitionBy(*match, "fiber_id"))})
-    cells = boxed.where(F.col("_least") <= F.col("_bound") * (1 + 1e-9)).select(*cells.columns)
-    far = fibers.join(finest.select(*match, "fiber_id"), [*match, "fiber_id"], "left_anti").join(points, match)
-    found = cells.join(gridded.drop("_size"), [*match, "_grid", "_r", "_c"]).drop("_grid", "_r", "_c")
-    return found.unionByName(far)
+    return least, square(F.greatest(row - F.col("_r0"), F.col("_r1") - row), F.greatest(col - F.col("_c0"), F.col("_c1") - col))
+
+
+def _near_pairs(fibers: DataFrame, points: DataFrame, match: list[str], keys: list[str]) -> DataFrame:
+    """Fibers (center_row, center_col) with every point of the same ``keys`` that may be their nearest.
+
+    Down a tree of boxes, level by level: a box goes if another of the fiber's surely holds a nearer point, the others meet their parts. A few boxes a level are left, however far the
+    points are and however many there are; each box is a key of its own.
+    """
+    extremes = [F.min("_row").alias("_r0"), F.max("_row").alias("_r1"), F.min("_col").alias("_c0"), F.max("_col").alias("_c1")]
+    wide = points.groupBy(*keys).agg(*extremes).agg(F.max(F.greatest(F.col("_r1") - F.col("_r0"), F.col("_c1") - F.col("_c0")))).first()[0]
+    placed = points.withColumns({"_r": F.floor(F.col("_row") / FINEST).cast("long"), "_c": F.floor(F.col("_col") / FINEST).cast("long")})
+    levels = [placed.groupBy(*keys, "_r", "_c").agg(*extremes)]
+    while FINEST * BRANCH ** (len(levels) - 1) < (wide or 0):
+        up = levels[-1].withColumns({c: F.floor(F.col(c) / BRANCH).cast("long") for c in ("_r", "_c")})
+        levels.append(up.groupBy(*keys, "_r", "_c").agg(F.min("_r0").alias("_r0"), F.max("_r1").alias("_r1"), F.min("_c0").alias("_c0"), F.max("_c1").alias("_c1")))
+    own = Window.partitionBy(*dict.fromkeys([*keys, "image_id", "fiber_id"]))
+    least, most = box_distances(F.col("center_row"), F.col("center_col"))
+    columns = list(dict.fromkeys([*fibers.columns, *keys]))
+    held = fibers.join(levels[-1], match)
+    for finer in (*reversed(levels[:-1]), None):
+        held = held.withColumn("_bound", F.min(most).over(own)).where(least <= F.col("_bound") * (1 + 1e-9)).select(*columns, "_r", "_c")
+        if finer is not None:
+            parts = finer.withColumnsRenamed({"_r": "_fr", "_c": "_fc"}).withColumns({"_r": F.floor(F.col("_fr") / BRANCH).cast("long"), "_c": F.floor(F.col("_fc") / BRANCH).cast("long")})
+            held = held.join(parts, [*keys, "_r", "_c"]).drop("_r", "_c").withColumnsRenamed({"_fr": "_r", "_fc": "_c"})
+    return held.join(placed, [*keys, "_r", "_c"]).drop("_r", "_c")
 
 
 def _pairs_within(fibers: DataFrame, points: DataFrame, match: list[str], threshold: float) -> DataFrame:
@@ -63,7 +70,7 @@ def _pairs_within(fibers: DataFrame, points: DataFrame, match: list[str], thresh
 def nearest_point(fibers: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("image_id",), threshold: float | None = None) -> DataFrame:
     """Adds distance, boundary_roi, boundary_seq, boundary_point_row and boundary_point_col of the nearest point with the same ``keys``.
 
-    One row per fiber and key; with a roi_id among the keys, per fiber and region. With a threshold only rows within it. Centers are taken as they are, not
+    One row per fiber and key; with a roi_id among the keys, per fiber and region. (image_id, fiber_id) names a fiber. With a threshold only rows within it. Centers are taken as they are, not
     rounded. Only ids and places are joined; further columns come back by id.
     """
     match = [k for k in keys if k != "roi_id" or "roi_id" in fibers.columns]
@@ -72,10 +79,8 @@ def nearest_point(fibers: DataFrame, points: DataFrame, keys: tuple[str, ...] =
     f = fibers.select(*ids, F.col("center_row").cast("double"), F.col("center_col").cast("double"))
     if threshold is not None:
         joined = _pairs_within(f, p, match, threshold)
-    elif match == list(keys):
-        joined = _near_pairs(f, p, match)
-    else:  # every region's nearest point, however far
-        joined = f.join(p, match)
+    else:
+        joined = _near_pairs(f, p, match, list(keys))
     distance = F.sqrt(F.pow(F.col("center_row") - F.col("_row"), 2) + F.pow(F.col("center_col") - F.col("_col"), 2))
     joined = joined.withColumn("_d", distance)
     if threshold is not None:

@@ -1,7 +1,7 @@
 """Neighbourhood features of fibers: nearest neighbours and boxes, within each image.
 
 Fibers: image_id, fiber_id, center_row, center_col, angle. Both joins meet on grid cells, so an image of n fibers costs about n times
-the neighbours of one cell and not n squared, and a crowded image spreads over as many keys as it has cells.
+the neighbours of one cell and not n squared, and a crowded image spreads over as many keys as it has cells. Where fibers are crowded in places, the nearest are found down a tree of boxes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from fibrespark.functions.angles import alignment
 
+from .boundary import box_distances
+
 RING = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
+#: Fibers around a cell of the even grid, in so many times k + 1, beyond which its fibers go down the tree of boxes.
+CROWD = 32
+#: Side of the tree's finest boxes, how many times wider each level's are, and levels; images beyond the coarsest box begin with several.
+FINEST, BRANCH, LEVELS = 2.0, 4, 9
 
 
 def _around(row: Column, col: Column) -> Column:
@@ -24,11 +30,41 @@ def _distance(a: str = "a", b: str = "b") -> Column:
     return F.sqrt(F.pow(F.col(f"{a}.center_row") - F.col(f"{b}.center_row"), 2) + F.pow(F.col(f"{a}.center_col") - F.col(f"{b}.center_col"), 2))
 
 
+def _celled(fibers: DataFrame) -> DataFrame:
+    return fibers.withColumns({"_r": F.floor(F.col("center_row") / FINEST).cast("long"), "_c": F.floor(F.col("center_col") / FINEST).cast("long")})
+
+
+def _boxes_in_reach(some: DataFrame, fibers: DataFrame, k: int) -> DataFrame:
+    """Fibers of ``some`` with the finest boxes (_r, _c) that may hold one of their k nearest.
+
+    Level by level: the boxes in order of their furthest point hold k others at some distance; boxes that begin beyond go, the others meet their parts. So a fiber keeps about as many
+    boxes as it has neighbours, wherever the image is crowded or empty.
+    """
+    levels = [_celled(fibers).groupBy("image_id", "_r", "_c").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("center_row").alias("_r0"), F.max("center_row").alias("_r1"), F.min("center_col").alias("_c0"), F.max("center_col").alias("_c1")
+    )]
+    while len(levels) < LEVELS:
+        up = levels[-1].withColumns({c: F.floor(F.col(c) / BRANCH).cast("long") for c in ("_r", "_c")})
+        levels.append(up.groupBy("image_id", "_r", "_c").agg(F.sum("_n").alias("_n"), F.min("_r0").alias("_r0"), F.max("_r1").alias("_r1"), F.min("_c0").alias("_c0"), F.max("_c1").alias("_c1")))
+    own = Window.partitionBy("image_id", "fiber_id")
+    least, most = box_distances(F.col("center_row"), F.col("center_col"))
+    held = some.join(levels[-1], "image_id")
+    for finer in (*reversed(levels[:-1]), None):
+        held = held.withColumns({"_least": least, "_most": most})
+        held = held.withColumn("_upto", F.sum("_n").over(own.orderBy("_most").rowsBetween(Window.unboundedPreceding, 0)))
+        held = held.withColumn("_bound", F.min(F.when(F.col("_upto") >= k + 1, F.col("_most"))).over(own))
+        held = held.where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") * (1 + 1e-9))).select(*some.columns, "_r", "_c")
+        if finer is not None:
+            parts = finer.withColumnsRenamed({"_r": "_fr", "_c": "_fc"}).withColumns({"_r": F.floor(F.col("_fr") / BRANCH).cast("long"), "_c": F.floor(F.col("_fc") / BRANCH).cast("long")})
+            held = held.join(parts, ["image_id", "_r", "_c"]).drop("_r", "_c").withColumnsRenamed({"_fr": "_r", "_fc": "_c"})
+    return held
+
+
 def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFrame:
     """(image_id, fiber_id, rank, distance, nb_id, nb_angle): the k nearest other fibers, equal distances by id; fewer in images with fewer.
 
     Cells are sized per image so that a fiber and its neighbours fill a cell or two. A fiber whose k-th neighbour is nearer than the unseen
-    cells has its answer; the others (corners, empty stretches) look at their whole image.
+    cells has its answer; the others (corners, empty stretches), and fibers where many crowd, go down a tree of boxes.
     """
     f = fibers.select("image_id", "fiber_id", F.col("center_row").cast("double"), F.col("center_col").cast("double"), F.col("angle").cast("double"))
     area = (F.max("center_row") - F.min("center_row") + 1) * (F.max("center_col") - F.min("center_col") + 1)
@@ -37,8 +73,10 @@ def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFram
     g = f.join(images, "image_id")
     at = lambda x, low: F.floor((F.col(x) - F.col(low)) / F.col("cell"))
     g = g.withColumn("gr", at("center_row", "r0")).withColumn("gc", at("center_col", "c0"))
+    around = g.groupBy("image_id", "gr", "gc").agg(F.count(F.lit(1)).alias("n")).select("image_id", "n", _around(F.col("gr"), F.col("gc")).alias("g"))
+    around = around.groupBy("image_id", F.col("g.r").alias("gr"), F.col("g.c").alias("gc")).agg(F.sum("n").alias("n")).where(F.col("n") <= CROWD * (k + 1)).drop("n")
     sent = g.select("image_id", "fiber_id", "center_row", "center_col", "angle", _around(F.col("gr"), F.col("gc")).alias("g")).select("*", "g.r", "g.c").drop("g")
-    pairs = g.alias("a").join(sent.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.gr") == F.col("b.r")) & (F.col("a.gc") == F.col("b.c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
+    pairs = g.join(around, ["image_id", "gr", "gc"]).alias("a").join(sent.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.gr") == F.col("b.r")) & (F.col("a.gc") == F.col("b.c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
 
     def ranked(joined: DataFrame, *more: Column) -> DataFrame:
         rows = joined.select(F.col("a.image_id").alias("image_id"), F.col("a.fiber_id").alias("fiber_id"), _distance().alias("distance"), F.col("b.fiber_id").alias("nb_id"), F.col("b.angle").alias("nb_angle"), *more)
@@ -55,7 +93,9 @@ def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFram
     reached = near.groupBy("image_id", "fiber_id").agg(((F.count(F.lit(1)) == k) & (F.max("distance") < F.min("seen")) | (F.min("seen") == float("inf"))).alias("whole"))
     done = near.join(reached.where("whole").select("image_id", "fiber_id"), ["image_id", "fiber_id"])
     left = f.join(reached.where("whole").select("image_id", "fiber_id"), ["image_id", "fiber_id"], "left_anti")
-    wide = ranked(left.alias("a").join(f.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.fiber_id") != F.col("b.fiber_id"))))
+    cells = _boxes_in_reach(left, f, k)
+    met = cells.alias("a").join(_celled(f).alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a._r") == F.col("b._r")) & (F.col("a._c") == F.col("b._c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
+    wide = ranked(met)
     columns = ["image_id", "fiber_id", "rank", "distance", "nb_id", "nb_angle"]
     return done.select(*columns).unionByName(wide.select(*columns))
 

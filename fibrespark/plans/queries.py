@@ -46,6 +46,10 @@ def angle_statistics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.angle_statistics(derived.fibers(spark, d)))
 
 
+def angle_uniformity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(statistics.uniformity_test(derived.fibers(spark, d)), 9)
+
+
 def _mask(spark: SparkSession, d: str) -> DataFrame:
     return roi.polygon_mask(derived.points(spark, d), SIDE, SIDE).select("image_id", "row", "col").distinct()
 
@@ -91,6 +95,12 @@ def roi_alignment(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumns({c: F.col(c).cast("double") for c in ("boundary_point_row", "boundary_point_col")}))
 
 
+def region_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Every region's nearest point to every fiber of its image, however far."""
+    near = boundary.nearest_point(derived.fibers(spark, d), derived.points(spark, d), ("image_id", "roi_id"))
+    return rounded(near.select("image_id", "roi_id", "fiber_id", "distance", "boundary_seq"))
+
+
 def roi_summary(spark: SparkSession, d: str) -> DataFrame:
     p = derived.points(spark, d)
     return rounded(roi.roi_summary(roi.roi_alignment(derived.fibers(spark, d), p, SIDE, SIDE, THRESHOLD, slopes=False), p, SIDE, SIDE))
@@ -217,7 +227,7 @@ def mask_contours(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fiber_features, nearest_neighbors, box_features, angle_histogram, angle_histogram_centers, angle_statistics, polygon_mask, nearest_boundary, boundary_association, relative_angles,
+        fiber_features, nearest_neighbors, box_features, angle_histogram, angle_histogram_centers, angle_statistics, angle_uniformity, polygon_mask, nearest_boundary, region_distances, boundary_association, relative_angles,
         roi_properties, roi_alignment, roi_summary, roi_edge_alignment, area_samples, extension_points, segment_pixels, coefficient_threshold, kept_coefficients, wedge_means, top_wedges,
         above_percentile, orientations3d, map_raw, map_circular, map_density, map_gaussian, map_processed, overlay_segments, feature_table, curvelet_groups, curvelet_coefficients,
         curvelet_reconstruction, curvelet3d_energy, curvelet3d_reconstruction, mask_contours,
@@ -335,6 +345,12 @@ ORACLE_SQL = {
       SELECT f.image_id, count(*) AS n, round(any_value(mu), 6) AS mean, round(median(angle), 6) AS median, round(var_samp(angle), 6) AS variance, round(stddev_samp(angle), 6) AS std,
         round({_aligned('angle', 'true')}, 6) AS alignment, round(avg(pow(angle - mu, 3)) / pow(var_pop(angle), 1.5), 6) AS skewness, round(avg(pow(angle - mu, 4)) / pow(var_pop(angle), 2), 6) AS kurtosis
       FROM fibers f JOIN m USING (image_id) GROUP BY f.image_id""",
+    "angle_uniformity": f"""WITH {FIBERS_SQL}, e AS (SELECT image_id, angle AS t FROM fibers UNION SELECT image_id, (angle + 90) % 180 FROM fibers),
+      c AS (SELECT e.image_id, t, count(*) FILTER ((angle - t + 180) % 180 < 90) AS held, count(*) AS n FROM e JOIN fibers USING (image_id) GROUP BY ALL), l AS (SELECT image_id, any_value(n) AS n, min(held) AS m FROM c GROUP BY image_id)
+      SELECT image_id, n, m, round(least(1.0, CASE WHEN n = 2 * m THEN 1.0 WHEN n <= 50 THEN pow(2.0, 1 - n) * (n - 2 * m) * factorial(least(n, 50)::INT) / (factorial(least(m, 50)::INT) * factorial(greatest(0, least(n - m, 50))::INT))
+        ELSE sqrt(2 * pi()) * 2 * (n - 2 * m) / (pi() * sqrt(n)) * exp(-pow(n - 2 * m, 2) / (2 * n)) END), 9) AS p FROM l""",
+    "region_distances": f"""WITH {FIBERS_SQL}, {POINTS_SQL}, n AS (SELECT image_id, roi_id, fiber_id, min((sqrt(pow(center_row - row, 2) + pow(center_col - col, 2)), seq)) AS m FROM fibers JOIN points USING (image_id) GROUP BY ALL)
+      SELECT image_id, roi_id, fiber_id, round(m[1], 6) AS distance, m[2] AS boundary_seq FROM n""",
     "polygon_mask": f"WITH {POINTS_SQL}, {MASK_SQL} SELECT image_id, row, col FROM mask",
     "nearest_boundary": f"""WITH {FIBERS_SQL}, {POINTS_SQL}, {MASK_SQL}, {_FLAGGED} SELECT image_id, fiber_id, round(distance, 6) AS distance, m[2] AS boundary_roi, m[3] AS boundary_seq, m[4] AS boundary_point_row,
       m[5] AS boundary_point_col, region::BIGINT AS region, distance <= 40 AND distance > 5 AND region = 0 AS included, NOT (distance <= 40 AND distance > 5 AND region = 0) AS excluded FROM bf""",
