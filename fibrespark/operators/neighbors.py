@@ -19,7 +19,7 @@ RING = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 #: Fibers around a cell of the even grid, in so many times k + 1, beyond which its fibers go down the tree of boxes.
 CROWD = 32
 #: Side of the tree's finest boxes, how many times wider each level's are, and levels; images beyond the coarsest box begin with several.
-FINEST, BRANCH, LEVELS = 2.0, 4, 9
+FINEST, BRANCH, LEVELS = 2.0, 8, 6
 
 
 def _around(row: Column, col: Column) -> Column:
@@ -78,8 +78,8 @@ def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFram
     sent = g.select("image_id", "fiber_id", "center_row", "center_col", "angle", _around(F.col("gr"), F.col("gc")).alias("g")).select("*", "g.r", "g.c").drop("g")
     pairs = g.join(around, ["image_id", "gr", "gc"]).alias("a").join(sent.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.gr") == F.col("b.r")) & (F.col("a.gc") == F.col("b.c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
 
-    def ranked(joined: DataFrame, *more: Column) -> DataFrame:
-        rows = joined.select(F.col("a.image_id").alias("image_id"), F.col("a.fiber_id").alias("fiber_id"), _distance().alias("distance"), F.col("b.fiber_id").alias("nb_id"), F.col("b.angle").alias("nb_angle"), *more)
+    def ranked(joined: DataFrame) -> DataFrame:
+        rows = joined.select(F.col("a.image_id").alias("image_id"), F.col("a.fiber_id").alias("fiber_id"), _distance().alias("distance"), F.col("b.fiber_id").alias("nb_id"), F.col("b.angle").alias("nb_angle"))
         order = Window.partitionBy("image_id", "fiber_id").orderBy("distance", "nb_id")
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -89,10 +89,12 @@ def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFram
     lows = [F.when(x(g_) > 1, x(p) - (x(low) + (x(g_) - 1) * x("cell"))).otherwise(far) for p, g_, low in (("center_row", "gr", "r0"), ("center_col", "gc", "c0"))]
     highs = [F.when(x(low) + (x(g_) + 2) * x("cell") <= x(high), x(low) + (x(g_) + 2) * x("cell") - x(p)).otherwise(far) for p, g_, low, high in (("center_row", "gr", "r0", "r1"), ("center_col", "gc", "c0", "c1"))]
     seen = F.least(*lows, *highs).alias("seen")
-    near = ranked(pairs, seen)
-    reached = near.groupBy("image_id", "fiber_id").agg(((F.count(F.lit(1)) == k) & (F.max("distance") < F.min("seen")) | (F.min("seen") == float("inf"))).alias("whole"))
-    done = near.join(reached.where("whole").select("image_id", "fiber_id"), ["image_id", "fiber_id"])
-    left = f.join(reached.where("whole").select("image_id", "fiber_id"), ["image_id", "fiber_id"], "left_anti")
+    near = ranked(pairs)
+    # counted without putting in order: with k neighbours nearer than any unseen cell, the k nearest were seen
+    reached = pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.fiber_id").alias("fiber_id"), _distance().alias("distance"), seen).groupBy("image_id", "fiber_id")
+    whole = reached.agg(((F.count(F.when(F.col("distance") < F.col("seen"), 1)) >= k) | (F.min("seen") == float("inf"))).alias("whole")).where("whole").select("image_id", "fiber_id")
+    done = near.join(whole, ["image_id", "fiber_id"])
+    left = f.join(whole, ["image_id", "fiber_id"], "left_anti")
     cells = _boxes_in_reach(left, f, k)
     met = cells.alias("a").join(_celled(f).alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a._r") == F.col("b._r")) & (F.col("a._c") == F.col("b._c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
     wide = ranked(met)
