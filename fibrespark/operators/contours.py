@@ -123,13 +123,14 @@ def ranked_loops(steps: DataFrame) -> DataFrame:
 def contours(mask: DataFrame) -> DataFrame:
     """(image_id, loop, size, seq, row, col, pixel_row, pixel_col): every closed contour in half-pixel coordinates from its least point on; loop names it, and the first point isn't repeated."""
     rounds = Rounds(mask.sparkSession, "contours")
-    at = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
+    at = lambda r, c: F.shiftleft(r, 32) + F.col(c)
     steps = rounds.write(contour_steps(mask).select("image_id", at("r", "c").alias("at"), at("next_r", "next_c").alias("next"), "row", "col"))
     found = rounds.write(ranked_loops(steps))
     sizes = found.groupBy("image_id", "start").agg(F.count(F.lit(1)).alias("size"))
     placed = found.join(sizes, ["image_id", "start"]).join(steps.select("image_id", "at", F.col("row").alias("pixel_row"), F.col("col").alias("pixel_col")), ["image_id", "at"])
     seq = F.pmod(F.col("size") - F.col("left"), F.col("size"))
-    return placed.select("image_id", F.col("start").alias("loop"), "size", seq.alias("seq"), (F.col("at.r") / 2).alias("row"), (F.col("at.c") / 2).alias("col"), "pixel_row", "pixel_col")
+    r = F.shiftright(F.col("at") + 1, 32)  # c is -1 at least
+    return placed.select("image_id", F.col("start").alias("loop"), "size", seq.alias("seq"), (r / 2).alias("row"), ((F.col("at") - F.shiftleft(r, 32)) / 2).alias("col"), "pixel_row", "pixel_col")
 
 
 def mask_contours(mask: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def test_contours_equal_tracing(case):
     grids, mask = case
     got, chosen = {}, {}
     for r in contours.contours(mask).collect():
-        got.setdefault((r.image_id, tuple(r.loop)), {})[r.seq] = (r.row, r.col)
+        got.setdefault((r.image_id, r.loop), {})[r.seq] = (r.row, r.col)
     for r in contours.mask_contours(mask).collect():
         chosen.setdefault((r.image_id, r.roi_id), {})[r.seq] = (r.row, r.col)
     in_order = lambda d: [d[k] for k in range(len(d))]
