@@ -7,8 +7,8 @@
    similarity 0.75 meet in a table unless fewer than two collections agree: 4 in 100,000 at exactly 0.75, far fewer above.
    Collections held by one class alone can't meet and are dropped before keys are formed.
 3. Each class is compared with the first class (smallest id) of its table keys: with one, then with up to ``FIRST_CENTERS`` where that leaves
-   components apart. Links are confirmed on the full sets and contracted. Keys whose classes are in one component by then are done; that
-   settles groups of near copies without listing their pairs.
+   components apart. Links are confirmed on the full sets and contracted. Keys that are still open then draw other classes, and each class is compared with the one that
+   most of its keys drew, for up to ``SETTLING`` rounds. Keys whose classes are in one component are done; that settles groups of near copies without listing their pairs.
 4. What is left is joined exactly by prefix filter: shingles in order of rarity among these classes, sets of similarity 0.75 share one of their first ones, and
    the place of the match bounds what can still follow. Pairs in different components are confirmed on the full sets. So a frequent
    passage, which fills tables but isn't rare, makes no pairs.
@@ -37,6 +37,8 @@ COLLECTIONS = 16
 PER_COLLECTION = 2
 #: First classes that a class is compared with before the rest is joined by prefixes.
 FIRST_CENTERS = 4
+#: Rounds of other classes that open keys choose to compare with before that.
+SETTLING = 2
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -188,6 +190,19 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, sim
         links = links.unionByName(late)
         roots = components(links)
 
+    # keys that are still open choose other classes to compare with, one a class and round: near copies may be near each other and not near the first
+    for settling in range(SETTLING):
+        rooted = keyed.select("key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+        drawn = F.min(F.struct(F.xxhash64("cid", F.lit(settling)).alias("h"), F.col("cid").alias("b"), F.col("root").alias("rb"))).alias("c")
+        centers = rooted.groupBy("key").agg(drawn, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "c.b", "c.rb")
+        met = rooted.join(centers, "key").where("root <> rb").groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
+        chosen = met.groupBy("a").agg(F.max(F.struct("m", "b"))["b"].alias("b"))  # the one that most of its keys chose
+        found = written(_confirmed(chosen, sets, similar), "minhash-links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        roots = components(links)
+
     # the rest: classes of keys in which others than the first are apart, and those not compared with the first
     rooted = keyed.where("cid <> center").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("key").alias("k2"))
