@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fibrespark.functions.angles import azimuth, direction, polar_angle, wedge_angle
+from fibrespark.functions.angles import azimuth, direction, polar_angle
 
 BINS = 101
 
@@ -31,14 +31,6 @@ def kept_coefficients(coeffs: DataFrame, keep: float, n_wedges: int | None = Non
     return out.where(F.col("wedge") < n_wedges // 2) if n_wedges else out
 
 
-def curvelet_points(kept: DataFrame, n_wedges: int, height: int, width: int) -> DataFrame:
-    """Adds center_row, center_col (from 1) and angle to rows with k1, k2 (from 0), the wedge's grid size (nx, ny) and its steps (sx, sy)."""
-    at = lambda size, step, i, n: 1 + size * (F.col(step) * (F.col(i) + 1 - F.ceil((F.col(n) + 1) / 2)) + 0.5)
-    return kept.withColumns({
-        "center_row": F.floor(at(height, "sx", "k1", "nx") + 0.5), "center_col": F.floor(at(width, "sy", "k2", "ny") + 0.5), "angle": wedge_angle(F.col("wedge"), n_wedges),
-    })
-
-
 def inside_edges(points: DataFrame, height: int, width: int) -> DataFrame:
     """Points further from the image's border than a hundredth of its shorter side, rounded up."""
     edge = -(-min(height, width) // 100)

@@ -99,10 +99,11 @@ class Analysis:
     overlay: DataFrame
     roi_details: DataFrame | None = None
     roi_summary: DataFrame | None = None
+    roi_labels: DataFrame | None = None
 
     def write(self, path: str, mode: str = "overwrite") -> None:
         sinks.write_features(self.features, f"{path}/features", mode=mode)
-        for name in ("histogram", "values", "map", "overlay", "roi_details", "roi_summary"):
+        for name in ("histogram", "values", "map", "overlay", "roi_details", "roi_summary", "roi_labels"):
             if (table := getattr(self, name)) is not None:
                 table.write.mode(mode).parquet(f"{path}/{name}")
 
@@ -125,9 +126,10 @@ def analyze_fibers(fibers: DataFrame, parameters: AnalysisParameters, points: Da
     raw = heatmap.raw_map(included, h, w, "relative_angle", 90.0)
     mapped = heatmap.processed_map(raw, h, w, None, p.map.square, p.map.sigma)
     details = roi.roi_alignment(fibers, points, h, w, b.distance_threshold, b.origin)
+    summary = roi.roi_summary(details, points, h, w)
     return Analysis(
         table, statistics.angle_histogram(included, "relative_angle", 90.0), sinks.values(near, "relative_angle", True), mapped.withColumn("color", heatmap.colour(F.col("value"), True)),
-        sinks.overlay(near, points), details, roi.roi_summary(details, points, h, w),
+        sinks.overlay(near, points), details, summary, sinks.roi_labels(summary),
     )
 
 

@@ -186,6 +186,8 @@ def test_whole_analysis_and_sinks(spark, tmp_path):
     assert table.count() == 80 and len(table.columns) == 35
     assert done.features.columns == ["image_id", *sinks.BASE, *sinks.feature_columns(), *sinks.BOUNDARY]
     assert spark.read.parquet(f"{tmp_path}/overlay").where("kind = 'boundary'").count() == points.count() - 2
+    labels = {r.roi_id: r for r in spark.read.parquet(f"{tmp_path}/roi_labels").collect()}
+    assert set(labels) == {1, 2} and math.dist((labels[2].x1, labels[2].y1), (labels[2].x2, labels[2].y2)) == pytest.approx(40)
     alone = analyze_fibers(f, AnalysisParameters(200, 200))
     assert alone.features.count() == 80 and alone.values.count() == 80 and alone.map.count() > 0
     with pytest.raises(ParameterError):
