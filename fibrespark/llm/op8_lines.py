@@ -13,7 +13,9 @@ class (lines reachable by links) occurs earlier, in the order of (document id, l
 4. A segment whose lines are still apart (a common opening, a passage in which each document changed other words) doesn't list its pairs either. Its lines are placed
    by how far they agree with the center: without an edit (``none``) and within ``edits`` edits (``most``). Lines within ``edits`` edits of each other have
    overlapping ranges none ... most, so only lines that left the center at the same place meet, on cells of that place, and only if their counts of bytes allow it.
-   Lines that meet more than ``LISTED`` others in a cell are cut into more segments (``FINER``), of which all but ``edits`` must agree, and go through 3 and 4 again.
+   Lines that meet more than ``LISTED`` others in a cell are cut anew, each crowded segment's where its lines vary: into ``FINER * (edits + 1)`` pieces with equal shares of what
+   varies, however short. All but ``edits`` pieces must agree, and lines for which they do go through 3 and 4 again. They vary in the other pieces only, so the places
+   at which lines of a length vary get fewer each time, until there are ``edits`` of them: then such lines are all linked by their center, and what else meets them is listed.
 5. Candidates whose counts of bytes differ by more than edits explain, or of which more than ``edits`` pieces differ, can't be near and go; the others are verified with a banded
    bit-parallel edit distance: a fold over one line's bytes in which the band of 2 * edits + 1 rows is the bits of an integer.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, SPACE_CHARS, has_word, written
@@ -43,10 +45,10 @@ FILTER_BITS = 1 << 24
 CELLS = 32
 #: Classes of bytes that are counted before two lines are compared.
 CLASSES = 16
-#: A line lists its pairs with at most so many lines of a cell, unless it is cut into the last of FINER.
+#: A line lists its pairs with at most so many lines of a cell; those of fuller cells are cut anew.
 LISTED = 256
-#: Segments a line is cut into after the first edits + 1: twice and four times these for 2 edits.
-FINER = (2, 4)
+#: How many times edits + 1 pieces a line is cut into where its segment is crowded.
+FINER = 3
 
 
 def _bind(value: Column, body) -> Column:
@@ -81,6 +83,7 @@ def _patterns(edits: int, pieces: int) -> list[tuple[int, list[tuple[int, int, i
 def probed(lines: DataFrame, edits: int, pieces: int) -> DataFrame:
     """lines (..., line) to (..., key, own): a row for everything a line sends, and whether it is made of the line's own segments.
 
+    Segments are even, and sent for every length that is up to ``edits`` less. Lines that also have (group, cuts) send within their group for the length that ``cuts`` ends with.
     One expression over a short list of patterns, exploded; written out it would be a method too long to be compiled.
     """
     rows = []
@@ -91,15 +94,42 @@ def probed(lines: DataFrame, edits: int, pieces: int) -> DataFrame:
         rows.append([fewer, name, *parts])
     fields = ["fewer", "name", *[f"{c}{r}" for r in range(edits + 1) for c in ("i", "j", "shift")]]
     patterns = F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'_{f}', {x}" for f, x in zip(fields, row)) + ")" for row in rows) + ")")
+    grouped = "cuts" in lines.columns
+    others = [c for c in lines.columns if c not in ("line", "group", "cuts")]
     sent = lines.select(*[c for c in lines.columns if c != "line"], F.octet_length("line").alias("_n"), F.col("line").cast("binary").alias("_data"), F.inline(patterns))
     size = F.col("_n") - F.col("_fewer")
-    cut = lambda k: F.floor(size / pieces).cast("int") * k + F.greatest(F.lit(0), size % pieces - pieces + k)
+    if grouped:
+        sent = sent.where(size == F.element_at("cuts", -1))
+        cut = lambda k: F.get("cuts", k)
+    else:
+        cut = lambda k: F.floor(size / pieces).cast("int") * k + F.greatest(F.lit(0), size % pieces - pieces + k)
     runs = [(cut(F.col(f"_i{r}")), cut(F.col(f"_j{r}")), F.col(f"_shift{r}")) for r in range(edits + 1)]
     inside, own = F.lit(True), F.col("_fewer") == 0
     for first, end, shift in runs:
         inside, own = inside & (first + shift >= 0) & (end + shift <= F.col("_n")), own & (shift == 0)
-    key = F.xxhash64(size, "_name", *[F.substring("_data", first + shift + 1, end - first) for first, end, shift in runs])
-    return sent.where(inside).select(*[c for c in lines.columns if c != "line"], key.alias("key"), own.alias("own"))
+    key = F.xxhash64(*(["group"] if grouped else []), size, "_name", *[F.substring("_data", first + shift + 1, end - first) for first, end, shift in runs])
+    return sent.where(inside).select(*others, key.alias("key"), own.alias("own"))
+
+
+def cuts_where_lines_vary(met: DataFrame, lines: DataFrame, pieces: int) -> DataFrame:
+    """met (key, id, own, center) to (group, cuts, varying): where to cut the lines of a key, from 0 to their length, and at how many bytes they differ from the center.
+
+    Half of a byte's weight is how many lines differ there, half is the same for all such bytes, so that a piece can't hold more than a fair number of them.
+    Only lines that are as long as the center, those with segments of their own, are asked.
+    """
+    text = lines.select("id", "line")
+    both = met.where("own").select("key", "id", "center").distinct().join(text, "id").join(text.toDF("center", "middle"), "center")
+    differs = F.zip_with(_bytes(F.col("line")), _bytes(F.col("middle")), lambda x, y: x != y)
+    size = F.octet_length("middle")
+    places = both.select("key", size.alias("size"), F.posexplode(differs).alias("pos", "differs")).where("differs")
+    places = places.groupBy("key", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    whole, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("pos")
+    share = (F.col("n") / F.sum("n").over(whole) + F.lit(1.0) / F.count(F.lit(1)).over(whole)) / 2
+    places = places.select("key", "pos", "size", share.alias("share"))
+    piece = F.floor((F.sum("share").over(before) - F.col("share") / 2) * pieces)
+    starts = [F.coalesce(F.min(F.when(F.col("piece") >= k, F.col("pos"))), F.max("size")) for k in range(1, pieces)]
+    placed_ = places.select("key", "pos", "size", piece.alias("piece")).groupBy(F.col("key").alias("group"))
+    return placed_.agg(F.array(F.lit(0), *starts, F.max("size")).alias("cuts"), F.count(F.lit(1)).alias("varying"))
 
 
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
@@ -209,8 +239,8 @@ def placed(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.select("a", "b", found.alias("at")).select("a", "b", "at.none", "at.most")
 
 
-def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rest) of lines (key, id, own, center) of one segment in different components: pairs (a, b) that may be near, and the lines (id) that must be cut finer."""
+def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Lines (key, id, own, center) of one segment in different components, as rows (key, cell, begins, id, own, center, root, counts, listed): those of a cell may be near."""
     rooted = met.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("own") & (F.col("id") != F.col("center"))).alias("more"))
     keys = keys.where("low <> high AND more").select(F.col("key").alias("key2"))
@@ -218,16 +248,24 @@ def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int, las
     crowded = rooted.join(keys, F.col("key") == F.col("key2")).where("id <> center").select("key", F.col("id").alias("a"), F.col("center").alias("b"), "own", "root")
     pairs = crowded.select("a", "b").distinct().join(lines.select("id", "line").toDF("a", "la"), "a").join(lines.select("id", "line").toDF("b", "lb"), "b")
     places = written(placed(pairs, edits), "line-places").join(lines.select(F.col("id").alias("a"), "counts"), "a")
-    spread = crowded.join(places, ["a", "b"]).select("key", F.col("a").alias("id"), "own", "root", "counts", "none", "most", F.explode(F.sequence("none", "most")).alias("cell"))
+    spread = crowded.join(places, ["a", "b"]).select("key", F.col("a").alias("id"), F.col("b").alias("center"), "own", "root", "counts", "none", "most", F.explode(F.sequence("none", "most")).alias("cell"))
     spread = written(spread.withColumn("begins", F.col("cell") == F.col("none")), "line-placed")
     groups = spread.groupBy("key", "cell").agg(F.count(F.when(F.col("begins"), 1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("any"))
     groups = groups.where("low <> high AND any AND n > 0").select(F.col("key").alias("gk"), F.col("cell").alias("gc"), (F.col("n") <= LISTED).alias("listed"))
-    met_again = written(spread.join(groups, (F.col("key") == F.col("gk")) & (F.col("cell") == F.col("gc"))).drop("gk", "gc"), "line-cells")
-    listed = met_again if last else met_again.where("listed")
-    other = listed.select(*[F.col(c).alias(f"{c}_") for c in spread.columns])
-    meet = (F.col("key") == F.col("key_")) & (F.col("cell") == F.col("cell_")) & (F.col("root") != F.col("root_")) & (F.col("own") | F.col("own_")) & _may_be_near("counts", "counts_", edits)
-    pairs = listed.where("begins").join(other, meet).select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-    return pairs, met_again.where("NOT listed").select("id").distinct()
+    return written(spread.join(groups, (F.col("key") == F.col("gk")) & (F.col("cell") == F.col("gc"))).drop("gk", "gc"), "line-cells")
+
+
+def _meeting(cells: DataFrame) -> DataFrame:
+    """Rows of ``_crowded`` to pairs of rows of one cell, the second's columns with an underscore, one of which left the center there."""
+    other = cells.select(*[F.col(c).alias(f"{c}_") for c in cells.columns])
+    meet = (F.col("key") == F.col("key_")) & (F.col("cell") == F.col("cell_")) & (F.col("root") != F.col("root_")) & (F.col("own") | F.col("own_"))
+    return cells.where("begins").join(other, meet)
+
+
+def _pairs(cells: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of lines that meet in a cell and may be near."""
+    met = _meeting(cells).where(_may_be_near("counts", "counts_", edits))
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
 def _may_be_in(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
@@ -259,19 +297,27 @@ def _near_lines(docs: DataFrame, edits: int, least_bytes: int) -> DataFrame:
     texts = _may_be_in(lines, "k1", names, "k1").join(names, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("m"))
     texts = written(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
     links: DataFrame | None = None
-    for finer in (*FINER, 0):
+    pieces = FINER * (edits + 1)
+    while True:
         center = met.where("own").join(texts.select("id", "m"), "id").groupBy("key").agg(F.max(F.struct("m", "id"))["id"].alias("center")).withColumnRenamed("key", "key2")
         met = written(met.join(center, F.col("key") == F.col("key2")).select("key", "id", "own", "center"), "line-met")
         stars = met.where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
         found = written(_verified(stars, texts, edits), "line-links")
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        pairs, rest = _crowded(met, roots, texts, edits, not finer)
-        links = links.unionByName(written(_verified(pairs, texts, edits), "line-late"))
-        if not finer or rest.isEmpty():
+        cells = _crowded(met, components(links), texts, edits)
+        full = cells.where("NOT listed")
+        done = full.isEmpty()
+        listed = cells.where("listed")
+        if not done:
+            cuts = written(cuts_where_lines_vary(full, texts, pieces), "line-cuts")
+            full = full.join(cuts, F.col("key") == F.col("group"))
+            # too few places left to cut at
+            listed = listed.unionByName(full.where(F.col("varying") <= edits).select(*cells.columns))
+        links = links.unionByName(written(_verified(_pairs(listed, edits), texts, edits), "line-late"))
+        if done:
             break
-        rest = written(rest, "line-rest")
-        met = _met(probed(texts.select("id", "line").join(rest, "id"), edits, finer * (edits + 1)), ["id"])
+        rest = full.where(F.col("varying") > edits).select("group", "cuts", "id").distinct()
+        met = _met(probed(rest.join(texts.select("id", "line"), "id"), edits, pieces), ["id"])
     return names.join(components(links), F.col("id") == F.col("node")).select("k1", "k2", "root")
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -533,6 +534,44 @@ def test_candidates_of_crowded_segments_grow_with_the_lines(spark, monkeypatch):
     assert max(found) < 40 * 2000, found  # of 2 million pairs
 
 
+def test_meetings_of_lines_in_a_frame_grow_with_the_lines(spark, monkeypatch):
+    """Lines in a fixed frame that differ in 8 digits: rows of the join before its filters, and the lines that are near."""
+    met = []
+    inner = op8_lines._meeting
+
+    def counted(cells):
+        rows = inner(cells)
+        met.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(op8_lines, "_meeting", counted)
+    monkeypatch.setattr(op8_lines, "LISTED", 16)  # the bound for a row, which tables this small wouldn't reach
+    totals = []
+    for n in (1000, 2000):
+        digits = [hashlib.md5(f"{n}{k}".encode()).hexdigest()[:8] for k in range(n - 50)]
+        digits += [d[:3] + "-" + d[4:] for d in digits[:25]] + [d[1:] + "-" for d in digits[25:50]]  # a digit replaced; one deleted, one added
+        rows = [(k, f"posted by a reader, reference {d}, all comments are moderated before they appear on this page") for k, d in enumerate(digits)]
+        met.clear()
+        gone = {r.doc_id for r in op8_lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+        pairs = "SELECT x.k, y.k FROM d x JOIN d y ON x.k < y.k AND levenshtein(x.t, y.t) <= 2"  # the frame is the same, so the digits are as far apart as the lines
+        links = duckdb.execute(f"WITH d AS (SELECT unnest($1) AS t, unnest(range({n})) AS k) {pairs}", [digits]).fetchall()
+        root = components_of(n, links)
+        first = {}
+        for k in range(n):
+            first.setdefault(root[k], k)
+        assert gone == {k for k in range(n) if first[root[k]] != k} >= set(range(n - 50, n))
+        totals.append(sum(met))
+    assert totals[0] < 16 * 1000 and totals[1] <= 2 * totals[0], totals  # of 0.5 and 2 million pairs
+
+
+def test_cuts_share_what_varies(spark):
+    """All that varies is shared out evenly, and at a place each where that is possible."""
+    lines = spark.createDataFrame([(0, "aaaaXXXXbbbb"), (1, "aaaaYXXXbbbb"), (2, "aaaaXYXXbbbb"), (3, "aaaaXXYXbbbb"), (4, "aaaaXXXYbbbb"), (5, "aaaaXXXXbbbbb")], "id long, line string")
+    met = spark.createDataFrame([(7, k, k < 5, 0) for k in range(1, 6)], "key long, id long, own boolean, center long")
+    (row,) = op8_lines.cuts_where_lines_vary(met, lines, 4).collect()
+    assert (row.group, row.cuts, row.varying) == (7, [0, 5, 6, 7, 12], 4)
+
+
 def test_lines_of_repeated_rows_and_null_ids(spark):
     one = "a line that is long enough to be compared with others"
     rows = [(1, one), (1, one), (None, one), (None, one + "!!"), (2, one + "\n" + one)]
