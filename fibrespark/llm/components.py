@@ -17,10 +17,16 @@ def _order(node):
     return F.struct(F.xxhash64(node).alias("h"), node.alias("n"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) to (node, root): one row per node that has a link; nodes of one component share a root, which is one of them."""
-    empty = links.sparkSession.createDataFrame([], "node long, root long")
-    edges = written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "links")
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """links (a, b), a written table, to (node, root): one row per node that has a link; nodes of one component share a root, which is one of them.
+
+    ``known``: the result for links found before. Only what the new links join is contracted then, and the rows of ``known`` come first to their new roots.
+    """
+    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    if known is not None:
+        ra, rb = known.toDF("a", "ra"), known.toDF("b", "rb")
+        edges = edges.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        edges = written(edges.where("a <> b").distinct(), "links")
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,19 +36,13 @@ def components(links: DataFrame) -> DataFrame:
         right = left.join(point, left["b"] == point["node"]).select("a", F.col("to").alias("b"))
         edges = written(right.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     if not steps:
-        return empty
+        return links.sparkSession.createDataFrame([], "node long, root long") if known is None else known
     # roots of the last round are final; earlier pointers follow them
     found = steps[-1].select("node", F.col("to").alias("root"))
     for step in reversed(steps[:-1]):
         later = found.withColumnRenamed("node", "n")
         found = written(step.join(later, step["to"] == later["n"], "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
-    return found
-
-
-def smallest_of(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members (node, id) with roots (node, root): (node, least) with the smallest id of the node's component, nodes without links included."""
-    r = roots.withColumnRenamed("node", "_n")
-    tagged = members.join(r, members["node"] == F.col("_n"), "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = tagged.groupBy("root").agg(F.min("id").alias("least")).withColumnRenamed("root", "_r")
-    return tagged.join(least, F.col("root") == F.col("_r")).select("node", "least")
-
+    if known is None:
+        return found
+    moved = known.join(found.toDF("n", "r"), F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+    return written(moved.unionByName(found.join(known.select("node"), "node", "left_anti")), "roots")

@@ -182,13 +182,11 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     order = Window.partitionBy("a").orderBy("center_i", "b")
     stars = keyed.where("cid <> center").groupBy(F.col("cid").alias("a"), F.col("center").alias("b")).agg(F.min("center_i").alias("center_i"))
     stars = written(stars.withColumn("r", F.row_number().over(order)).select("a", "b", "r"), "minhash-stars")
-    links = written(_confirmed(stars.where("r = 1").select("a", "b"), sets, similar), "minhash-links")
-    roots = components(links)
+    roots = components(written(_confirmed(stars.where("r = 1").select("a", "b"), sets, similar), "minhash-links"))
     apart = written(_apart(stars.where("r > 1"), roots), "minhash-apart")
     late = written(_confirmed(apart.where(F.col("r") <= FIRST_CENTERS).select("a", "b"), sets, similar), "minhash-links")
     if not late.isEmpty():
-        links = links.unionByName(late)
-        roots = components(links)
+        roots = components(late, roots)
 
     # keys that are still open choose other classes to compare with, one a class and round: near copies may be near each other and not near the first
     for settling in range(SETTLING):
@@ -200,8 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, sim
         found = written(_confirmed(chosen, sets, similar), "minhash-links")
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        roots = components(links)
+        roots = components(found, roots)
 
     # the rest: classes of keys in which others than the first are apart, and those not compared with the first
     rooted = keyed.where("cid <> center").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
@@ -211,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     rest = written(rest.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), "minhash-rest")
     final = written(_confirmed(_prefix_pairs(rest, sets, similar), sets, similar), "minhash-links")
     if not final.isEmpty():
-        roots = components(links.unionByName(final))
+        roots = components(final, roots)
     return signed.withColumn("cid", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key"))), roots
 
 

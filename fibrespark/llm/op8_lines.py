@@ -25,6 +25,7 @@ Very long lines: segments and bands grow linearly. Empty table: empty result. Fu
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -219,7 +220,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
 
 def placed(pairs: DataFrame, edits: int) -> DataFrame:
-    """pairs (a, b, la, lb) of a line and its segment's center, which isn't longer, to (a, b, none, most): cells of lb, up to which la agrees with it without an edit, and within ``edits``.
+    """pairs (a, b, la, lb, ...) of a line and its segment's center, which isn't longer, to (a, b, ..., none, most): cells of lb, up to which la agrees with it without an edit, and within ``edits``.
 
     Both are found by halving. ``none`` is never too large and ``most`` never too small.
     """
@@ -236,7 +237,8 @@ def placed(pairs: DataFrame, edits: int) -> DataFrame:
 
     steps = F.array(*[F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())])
     found = F.aggregate(steps, F.struct(F.lit(0).alias("none"), F.lit(0).alias("most")), halve)
-    return pairs.select("a", "b", found.alias("at")).select("a", "b", "at.none", "at.most")
+    others = [c for c in pairs.columns if c not in ("la", "lb")]
+    return pairs.select(*others, found.alias("at")).select(*others, "at.none", "at.most")
 
 
 def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -246,9 +248,8 @@ def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int) ->
     keys = keys.where("low <> high AND more").select(F.col("key").alias("key2"))
     # the center was compared with all of them
     crowded = rooted.join(keys, F.col("key") == F.col("key2")).where("id <> center").select("key", F.col("id").alias("a"), F.col("center").alias("b"), "own", "root")
-    pairs = crowded.select("a", "b").distinct().join(lines.select("id", "line").toDF("a", "la"), "a").join(lines.select("id", "line").toDF("b", "lb"), "b")
-    places = written(placed(pairs, edits), "line-places").join(lines.select(F.col("id").alias("a"), "counts"), "a")
-    spread = crowded.join(places, ["a", "b"]).select("key", F.col("a").alias("id"), F.col("b").alias("center"), "own", "root", "counts", "none", "most", F.explode(F.sequence("none", "most")).alias("cell"))
+    pairs = crowded.select("a", "b").distinct().join(lines.select("id", "line", "counts").toDF("a", "la", "counts"), "a").join(lines.select("id", "line").toDF("b", "lb"), "b")
+    spread = crowded.join(placed(pairs, edits), ["a", "b"]).select("key", F.col("a").alias("id"), F.col("b").alias("center"), "own", "root", "counts", "none", "most", F.explode(F.sequence("none", "most")).alias("cell"))
     spread = written(spread.withColumn("begins", F.col("cell") == F.col("none")), "line-placed")
     groups = spread.groupBy("key", "cell").agg(F.count(F.when(F.col("begins"), 1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("any"))
     groups = groups.where("low <> high AND any AND n > 0").select(F.col("key").alias("gk"), F.col("cell").alias("gc"), (F.col("n") <= LISTED).alias("listed"))
@@ -263,9 +264,15 @@ def _meeting(cells: DataFrame) -> DataFrame:
 
 
 def _pairs(cells: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of lines that meet in a cell and may be near."""
+    """Pairs (a, b) of lines that meet in a cell and may be near; a pair may come more than once."""
     met = _meeting(cells).where(_may_be_near("counts", "counts_", edits))
-    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends aren't in one component."""
+    joined = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def _may_be_in(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
@@ -285,7 +292,7 @@ def _met(sent: DataFrame, names: list[str]) -> DataFrame:
     shared = sent.groupBy("key").agg(F.min(names[0]).alias("low"), F.max(names[0]).alias("high"), F.max("own").alias("any")).where("low <> high AND any").select(F.col("key").alias("key2"))
     shared = written(shared, "line-keys")
     sent = _may_be_in(sent, "key", shared, "key2")  # most hashes are found once
-    return written(sent.join(shared, F.col("key") == F.col("key2")).groupBy("key", *names).agg(F.max("own").alias("own")), "line-segments")
+    return written(sent.join(shared, F.col("key") == F.col("key2")).groupBy("key", *[c for c in sent.columns if c not in ("key", "own")]).agg(F.max("own").alias("own")), "line-segments")
 
 
 def _near_lines(docs: DataFrame, edits: int, least_bytes: int) -> DataFrame:
@@ -293,32 +300,33 @@ def _near_lines(docs: DataFrame, edits: int, least_bytes: int) -> DataFrame:
     lines = _lines(docs).where(F.octet_length("line") >= least_bytes).select(*_keys(F.col("line")), "line")
     met = _met(probed(lines, edits, edits + 1), ["k1", "k2"])
     names = written(met.select("k1", "k2").distinct().withColumn("id", F.monotonically_increasing_id()), "line-names")
-    met = met.join(names, ["k1", "k2"]).select("key", "id", "own")
-    texts = _may_be_in(lines, "k1", names, "k1").join(names, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("m"))
+    texts = _may_be_in(lines, "k1", names, "k1").join(names, ["k1", "k2"]).groupBy("id", "k1", "k2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("m"))
     texts = written(texts.withColumn("counts", _counts(F.col("line"))), "line-texts")
-    links: DataFrame | None = None
+    met = met.join(texts.select("k1", "k2", "id", "m"), ["k1", "k2"]).select("key", "id", "m", "own")
+    roots: DataFrame | None = None
+    late: list[DataFrame] = []
     pieces = FINER * (edits + 1)
     while True:
-        center = met.where("own").join(texts.select("id", "m"), "id").groupBy("key").agg(F.max(F.struct("m", "id"))["id"].alias("center")).withColumnRenamed("key", "key2")
+        center = met.where("own").groupBy("key").agg(F.max(F.struct("m", "id"))["id"].alias("center")).withColumnRenamed("key", "key2")
         met = written(met.join(center, F.col("key") == F.col("key2")).select("key", "id", "own", "center"), "line-met")
         stars = met.where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
-        found = written(_verified(stars, texts, edits), "line-links")
-        links = found if links is None else links.unionByName(found)
-        cells = _crowded(met, components(links), texts, edits)
+        roots = components(written(_verified(stars, texts, edits), "line-links"), roots)
+        cells = _crowded(met, roots, texts, edits)
         full = cells.where("NOT listed")
         done = full.isEmpty()
-        listed = cells.where("listed")
-        if not done:
-            cuts = written(cuts_where_lines_vary(full, texts, pieces), "line-cuts")
-            full = full.join(cuts, F.col("key") == F.col("group"))
-            # too few places left to cut at
-            listed = listed.unionByName(full.where(F.col("varying") <= edits).select(*cells.columns))
-        links = links.unionByName(written(_verified(_pairs(listed, edits), texts, edits), "line-late"))
+        late.append(_pairs(cells.where("listed"), edits))
         if done:
             break
+        cuts = written(cuts_where_lines_vary(full, texts, pieces), "line-cuts")
+        full = full.join(cuts, F.col("key") == F.col("group"))
+        # too few places left to cut at
+        late.append(_pairs(full.where(F.col("varying") <= edits).select(*cells.columns), edits))
         rest = full.where(F.col("varying") > edits).select("group", "cuts", "id").distinct()
-        met = _met(probed(rest.join(texts.select("id", "line"), "id"), edits, pieces), ["id"])
-    return names.join(components(links), F.col("id") == F.col("node")).select("k1", "k2", "root")
+        met = _met(probed(rest.join(texts.select("id", "m", "line"), "id"), edits, pieces), ["id"])
+    # what the rounds list is verified at once, but for what their centers have linked since
+    pairs = _apart(reduce(DataFrame.unionByName, late).distinct(), roots)
+    roots = components(written(_verified(pairs, texts, edits), "line-late"), roots)
+    return texts.join(roots, F.col("id") == F.col("node")).select("k1", "k2", "root")
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
