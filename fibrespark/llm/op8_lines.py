@@ -238,7 +238,8 @@ def placed(pairs: DataFrame, edits: int) -> DataFrame:
     steps = F.array(*[F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())])
     found = F.aggregate(steps, F.struct(F.lit(0).alias("none"), F.lit(0).alias("most")), halve)
     others = [c for c in pairs.columns if c not in ("la", "lb")]
-    return pairs.select(*others, found.alias("at")).select(*others, "at.none", "at.most")
+    # a generated row: columns taken from a struct would each compute it again
+    return pairs.select(*others, F.inline(F.array(found)))
 
 
 def _crowded(met: DataFrame, roots: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
