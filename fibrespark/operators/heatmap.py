@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fibrespark.functions.angles import grey_of_angle, round_half_even, uint8
+from fibrespark.functions.tables import merged
 
 
 def raw_map(fibers: DataFrame, height: int, width: int, angle: str = "angle", full: float = 180.0) -> DataFrame:
@@ -24,7 +25,7 @@ def _boxed(pixels: DataFrame, reach: int, closed: bool) -> DataFrame:
     ring = F.explode(F.array(*[F.struct((cell("row") + r).alias("gr"), (cell("col") + c).alias("gc")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
     b = pixels.select("image_id", F.col("row").alias("row2"), F.col("col").alias("col2"), F.col("value").alias("value2"), ring.alias("g")).select("image_id", "row2", "col2", "value2", "g.gr", "g.gc")
     apart = F.greatest(F.abs(F.col("row") - F.col("row2")), F.abs(F.col("col") - F.col("col2")))
-    return a.join(b, ["image_id", "gr", "gc"]).where(apart <= reach if closed else apart < reach)
+    return a.join(merged(b), ["image_id", "gr", "gc"]).where(apart <= reach if closed else apart < reach)
 
 
 def circular_filter(pixels: DataFrame, size: int) -> DataFrame:

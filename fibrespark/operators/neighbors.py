@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fibrespark.functions.angles import alignment
+from fibrespark.functions.tables import merged
 
 from .boundary import box_distances
 
@@ -48,7 +49,7 @@ def _boxes_in_reach(some: DataFrame, fibers: DataFrame, k: int) -> DataFrame:
         levels.append(up.groupBy("image_id", "_r", "_c").agg(F.sum("_n").alias("_n"), F.min("_r0").alias("_r0"), F.max("_r1").alias("_r1"), F.min("_c0").alias("_c0"), F.max("_c1").alias("_c1")))
     own = Window.partitionBy("image_id", "fiber_id")
     least, most = box_distances(F.col("center_row"), F.col("center_col"))
-    held = some.join(levels[-1], "image_id")
+    held = some.join(merged(levels[-1]), "image_id")
     for finer in (*reversed(levels[:-1]), None):
         held = held.withColumns({"_least": least, "_most": most})
         held = held.withColumn("_upto", F.sum("_n").over(own.orderBy("_most").rowsBetween(Window.unboundedPreceding, 0)))
@@ -56,7 +57,7 @@ def _boxes_in_reach(some: DataFrame, fibers: DataFrame, k: int) -> DataFrame:
         held = held.where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") * (1 + 1e-9))).select(*some.columns, "_r", "_c")
         if finer is not None:
             parts = finer.withColumnsRenamed({"_r": "_fr", "_c": "_fc"}).withColumns({"_r": F.floor(F.col("_fr") / BRANCH).cast("long"), "_c": F.floor(F.col("_fc") / BRANCH).cast("long")})
-            held = held.join(parts, ["image_id", "_r", "_c"]).drop("_r", "_c").withColumnsRenamed({"_fr": "_r", "_fc": "_c"})
+            held = held.join(merged(parts), ["image_id", "_r", "_c"]).drop("_r", "_c").withColumnsRenamed({"_fr": "_r", "_fc": "_c"})
     return held
 
 
@@ -70,13 +71,13 @@ def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFram
     area = (F.max("center_row") - F.min("center_row") + 1) * (F.max("center_col") - F.min("center_col") + 1)
     size = F.greatest(F.lit(1.0), reach * F.sqrt((k + 1) * area / (F.count(F.lit(1)) * math.pi)))
     images = f.groupBy("image_id").agg(size.alias("cell"), F.min("center_row").alias("r0"), F.min("center_col").alias("c0"), F.max("center_row").alias("r1"), F.max("center_col").alias("c1"))
-    g = f.join(images, "image_id")
+    g = f.join(merged(images), "image_id")
     at = lambda x, low: F.floor((F.col(x) - F.col(low)) / F.col("cell"))
     g = g.withColumn("gr", at("center_row", "r0")).withColumn("gc", at("center_col", "c0"))
     around = g.groupBy("image_id", "gr", "gc").agg(F.count(F.lit(1)).alias("n")).select("image_id", "n", _around(F.col("gr"), F.col("gc")).alias("g"))
     around = around.groupBy("image_id", F.col("g.r").alias("gr"), F.col("g.c").alias("gc")).agg(F.sum("n").alias("n")).where(F.col("n") <= CROWD * (k + 1)).drop("n")
     sent = g.select("image_id", "fiber_id", "center_row", "center_col", "angle", _around(F.col("gr"), F.col("gc")).alias("g")).select("*", "g.r", "g.c").drop("g")
-    pairs = g.join(around, ["image_id", "gr", "gc"]).alias("a").join(sent.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.gr") == F.col("b.r")) & (F.col("a.gc") == F.col("b.c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
+    pairs = g.join(merged(around), ["image_id", "gr", "gc"]).alias("a").join(merged(sent).alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.gr") == F.col("b.r")) & (F.col("a.gc") == F.col("b.c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
 
     def ranked(joined: DataFrame) -> DataFrame:
         rows = joined.select(F.col("a.image_id").alias("image_id"), F.col("a.fiber_id").alias("fiber_id"), _distance().alias("distance"), F.col("b.fiber_id").alias("nb_id"), F.col("b.angle").alias("nb_angle"))
@@ -93,10 +94,10 @@ def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFram
     # counted without putting in order: with k neighbours nearer than any unseen cell, the k nearest were seen
     reached = pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.fiber_id").alias("fiber_id"), _distance().alias("distance"), seen).groupBy("image_id", "fiber_id")
     whole = reached.agg(((F.count(F.when(F.col("distance") < F.col("seen"), 1)) >= k) | (F.min("seen") == float("inf"))).alias("whole")).where("whole").select("image_id", "fiber_id")
-    done = near.join(whole, ["image_id", "fiber_id"])
-    left = f.join(whole, ["image_id", "fiber_id"], "left_anti")
+    done = near.join(merged(whole), ["image_id", "fiber_id"])
+    left = f.join(merged(whole), ["image_id", "fiber_id"], "left_anti")
     cells = _boxes_in_reach(left, f, k)
-    met = cells.alias("a").join(_celled(f).alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a._r") == F.col("b._r")) & (F.col("a._c") == F.col("b._c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
+    met = cells.alias("a").join(merged(_celled(f)).alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a._r") == F.col("b._r")) & (F.col("a._c") == F.col("b._c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
     wide = ranked(met)
     columns = ["image_id", "fiber_id", "rank", "distance", "nb_id", "nb_angle"]
     return done.select(*columns).unionByName(wide.select(*columns))
@@ -121,7 +122,7 @@ def neighbor_features(fibers: DataFrame, minimum: int = 2) -> DataFrame:
         enough = F.count(F.when(inside, 1)) == k
         aggregates.append(F.when(enough, F.avg(F.when(inside, F.col("distance")))).alias(f"distance_to_nearest_{k}_fibers"))
         aggregates.append(F.when(enough, alignment(F.when(inside, F.col("nb_angle")))).alias(f"alignment_of_nearest_{k}_fibers"))
-    out = fibers.select("image_id", "fiber_id").join(near.groupBy("image_id", "fiber_id").agg(*aggregates), ["image_id", "fiber_id"], "left")
+    out = fibers.select("image_id", "fiber_id").join(merged(near.groupBy("image_id", "fiber_id").agg(*aggregates)), ["image_id", "fiber_id"], "left")
     d, d_std = _mean_and_std([f"distance_to_nearest_{k}_fibers" for k in steps])
     a, a_std = _mean_and_std([f"alignment_of_nearest_{k}_fibers" for k in steps])
     return out.withColumns({"distance_to_nearest_fiber_mean": d, "distance_to_nearest_fiber_std": d_std, "alignment_mean": a, "alignment_std": a_std})
@@ -136,7 +137,7 @@ def box_features(fibers: DataFrame, minimum: int = 32) -> DataFrame:
     f = f.withColumn("gr", F.floor(F.col("center_row") / cell)).withColumn("gc", F.floor(F.col("center_col") / cell))
     sent = f.select("image_id", "center_row", "center_col", "angle", _around(F.col("gr"), F.col("gc")).alias("g")).select("image_id", "center_row", "center_col", "angle", "g.r", "g.c")
     reach = F.greatest(F.abs(F.col("a.center_row") - F.col("b.center_row")), F.abs(F.col("a.center_col") - F.col("b.center_col")))
-    met = f.alias("a").join(sent.alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.gr") == F.col("b.r")) & (F.col("a.gc") == F.col("b.c")) & (reach < cell))
+    met = f.alias("a").join(merged(sent).alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.gr") == F.col("b.r")) & (F.col("a.gc") == F.col("b.c")) & (reach < cell))
     rows = met.select(F.col("a.image_id").alias("image_id"), F.col("a.fiber_id").alias("fiber_id"), reach.alias("reach"), F.col("b.angle").alias("angle"))
     aggregates = []
     for b in boxes:
@@ -147,4 +148,4 @@ def box_features(fibers: DataFrame, minimum: int = 32) -> DataFrame:
 
 def fiber_features(fibers: DataFrame, minimum_neighbors: int = 2, minimum_box: int = 32) -> DataFrame:
     """All neighbourhood features of every fiber: nine of density, nine of alignment."""
-    return neighbor_features(fibers, minimum_neighbors).join(box_features(fibers, minimum_box), ["image_id", "fiber_id"])
+    return neighbor_features(fibers, minimum_neighbors).join(merged(box_features(fibers, minimum_box)), ["image_id", "fiber_id"])

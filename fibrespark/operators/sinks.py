@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fibrespark.functions.tables import merged
+
 #: Columns of the feature table before the neighbourhood features, in order.
 BASE = ("fiber_key", "center_row", "center_col", "fiber_absolute_angle", "fiber_weight", "total_length", "end_to_end_length", "curvature", "width")
 #: And after them.
@@ -28,13 +30,13 @@ def feature_table(fibers: DataFrame, features: DataFrame, association: DataFrame
         "image_id", "fiber_id", F.col("center_row"), F.col("center_col"), F.col("angle").alias("fiber_absolute_angle"), own("weight").alias("fiber_weight"),
         *[own(c).alias(c) for c in ("total_length", "end_to_end_length", "curvature", "width")],
     )
-    out = base.join(features, ["image_id", "fiber_id"])
+    out = base.join(merged(features), ["image_id", "fiber_id"])
     if association is not None:
         a = association.select(
             "image_id", "fiber_id", F.col("distance").alias(BOUNDARY[0]), F.col("region").cast("double").alias(BOUNDARY[1]), F.col("relative_angle").alias(BOUNDARY[2]),
             "extension_point_distance", "extension_point_angle", "boundary_point_col", "boundary_point_row",
         )
-        out = out.join(a, ["image_id", "fiber_id"], "left")
+        out = out.join(merged(a), ["image_id", "fiber_id"], "left")
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in BOUNDARY})
     return out.withColumnRenamed("fiber_id", "fiber_key").select("image_id", *BASE, *feature_columns(minimum_neighbors, minimum_box), *BOUNDARY)
@@ -76,7 +78,7 @@ def association_segments(rows: DataFrame) -> DataFrame:
 def boundary_segments(points: DataFrame) -> DataFrame:
     """Outlines as segments between points that follow each other."""
     nxt = points.select("image_id", "roi_id", (F.col("seq") - 1).alias("seq"), F.col("row").alias("row2"), F.col("col").alias("col2"))
-    return points.join(nxt, ["image_id", "roi_id", "seq"]).select("image_id", *_segment("boundary", F.lit("yellow"), F.col("col"), F.col("row"), F.col("col2"), F.col("row2")))
+    return points.join(merged(nxt), ["image_id", "roi_id", "seq"]).select("image_id", *_segment("boundary", F.lit("yellow"), F.col("col"), F.col("row"), F.col("col2"), F.col("row2")))
 
 
 def overlay(association: DataFrame, points: DataFrame | None = None, length: float = 4.0) -> DataFrame:

@@ -118,7 +118,7 @@ def analyze_fibers(fibers: DataFrame, parameters: AnalysisParameters, points: Da
         mapped = heatmap.processed_map(raw, h, w, p.map.circular, p.map.square, p.map.sigma)
         return Analysis(table, statistics.angle_histogram(fibers), sinks.values(fibers, "angle", False), mapped.withColumn("color", heatmap.colour(F.col("value"), False)), sinks.overlay(fibers))
     if mask is None:
-        mask = roi.polygon_mask(points, h, w).select("image_id", "row", "col").distinct().withColumn("value", F.lit(1))
+        mask = roi.mask_of_polygons(points, h, w)
     b = p.boundary
     near = boundary.global_association(fibers, points, mask, h, w, b.distance_threshold, b.min_distance, b.exclude_fibers_in_mask, b.origin)
     table = sinks.feature_table(fibers, features, near, p.features.minimum_nearest_fibers, p.features.minimum_box_size)
