@@ -2,6 +2,7 @@
 
 Components: pixels become runs of a pixel row; runs of neighbouring rows that overlap, corners included, are linked; alternating stars (Kiveris et al., 2014) join linked runs to their first.
 Contours: a filled pixel with an empty neighbour holds a point between the two. Which point follows is told by the eight pixels around, so the points of a loop are a linked list.
+Masks are pixels (image_id, row, col, value) or disjoint runs of them (image_id, row, first, last); pixels inside of a region are never sent, only runs and the pixels at their edges.
 Lists are ranked by pointer doubling: after k rounds a point knows the least of the next 2 ** k points and how far it is, and rounds end when no point learns a lesser one.
 """
 
@@ -10,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fibrespark.functions.tables import Rounds
+from fibrespark.functions.tables import Rounds, merged
 
 #: Columns of a cell in which runs of neighbouring rows meet.
 CELL = 64
+#: Columns of a cell in which the pixels around are told, as bits of a long with one column more to each side.
+BITS = 60
 #: Steps (row, column) up, right, down, left: each is the one before it turned clockwise.
 STEPS = ((-1, 0), (0, 1), (1, 0), (0, -1))
 
@@ -23,7 +26,9 @@ def _filled(mask: DataFrame) -> DataFrame:
 
 
 def mask_runs(mask: DataFrame) -> DataFrame:
-    """(image_id, row, first, last): the runs of filled pixels of every pixel row. Mask: image_id, row, col, value; above 0 is filled, repeated pixels count once."""
+    """(image_id, row, first, last): the runs of filled pixels of every pixel row. Mask: image_id, row, col, value; above 0 is filled, repeated pixels count once. Or such runs."""
+    if "first" in mask.columns:
+        return mask.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("row", "first", "last")])
     order = Window.partitionBy("image_id", "row").orderBy("col")
     rows = _filled(mask).withColumn("run", F.col("col") - F.row_number().over(order))
     return rows.groupBy("image_id", "row", "run").agg(F.min("col").alias("first"), F.max("col").alias("last")).drop("run")
@@ -34,7 +39,7 @@ def run_links(runs: DataFrame) -> DataFrame:
     cell = lambda c: F.floor(c / CELL)
     spread = runs.select("image_id", "row", "first", "last", "node", F.explode(F.sequence(cell(F.col("first") - 1), cell(F.col("last") + 1))).alias("cell"))
     above = spread.select("image_id", (F.col("row") + 1).alias("row"), "cell", F.col("first").alias("f"), F.col("last").alias("l"), F.col("node").alias("b"))
-    met = spread.join(above, ["image_id", "row", "cell"]).where("first <= l + 1 AND f <= last + 1")
+    met = spread.join(merged(above), ["image_id", "row", "cell"]).where("first <= l + 1 AND f <= last + 1")
     return met.select("image_id", F.col("node").alias("a"), "b").distinct()
 
 
@@ -47,12 +52,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         around = both(edges)
         least = around.groupBy("image_id", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = rounds.write(ordered(around.where("b > a").join(least, ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b"))))
+        large = rounds.write(ordered(around.where("b > a").join(merged(least), ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b"))))
         least = large.groupBy("image_id", "a").agg(F.min("b").alias("m"))
-        small = large.join(least, ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("image_id", "a", F.col("m").alias("b")))
+        small = large.join(merged(least), ["image_id", "a"]).select("image_id", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("image_id", "a", F.col("m").alias("b")))
         small = rounds.write(ordered(small))
-        moved = small.join(edges, ["image_id", "a", "b"], "left_anti")
-        done = moved.isEmpty() and edges.join(small, ["image_id", "a", "b"], "left_anti").isEmpty()
+        moved = small.join(merged(edges), ["image_id", "a", "b"], "left_anti")
+        done = moved.isEmpty() and edges.join(merged(small), ["image_id", "a", "b"], "left_anti").isEmpty()
         rounds.drop(edges, large)
         edges = small
         if done:
@@ -65,10 +70,10 @@ def labelled_runs(mask: DataFrame) -> DataFrame:
     # a run is named by its first pixel, so a component's least run is its first
     runs = rounds.write(mask_runs(mask).withColumn("node", F.shiftleft("row", 32) + F.col("first")))
     roots = components(run_links(runs))
-    rooted = runs.join(roots, ["image_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = runs.join(merged(roots), ["image_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
     number = F.row_number().over(Window.partitionBy("image_id").orderBy("root")).cast("long")
     numbers = rooted.select("image_id", "root").distinct().withColumn("roi_id", number)
-    return rooted.join(numbers, ["image_id", "root"]).select("image_id", "row", "first", "last", "roi_id")
+    return rooted.join(merged(numbers), ["image_id", "root"]).select("image_id", "row", "first", "last", "roi_id")
 
 
 def mask_components(mask: DataFrame) -> DataFrame:
@@ -81,10 +86,17 @@ def contour_steps(mask: DataFrame) -> DataFrame:
 
     Filled pixels lie to the left. Where two of them touch by their corner, the empty ones stay apart from each other.
     """
-    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    bit = {step: 1 << k for k, step in enumerate(around)}
-    told = F.explode(F.array(*[F.struct((F.col("row") - a).alias("row"), (F.col("col") - b).alias("col"), F.lit(bit[a, b]).alias("bit")) for a, b in around]))
-    seen = _filled(mask).select("image_id", told.alias("x")).select("image_id", "x.*").groupBy("image_id", "row", "col").agg(F.bit_or("bit").alias("seen"))
+    bit = {step: 1 << k for k, step in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1))}
+    # a run tells its own pixel row and the two beside it which columns of a cell it fills; the cell's first bit is the column before it
+    cells = F.explode(F.sequence(F.floor((F.col("first") - 1) / BITS), F.floor((F.col("last") + 1) / BITS)))
+    runs = mask_runs(mask).select("image_id", "row", "first", "last", cells.alias("cell")).withColumn("base", F.col("cell") * BITS - 1)
+    runs = runs.withColumns({"low": F.greatest(F.lit(0), F.col("first") - F.col("base")).cast("int"), "high": F.least(F.lit(BITS + 1), F.col("last") - F.col("base")).cast("int")})
+    runs = runs.withColumn("bits", F.expr("shiftleft(shiftleft(1L, high - low + 1) - 1L, low)"))
+    told = F.explode(F.array(*[F.struct((F.col("row") - a).alias("row"), *[(F.col("bits") if x == a else F.lit(0).cast("long")).alias(n) for x, n in ((-1, "up"), (0, "own"), (1, "down"))]) for a in (-1, 0, 1)]))
+    rows = runs.select("image_id", "cell", "base", told.alias("x")).select("image_id", "cell", "base", "x.*").groupBy("image_id", "row", "cell", "base").agg(*[F.bit_or(n).alias(n) for n in ("up", "own", "down")])
+    three = lambda n: F.expr(f"shiftright({n}, i - 1) & 7L")
+    at_edge = F.expr(f"filter(sequence(1, {BITS}), i -> (shiftright(own & ~(up & down & shiftleft(own, 1) & shiftright(own, 1)), i) & 1L) = 1L)")
+    seen = rows.where("own <> 0").withColumn("i", F.explode(at_edge)).select("image_id", "row", (F.col("base") + F.col("i")).alias("col"), (three("up") + three("own") * 8 + three("down") * 64).cast("int").alias("seen"))
     edge = sum(bit[s] for s in STEPS)
     seen = seen.where((F.col("seen").bitwiseAND(F.lit(bit[0, 0])) != 0) & (F.col("seen").bitwiseAND(F.lit(edge)) != edge))
     filled = lambda *step: F.col("seen").bitwiseAND(F.lit(bit[step])) != 0
@@ -110,7 +122,7 @@ def ranked_loops(steps: DataFrame) -> DataFrame:
     while True:
         ahead = state.select("image_id", F.col("at").alias("next"), F.col("next").alias("_next"), F.col("start").alias("_start"), F.col("left").alias("_left"))
         better = F.col("_start") < F.col("start")
-        both = state.join(ahead, ["image_id", "next"])
+        both = state.join(merged(ahead), ["image_id", "next"])
         doubled = rounds.write(
             both.select("image_id", "at", F.col("_next").alias("next"), F.least("start", "_start").alias("start"), F.when(better, F.col("_left") + reach).otherwise(F.col("left")).alias("left"), better.alias("moved"))
         )
@@ -127,21 +139,21 @@ def contours(mask: DataFrame) -> DataFrame:
     steps = rounds.write(contour_steps(mask).select("image_id", at("r", "c").alias("at"), at("next_r", "next_c").alias("next"), "row", "col"))
     found = rounds.write(ranked_loops(steps))
     sizes = found.groupBy("image_id", "start").agg(F.count(F.lit(1)).alias("size"))
-    placed = found.join(sizes, ["image_id", "start"]).join(steps.select("image_id", "at", F.col("row").alias("pixel_row"), F.col("col").alias("pixel_col")), ["image_id", "at"])
+    placed = found.join(merged(sizes), ["image_id", "start"]).join(merged(steps.select("image_id", "at", F.col("row").alias("pixel_row"), F.col("col").alias("pixel_col"))), ["image_id", "at"])
     seq = F.pmod(F.col("size") - F.col("left"), F.col("size"))
     r = F.shiftright(F.col("at") + 1, 32)  # c is -1 at least
     return placed.select("image_id", F.col("start").alias("loop"), "size", seq.alias("seq"), (r / 2).alias("row"), ((F.col("at") - F.shiftleft(r, 32)) / 2).alias("col"), "pixel_row", "pixel_col")
 
 
 def mask_contours(mask: DataFrame) -> DataFrame:
-    """(image_id, roi_id, seq, row, col): the longest contour of each component (the first of equal ones), in half-pixel coordinates, closed. Mask: image_id, row, col, value; above 0 is filled."""
+    """(image_id, roi_id, seq, row, col): the longest contour of each component (the first of equal ones), in half-pixel coordinates, closed. Mask: image_id, row, col, value (above 0 is filled), or disjoint runs: image_id, row, first, last."""
     rounds = Rounds(mask.sparkSession, "contours")
-    mask = rounds.write(_filled(mask).withColumn("value", F.lit(1)))
+    mask = rounds.write(mask_runs(mask))
     points = rounds.write(contours(mask))
-    loops = points.where("seq = 0").select("image_id", "loop", "size", "pixel_row", "pixel_col")
-    runs = labelled_runs(mask).withColumnRenamed("image_id", "_image")
-    named = loops.join(runs, (F.col("image_id") == F.col("_image")) & (F.col("pixel_row") == F.col("row")) & F.col("pixel_col").between(F.col("first"), F.col("last")))
+    loops = points.where("seq = 0").select("image_id", "loop", "size", F.col("pixel_row").alias("row"), "pixel_col", F.floor(F.col("pixel_col") / CELL).alias("cell"))
+    runs = labelled_runs(mask).withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / CELL), F.floor(F.col("last") / CELL))))
+    named = loops.join(merged(runs), ["image_id", "row", "cell"]).where(F.col("pixel_col").between(F.col("first"), F.col("last")))
     longest = named.groupBy("image_id", "roi_id").agg(F.min(F.struct((-F.col("size")).alias("less"), "loop"))["loop"].alias("loop"))
-    chosen = points.join(longest, ["image_id", "loop"])
+    chosen = points.join(merged(longest), ["image_id", "loop"])
     again = chosen.where("seq = 0").withColumn("seq", F.col("size"))
     return chosen.unionByName(again).select("image_id", "roi_id", "seq", "row", "col")
