@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from fibrespark.functions.angles import grey_of_angle, round_half_even, uint8
 from fibrespark.functions.tables import merged
 
+#: Columns of a cell in which a pixel row's values are spread.
+CELL = 64
+
 
 def raw_map(fibers: DataFrame, height: int, width: int, angle: str = "angle", full: float = 180.0) -> DataFrame:
     """Grey level of the last fiber (largest id) on each pixel; centres outside of the image and null angles are left out."""
@@ -39,9 +42,17 @@ def density_maximum(pixels: DataFrame, height: int, width: int, square: int = 12
     """Each filled pixel, divided by the number of filled pixels in the closed box around it, is spread over that box; the largest value of a pixel stays."""
     half = math.ceil(square / 2)
     counted = _boxed(pixels, half, closed=True).groupBy("image_id", "row", "col").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"))
-    around = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - half), F.least(F.lit(n - 1), F.col(c) + half)))
-    spread = counted.select("image_id", "col", (F.col("value") / F.col("n")).alias("value"), around("row", height).alias("row")).select("image_id", "row", "value", around("col", width).alias("col"))
-    return spread.groupBy("image_id", "row", "col").agg(F.max("value").alias("value"))
+    low, high = F.greatest(F.lit(0), F.col("col") - half), F.least(F.lit(width - 1), F.col("col") + half)
+    rows = F.explode(F.sequence(F.greatest(F.lit(0), F.col("row") - half), F.least(F.lit(height - 1), F.col("row") + half)))
+    cells = F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
+    # only the rows of a box are sent; a column's largest value per row, and its spread over columns, stay where a cell of a pixel row is
+    sent = counted.select("image_id", "col", (F.col("value") / F.col("n")).alias("value"), rows.alias("row"), cells.alias("cell")).repartition("image_id", "row", "cell")
+    sent = sent.groupBy("image_id", "row", "cell", "col").agg(F.max("value").alias("value")).groupBy("image_id", "row", "cell").agg(F.collect_list(F.struct("col", "value")).alias("held"))
+    first, last = F.greatest(F.lit(0), F.col("cell") * CELL), F.least(F.lit(width - 1), F.col("cell") * CELL + CELL - 1)
+    reached = F.array_distinct(F.flatten(F.transform("held", lambda x: F.sequence(F.greatest(first, x["col"] - half), F.least(last, x["col"] + half)))))
+    spread = sent.select("image_id", "row", "held", F.explode(reached).alias("_to"))
+    largest = F.aggregate("held", F.lit(None).cast("double"), lambda most, x: F.when(F.abs(x["col"] - F.col("_to")) <= half, F.greatest(most, x["value"])).otherwise(most))
+    return spread.select("image_id", "row", F.col("_to").cast("int").alias("col"), largest.alias("value"))
 
 
 def _kernel(sigma: float) -> list[float]:

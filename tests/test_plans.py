@@ -1,12 +1,13 @@
 """No join of a query over fibers and outlines may have the driver broadcast a side: the planner takes exploded rows for as few as their file's."""
 
 import random
+import re
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from fibrespark.operators import boundary, contours, roi
+from fibrespark.operators import boundary, contours, heatmap, roi
 from fibrespark.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,3 +62,20 @@ def test_contours_of_runs_are_those_of_their_pixels(spark):
     filled = {p[:3] for p in pixels}
     beside = sorted((i, 2 * r + a, 2 * c + b) for i, r, c in filled for a, b in contours.STEPS if (i, r + a, c + b) not in filled)
     assert sorted((p.image_id, p.r, p.c) for p in contours.contour_steps(mask).collect()) == beside
+
+
+def test_density_sends_rows_of_boxes_not_their_pixels(spark):
+    rng = random.Random(5)
+    height, width, half = 40, 150, 6
+    held = {(i, rng.randrange(height), rng.randrange(width)): float(rng.randrange(0, 255)) for i in (1, 2) for _ in range(60 + 800 * (i - 1))}
+    pixels = spark.createDataFrame([(*p, v) for p, v in held.items()], "image_id long, row int, col int, value double")
+    got = heatmap.density_maximum(pixels, height, width)
+    # one exchange by pixel, for the count in the box
+    assert len(re.findall(r"hashpartitioning\(image_id#\w+, row#\w+, col#\w+", got._jdf.queryExecution().executedPlan().toString())) == 1
+    want = {}
+    for (i, r, c), v in held.items():
+        box = [(i, a, b) for a in range(max(0, r - half), min(height, r + half + 1)) for b in range(max(0, c - half), min(width, c + half + 1))]
+        share = v / sum(p in held for p in box)
+        for p in box:
+            want[p] = max(want.get(p, 0.0), share)
+    assert {(x.image_id, x.row, x.col): x.value for x in got.collect()} == want
