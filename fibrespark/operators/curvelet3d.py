@@ -1,4 +1,4 @@
-"""Curvelet transform of image stacks, forward and inverse, spread over tasks: no task holds a volume.
+"""Curvelet transform of image stacks, forward and inverse, spread over tasks: no task holds a volume beyond one tile.
 
 The frequency cube is split by smooth radial windows into nested shells, and each shell but the coarsest and the finest by smooth windows over the six faces of the cube
 into wedges, as Ying, Demanet and Candes (2005) do. Windows are normalised, so their squares sum to one and the transform is a tight frame. A wedge's frequencies
@@ -9,7 +9,7 @@ A Fourier transform of a volume is one over the two axes of each slice, an excha
 
     slices -> (volume, tile): all frequencies of a tile, times the windows -> (wedge, tile): along axis 1 -> (wedge, plane): the other two -> coefficients
 
-and the same backwards. Axes are (z, row, column) = (k1, k2, k3). Slices: image_id (the stack), z (from 0, unique), height, width, pixels. Missing slices are zero.
+and the same backwards. Volumes of at most one tile go through both at once, in a task each, with the boxes of one size stacked. Axes are (z, row, column) = (k1, k2, k3). Slices: image_id (the stack), z (from 0, unique), height, width, pixels. Missing slices are zero.
 A stack's slices have one size. Stacks without slices, or with null pixels: no rows. One slice, or one plane of a box, must fit a task.
 """
 
@@ -226,6 +226,85 @@ def _first(table: pa.Table, *names: str) -> tuple:
     return tuple(table.column(n)[0].as_py() for n in names)
 
 
+@lru_cache(maxsize=4)
+def stacked_boxes(frame_of, dims: tuple[int, int, int], scales: int | None, coarse: int) -> list[tuple]:
+    """Per scale and size of boxes: scale, number of its wedges, those of this size, the size, places in the frequencies of the volume, weights, places in the boxes; all begin with frequency 0."""
+    frame = frame_of(dims, scales, coarse)
+    freq = [x.ravel() for x in np.meshgrid(*[(np.arange(n) + n // 2) % n - n // 2 for n in dims], indexing="ij")]
+    out = []
+    for scale in range(frame.scales):
+        wedge, at, weight = frame.windows(scale, freq)
+        sizes: dict = {}
+        for k in np.unique(wedge).tolist():
+            sizes.setdefault(frame.box(scale, k), []).append(k)
+        for size, wedges in sizes.items():
+            nth = np.full(frame.n_wedges(scale), -1)
+            nth[wedges] = np.arange(len(wedges))
+            mine = np.flatnonzero(nth[wedge] >= 0)
+            to = nth[wedge[mine]]
+            for f, n in zip(freq, size):
+                to = to * n + f[at[mine]] % n
+            out.append((scale, frame.n_wedges(scale), np.array(wedges), size, at[mine], weight[mine], to))
+    return out
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """By volume. Volumes cost much more than their rows weigh, by which few tasks would be made."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism), "image_id")
+
+
+def _transform_whole(slices: DataFrame, scales: int | None, coarse_wedges: int, frame_of) -> DataFrame:
+    kind, arrow = _key(slices)
+
+    def run(table: pa.Table) -> pa.Table:
+        image, d, h, w = table.column("image_id")[0], *_first(table, "depth", "height", "width")
+        volume = np.zeros((d, h, w))
+        for z, pixels in zip(table.column("z").to_pylist(), table.column("pixels")):
+            volume[z] = np.asarray(pixels.values, dtype=float).reshape(h, w)
+        cube = np.fft.fftn(np.fft.ifftshift(volume)).ravel() / math.sqrt(volume.size)
+        made = []
+        for scale, n_wedges, wedges, size, at, weight, to in stacked_boxes(frame_of, (d, h, w), scales, coarse_wedges):
+            boxes = np.zeros((len(wedges), *size), dtype=complex)
+            boxes.ravel()[to] = cube[at] * weight
+            flat = np.fft.fftshift(np.fft.ifftn(boxes, axes=(1, 2, 3)), axes=(1, 2, 3)).ravel() * math.sqrt(math.prod(size))
+            rows = len(wedges) * size[0]
+            ends = pa.array(np.arange(rows + 1, dtype=np.int32) * (size[1] * size[2]))
+            ints = [np.full(rows, x, np.int32) for x in (d, h, w, scale)] + [np.repeat(wedges, size[0]).astype(np.int32)] + [np.full(rows, x, np.int32) for x in (n_wedges, *size)] + [np.tile(np.arange(size[0], dtype=np.int32), len(wedges))]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x))) for x in (flat.real, flat.imag)]
+            made.append(pa.table([pa.repeat(image, rows), *map(pa.array, ints), *lists], names=list(COEFFICIENTS)))
+        return pa.concat_tables(made) if made else _table(_kinds(arrow, *COEFFICIENTS), [])
+
+    return _dealt(slices).groupBy("image_id").applyInArrow(run, _schema(kind, *COEFFICIENTS))
+
+
+def _reconstruct_whole(planes: DataFrame, scales: int | None, coarse_wedges: int, frame_of) -> DataFrame:
+    kind, arrow = _key(planes)
+    fields = ("image_id", "z", "height", "width", "pixels")
+
+    def run(table: pa.Table) -> pa.Table:
+        image, d, h, w = _first(table, "image_id", "depth", "height", "width")
+        of_scale, of_wedge, k1 = (table.column(c).to_numpy() for c in ("scale", "wedge", "k1"))
+        re, im = (table.column(c).combine_chunks() for c in ("re", "im"))
+        values = re.flatten().to_numpy() + 1j * im.flatten().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(re.value_lengths().to_numpy())])[:-1]
+        cube = np.zeros(d * h * w, dtype=complex)
+        for scale, n_wedges, wedges, size, at, weight, to in stacked_boxes(frame_of, (d, h, w), scales, coarse_wedges):
+            nth = np.full(n_wedges, -1)
+            nth[wedges] = np.arange(len(wedges))
+            rows = np.flatnonzero(of_scale == scale)
+            rows = rows[nth[of_wedge[rows]] >= 0]
+            boxes = np.zeros((len(wedges) * size[0], size[1] * size[2]), dtype=complex)
+            boxes[nth[of_wedge[rows]] * size[0] + k1[rows]] = values[starts[rows][:, None] + np.arange(size[1] * size[2])]
+            flat = np.fft.fftn(np.fft.ifftshift(boxes.reshape(-1, *size), axes=(1, 2, 3)), axes=(1, 2, 3)).ravel()[to] * (weight / math.sqrt(math.prod(size)))
+            cube.real += np.bincount(at, flat.real, cube.size)
+            cube.imag += np.bincount(at, flat.imag, cube.size)
+        volume = np.fft.fftshift(np.fft.ifftn(cube.reshape(d, h, w))).real * math.sqrt(cube.size)
+        return _table(_kinds(arrow, *fields), [(image, z, h, w, volume[z].ravel()) for z in range(d)])
+
+    return _dealt(planes).groupBy("image_id").applyInArrow(run, _schema(kind, *fields))
+
+
 COEFFICIENTS = ("image_id", "depth", "height", "width", "scale", "wedge", "n_wedges", "n1", "n2", "n3", "k1", "re", "im")
 
 
@@ -237,6 +316,8 @@ def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int
     own = slices.where("pixels IS NOT NULL").select("image_id", F.col("z").cast("int").alias("z"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels")
     depth = own.groupBy("image_id").agg((F.max("z") + 1).alias("depth"))
     own = own.join(depth, "image_id").select("image_id", "depth", "height", "width", "z", "pixels")
+    small = F.col("depth").cast("long") * F.col("height") * F.col("width") <= tile_values
+    whole, own = _transform_whole(own.where(small), scales, coarse_wedges, frame_of), own.where(~small)
     fields = ("image_id", "depth", "height", "width", "tile", "z", "values")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +395,7 @@ def transform_stacks(slices: DataFrame, scales: int = SCALES, coarse_wedges: int
             rows += [(image, d, h, w, scale, wedge, n_wedges, *size, (first + k + size[0] // 2) % size[0], made[k].real, made[k].imag) for k in range(n)]
         return _table(_kinds(arrow, *COEFFICIENTS), rows)
 
-    return returned.groupBy("image_id", "scale", "pack", "slab").applyInArrow(finish, _schema(kind, *COEFFICIENTS))
+    return whole.unionByName(returned.groupBy("image_id", "scale", "pack", "slab").applyInArrow(finish, _schema(kind, *COEFFICIENTS)))
 
 
 def coefficient_rows(planes: DataFrame, scale: int | None = None) -> DataFrame:
@@ -328,6 +409,9 @@ def coefficient_rows(planes: DataFrame, scale: int | None = None) -> DataFrame:
 def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: int = COARSE_WEDGES, tile_values: int = TILE, frame_of=volume_frame) -> DataFrame:
     """transform_stacks(), or what was kept of it, to slices (image_id, z, height, width, pixels): the adjoint, which is the inverse. Planes that are left out count as zero."""
     kind, arrow = _key(planes)
+    small = F.col("depth").cast("long") * F.col("height") * F.col("width") <= tile_values
+    planes = planes.select("image_id", "depth", "height", "width", "scale", "wedge", "k1", "re", "im")
+    whole, planes = _reconstruct_whole(planes.where(small), scales, coarse_wedges, frame_of), planes.where(~small)
     fields = ("image_id", "depth", "height", "width", "scale", "pack", "tile", "wedge", "k1", "values")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +426,7 @@ def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: i
                 rows = [(image, d, h, w, scale, pack, t, wedge, at, flat[t * step : (t + 1) * step].tobytes()) for t in range(-(-len(flat) // step))]
                 yield from _table(_kinds(arrow, *fields), rows).to_batches()
 
-    tiles = planes.select("image_id", "depth", "height", "width", "scale", "wedge", "k1", "re", "im").mapInArrow(across, _schema(kind, *fields))
+    tiles = planes.mapInArrow(across, _schema(kind, *fields))
     sent = ("image_id", "depth", "height", "width", "tile", "at", "values")
 
     def along(table: pa.Table) -> pa.Table:
@@ -391,7 +475,7 @@ def reconstruct_stacks(planes: DataFrame, scales: int = SCALES, coarse_wedges: i
         plane = np.fft.fftshift(np.fft.ifft2(flat.reshape(h, w))) * math.sqrt(h * w)
         return _table(_kinds(arrow, *slices), [(image, z, h, w, plane.real.ravel())])
 
-    return returned.groupBy("image_id", "z").applyInArrow(finish, _schema(kind, *slices))
+    return whole.unionByName(returned.groupBy("image_id", "z").applyInArrow(finish, _schema(kind, *slices)))
 
 
 def image_rows(bands: DataFrame) -> DataFrame:
