@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ CROWD = 32
 FINEST, BRANCH, LEVELS = 2.0, 8, 6
 
 
+#: Images of at most so many fibers are searched whole, each in a task.
+WHOLE = 2048
+
+
 def _around(row: Column, col: Column) -> Column:
     return F.explode(F.array(*[F.struct((row + r).alias("r"), (col + c).alias("c")) for r, c in RING]))
 
@@ -61,13 +67,41 @@ def _boxes_in_reach(some: DataFrame, fibers: DataFrame, k: int) -> DataFrame:
     return held
 
 
-def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFrame:
-    """(image_id, fiber_id, rank, distance, nb_id, nb_angle): the k nearest other fibers, equal distances by id; fewer in images with fewer.
-
-    Cells are sized per image so that a fiber and its neighbours fill a cell or two. A fiber whose k-th neighbour is nearer than the unseen
+def _nearest_in_whole_images(f: DataFrame, k: int) -> DataFrame:
+    """nearest_neighbors() where an image's fibers fit a task: distances of 256 fibers at a time to all others."""
+    types = {x.name: x.dataType.simpleString() for x in f.schema}
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table.column("fiber_id").to_numpy(), kind="stable"))  # so that places stand for ids where distances are equal
+        row, col = (table.column(c).to_numpy() for c in ("center_row", "center_col"))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))]
+        most = min(k, len(row) - 1)
+        for start in range(0, len(row) if most > 0 else 0, 256):
+            d = np.sqrt((row[start : start + 256, None] - row) ** 2 + (col[start : start + 256, None] - col) ** 2)
+            own = np.arange(len(d))
+            d[own, start + own] = np.inf
+            a, b = np.nonzero(d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most])
+            order = np.lexsort((b, d[a, b], a))
+            a, b = a[order], b[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a) + 1
+            kept = rank <= most
+            found.append((start + a[kept], b[kept], rank[kept].astype(np.int32), d[a, b][kept]))
+        a, b, rank, distance = (np.concatenate(x) for x in zip(*found))
+        made = [table.column("image_id").take(a), table.column("fiber_id").take(a), pa.array(rank), pa.array(distance), table.column("fiber_id").take(b), table.column("angle").take(b)]
+        return pa.table(made, names=["image_id", "fiber_id", "rank", "distance", "nb_id", "nb_angle"])
+
+    return f.groupBy("image_id").applyInArrow(run, f"image_id {types['image_id']}, fiber_id {types['fiber_id']}, rank int, distance double, nb_id {types['fiber_id']}, nb_angle double")
+
+
+def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6, whole: int = WHOLE) -> DataFrame:
+    """(image_id, fiber_id, rank, distance, nb_id, nb_angle): the k nearest other fibers, equal distances by id; fewer in images with fewer. Fibers without a place have no rows.
+
+    Fibers go once to the task of their image where it has at most ``whole``. In larger images they meet on cells, sized per image so that a fiber and its neighbours fill a cell or two. A fiber whose k-th neighbour is nearer than the unseen
     cells has its answer; the others (corners, empty stretches), and fibers where many crowd, go down a tree of boxes.
     """
-    f = fibers.select("image_id", "fiber_id", F.col("center_row").cast("double"), F.col("center_col").cast("double"), F.col("angle").cast("double"))
+    f = fibers.select("image_id", "fiber_id", F.col("center_row").cast("double"), F.col("center_col").cast("double"), F.col("angle").cast("double")).where("center_row IS NOT NULL AND center_col IS NOT NULL")
+    counted = f.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
+    at_once, f = _nearest_in_whole_images(counted.where(F.col("_n") <= whole).drop("_n"), k), counted.where(F.col("_n") > whole).drop("_n")
     area = (F.max("center_row") - F.min("center_row") + 1) * (F.max("center_col") - F.min("center_col") + 1)
     size = F.greatest(F.lit(1.0), reach * F.sqrt((k + 1) * area / (F.count(F.lit(1)) * math.pi)))
     images = f.groupBy("image_id").agg(size.alias("cell"), F.min("center_row").alias("r0"), F.min("center_col").alias("c0"), F.max("center_row").alias("r1"), F.max("center_col").alias("c1"))
@@ -100,7 +134,7 @@ def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6) -> DataFram
     met = cells.alias("a").join(merged(_celled(f)).alias("b"), (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a._r") == F.col("b._r")) & (F.col("a._c") == F.col("b._c")) & (F.col("a.fiber_id") != F.col("b.fiber_id")))
     wide = ranked(met)
     columns = ["image_id", "fiber_id", "rank", "distance", "nb_id", "nb_angle"]
-    return done.select(*columns).unionByName(wide.select(*columns))
+    return at_once.unionByName(done.select(*columns)).unionByName(wide.select(*columns))
 
 
 def _mean_and_std(columns: list[str]) -> tuple[Column, Column]:
