@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from test_outlines import KINDS, outline
 
-from fibrespark.operators import boundary
+from fibrespark.operators import boundary, outlines, roi
 
 FIBERS = "image_id long, fiber_id long, center_row double, center_col double, note string"
 POINTS = "image_id long, roi_id long, seq long, row long, col long"
@@ -40,3 +43,35 @@ def test_images_that_fit_a_task_shuffle_no_pairs(spark, keys, monkeypatch):
         some = boundary.nearest_point(f, p, keys)
         assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
         assert "Window" in final_plan(some)
+
+
+@pytest.mark.parametrize("points", [21, 7])
+def test_slopes_in_a_task_equal_those_of_joins(spark, points):
+    rows = [(0, k, 3 * n, float(r), float(c)) for k, kind in enumerate(KINDS) for n, (r, c) in enumerate(outline(kind))]
+    frame = spark.createDataFrame(rows, "image_id long, roi_id long, seq long, row double, col double")
+    want = {(r.roi_id, r.seq): r.slope for r in outlines.outline_slopes(frame, frame, points).collect()}
+    for k in range(len(KINDS)):
+        seq, row, col = (np.array([x[c] for x in rows if x[1] == k]) for c in (2, 3, 4))
+        got = outlines.slopes_in_task(row, col, seq, np.arange(len(seq)), points)
+        assert len(got) == len(seq) > 0
+        for n, slope in zip(seq.tolist(), got.tolist()):
+            assert (want[k, n] is None and math.isnan(slope)) or slope == pytest.approx(want[k, n], abs=1e-9), (KINDS[k], n)
+
+
+def test_association_walks_in_the_task_of_an_image(spark, monkeypatch):
+    rng = random.Random(8)
+    fibers = [(i, k, float(rng.randrange(100)), float(rng.randrange(100)), rng.randrange(720) / 4) for i in range(3) for k in range(20 * i + 5)]
+    rows = []
+    for i, n, r, c, h, w in [(0, 1, 10, 10, 30, 50), (0, 2, 30, 40, 40, 40), (1, 3, 0, 5, 60, 20), (2, 4, 50, 50, 49, 49)]:
+        rows += [(i, n, k, a, b) for k, (a, b) in enumerate([(r, c + k) for k in range(w)] + [(r + k, c + w) for k in range(h)] + [(r + h, c + w - k) for k in range(w)] + [(r + h - k, c) for k in range(h + 1)])]
+    f, p = spark.createDataFrame(fibers, FIBERS.replace("note string", "angle double")), spark.createDataFrame(rows, POINTS)
+    for least in (None, 4.0):
+        make = lambda: boundary.global_association(f, p, roi.mask_of_polygons(p, 100, 100), 100, 100, 15.0, least)
+        whole = make()
+        want = sorted(map(tuple, whole.collect()))
+        assert "collect_set" not in final_plan(whole) and final_plan(whole).count("FlatMapCoGroupsInArrow") == 1
+        assert whole.where("relative_angle IS NOT NULL").count() == whole.where((F.col("distance") <= 15) & (F.col("distance") > (least or -1))).count() > 10
+        with monkeypatch.context() as m:
+            m.setattr(boundary, "WHOLE", 24)
+            for a, b in zip(sorted(map(tuple, make().collect())), want, strict=True):
+                assert [pytest.approx(x, abs=1e-9) if isinstance(x, float) else x for x in a] == list(b)
