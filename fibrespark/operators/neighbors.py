@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fibrespark.functions.angles import alignment
-from fibrespark.functions.tables import merged
+from fibrespark.functions.tables import Rounds, merged
 
-from .boundary import box_distances
+from .boundary import PAIRS, box_distances
 
 RING = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1)]
 #: Fibers around a cell of the even grid, in so many times k + 1, beyond which its fibers go down the tree of boxes.
@@ -25,10 +25,29 @@ CROWD = 32
 FINEST, BRANCH, LEVELS = 2.0, 8, 6
 
 
+#: Means and deviations over the four numbers of neighbours.
+MEANS = ("distance_to_nearest_fiber_mean", "distance_to_nearest_fiber_std", "alignment_mean", "alignment_std")
+
 #: Images of at most so many fibers are searched whole, each in a task.
 WHOLE = 2048
 
 
+def _steps(minimum: int) -> list[int]:
+    return [minimum * s for s in (1, 2, 4, 8)]
+
+
+def _boxes(minimum: int) -> list[int]:
+    return [minimum * s for s in (1, 2, 4)]
+
+
+def _near_names(k: int) -> tuple[str, str]:
+    return f"distance_to_nearest_{k}_fibers", f"alignment_of_nearest_{k}_fibers"
+
+
+def _box_names(b: int) -> tuple[str, str]:
+    return f"fibers_within_box_density{b}", f"fiber_alignment_in_box_{b}"
+
+
 def _around(row: Column, col: Column) -> Column:
     return F.explode(F.array(*[F.struct((row + r).alias("r"), (col + c).alias("c")) for r, c in RING]))
 
@@ -93,6 +112,68 @@ def _nearest_in_whole_images(f: DataFrame, k: int) -> DataFrame:
     return f.groupBy("image_id").applyInArrow(run, f"image_id {types['image_id']}, fiber_id {types['fiber_id']}, rank int, distance double, nb_id {types['fiber_id']}, nb_angle double")
 
 
+def _features_in_whole_images(f: DataFrame, minimum_neighbors: int, minimum_box: int) -> DataFrame:
+    """fiber_features() where an image's fibers fit a task: from the distances of a few fibers at a time to all others, one row a fiber."""
+    types = {x.name: x.dataType.simpleString() for x in f.schema}
+    steps, boxes = _steps(minimum_neighbors), _boxes(minimum_box)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table.column("fiber_id").to_numpy(), kind="stable"))  # so that places stand for ids where distances are equal
+        row, col = (table.column(c).to_numpy() for c in ("center_row", "center_col"))
+        degrees = table.column("angle").to_numpy()
+        known = ~np.isnan(degrees)
+        doubled = np.where(known, 2 * np.radians(degrees), 0.0)
+        # cosine, sine and one of every known angle: their sums over a set give its alignment
+        parts = np.stack([np.where(known, np.cos(doubled), 0.0), np.where(known, np.sin(doubled), 0.0), known.astype(float)], axis=1)
+        n = len(row)
+        out = {c: np.full(n, np.nan) for k in steps for c in _near_names(k)} | {c: np.full(n, np.nan) for b in boxes for c in _box_names(b)}
+        most = min(steps[-1], n - 1)
+
+        def aligned(sums: np.ndarray) -> np.ndarray:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return np.where(sums[:, 2] > 0, np.sqrt(sums[:, 0] ** 2 + sums[:, 1] ** 2) / sums[:, 2], np.nan)
+
+        rows = 1 + PAIRS // n
+        held = np.empty((3, min(rows, n), n))
+        for start in range(0, n, rows):
+            block = slice(start, min(start + rows, n))
+            dr, dc, reach = held[:, : block.stop - start]
+            np.abs(np.subtract(row[block, None], row, out=dr), out=dr)
+            np.abs(np.subtract(col[block, None], col, out=dc), out=dc)
+            np.maximum(dr, dc, out=reach)
+            a, b = np.nonzero(reach < math.ceil(boxes[-1] / 2))
+            pairs, apart = parts[b], reach[a, b]
+            for box in reversed(boxes):
+                inside = apart < math.ceil(box / 2)
+                a, pairs, apart = a[inside], pairs[inside], apart[inside]
+                count, align = _box_names(box)
+                out[count][block] = np.bincount(a, minlength=len(reach))
+                out[align][block] = aligned(np.stack([np.bincount(a, x, len(reach)) for x in pairs.T], axis=1))
+            dr *= dr
+            dc *= dc
+            d = np.sqrt(np.add(dr, dc, out=dr), out=dr)
+            own = np.arange(len(d))
+            d[own, start + own] = np.inf
+            if most < steps[0]:
+                continue
+            a, b = np.nonzero(d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most])
+            order = np.lexsort((b, d[a, b], a))
+            a, b = a[order], b[order]
+            kept = np.arange(len(a)) - np.searchsorted(a, a) < most
+            near = b[kept].reshape(len(d), most)
+            distances = np.cumsum(d[own[:, None], near], axis=1)
+            sums = np.cumsum(parts[near], axis=1)
+            for k in (x for x in steps if x <= most):
+                mean, align = _near_names(k)
+                out[mean][block] = distances[:, k - 1] / k
+                out[align][block] = aligned(sums[:, k - 1])
+        made = [pa.array(x.astype(np.int64)) if c.startswith("fibers_within") else pa.array(x, from_pandas=True) for c, x in out.items()]
+        return pa.table([table.column("image_id"), table.column("fiber_id"), *made], names=["image_id", "fiber_id", *out])
+
+    names = [f"{c} double" for k in steps for c in _near_names(k)] + [f"{c} {t}" for b in boxes for c, t in zip(_box_names(b), ("long", "double"))]
+    return f.groupBy("image_id").applyInArrow(run, ", ".join([f"image_id {types['image_id']}", f"fiber_id {types['fiber_id']}", *names]))
+
+
 def nearest_neighbors(fibers: DataFrame, k: int, reach: float = 1.6, whole: int = WHOLE) -> DataFrame:
     """(image_id, fiber_id, rank, distance, nb_id, nb_angle): the k nearest other fibers, equal distances by id; fewer in images with fewer. Fibers without a place have no rows.
 
@@ -143,28 +224,33 @@ def _mean_and_std(columns: list[str]) -> tuple[Column, Column]:
     return mean, F.sqrt(sum((square(c) for c in columns[1:]), square(columns[0])) / (len(columns) - 1))
 
 
+def _with_means(out: DataFrame, steps: list[int]) -> DataFrame:
+    d, d_std = _mean_and_std([_near_names(k)[0] for k in steps])
+    a, a_std = _mean_and_std([_near_names(k)[1] for k in steps])
+    return out.withColumns(dict(zip(MEANS, (d, d_std, a, a_std))))
+
+
 def neighbor_features(fibers: DataFrame, minimum: int = 2) -> DataFrame:
     """Mean distance and alignment of the m, 2m, 4m and 8m nearest fibers, with mean and standard deviation over the four.
 
     A column is null where an image has fewer fibers than it asks for; so are its mean and deviation.
     """
-    steps = [minimum * s for s in (1, 2, 4, 8)]
+    steps = _steps(minimum)
     near = nearest_neighbors(fibers, steps[-1])
     aggregates = []
     for k in steps:
         inside = F.col("rank") <= k
         enough = F.count(F.when(inside, 1)) == k
-        aggregates.append(F.when(enough, F.avg(F.when(inside, F.col("distance")))).alias(f"distance_to_nearest_{k}_fibers"))
-        aggregates.append(F.when(enough, alignment(F.when(inside, F.col("nb_angle")))).alias(f"alignment_of_nearest_{k}_fibers"))
+        distance, aligned = _near_names(k)
+        aggregates.append(F.when(enough, F.avg(F.when(inside, F.col("distance")))).alias(distance))
+        aggregates.append(F.when(enough, alignment(F.when(inside, F.col("nb_angle")))).alias(aligned))
     out = fibers.select("image_id", "fiber_id").join(merged(near.groupBy("image_id", "fiber_id").agg(*aggregates)), ["image_id", "fiber_id"], "left")
-    d, d_std = _mean_and_std([f"distance_to_nearest_{k}_fibers" for k in steps])
-    a, a_std = _mean_and_std([f"alignment_of_nearest_{k}_fibers" for k in steps])
-    return out.withColumns({"distance_to_nearest_fiber_mean": d, "distance_to_nearest_fiber_std": d_std, "alignment_mean": a, "alignment_std": a_std})
+    return _with_means(out, steps)
 
 
 def box_features(fibers: DataFrame, minimum: int = 32) -> DataFrame:
     """Number of fibers and their alignment in open boxes of minimum, twice and four times that, the fiber itself included. One join serves all three."""
-    boxes = [minimum * s for s in (1, 2, 4)]
+    boxes = _boxes(minimum)
     half = {b: math.ceil(b / 2) for b in boxes}
     cell = float(max(half.values()))
     f = fibers.select("image_id", "fiber_id", F.col("center_row").cast("double"), F.col("center_col").cast("double"), F.col("angle").cast("double"))
@@ -176,10 +262,21 @@ def box_features(fibers: DataFrame, minimum: int = 32) -> DataFrame:
     aggregates = []
     for b in boxes:
         inside = F.col("reach") < half[b]
-        aggregates += [F.count(F.when(inside, 1)).alias(f"fibers_within_box_density{b}"), alignment(F.when(inside, F.col("angle"))).alias(f"fiber_alignment_in_box_{b}")]
+        count, aligned = _box_names(b)
+        aggregates += [F.count(F.when(inside, 1)).alias(count), alignment(F.when(inside, F.col("angle"))).alias(aligned)]
     return rows.groupBy("image_id", "fiber_id").agg(*aggregates)
 
 
-def fiber_features(fibers: DataFrame, minimum_neighbors: int = 2, minimum_box: int = 32) -> DataFrame:
-    """All neighbourhood features of every fiber: nine of density, nine of alignment."""
-    return neighbor_features(fibers, minimum_neighbors).join(merged(box_features(fibers, minimum_box)), ["image_id", "fiber_id"])
+def fiber_features(fibers: DataFrame, minimum_neighbors: int = 2, minimum_box: int = 32, whole: int = WHOLE) -> DataFrame:
+    """All neighbourhood features of every fiber with a place: nine of density, nine of alignment. Fibers of images that have at most ``whole`` go once to the task of their image."""
+    f = fibers.select("image_id", "fiber_id", F.col("center_row").cast("double"), F.col("center_col").cast("double"), F.col("angle").cast("double"))
+    f = f.where("image_id IS NOT NULL AND fiber_id IS NOT NULL AND center_row IS NOT NULL AND center_col IS NOT NULL")
+    found = Rounds(f.sparkSession, "crowded").write(f.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole).select("image_id"))
+    crowded = merged(found)
+    few = _with_means(_features_in_whole_images(f.join(crowded, "image_id", "left_anti"), minimum_neighbors, minimum_box), _steps(minimum_neighbors))
+    few = few.select("image_id", "fiber_id", *[c for k in _steps(minimum_neighbors) for c in _near_names(k)], *MEANS, *[c for b in _boxes(minimum_box) for c in _box_names(b)])
+    if found.isEmpty():
+        return few
+    rest = f.join(crowded, "image_id", "left_semi")
+    many = neighbor_features(rest, minimum_neighbors).join(merged(box_features(rest, minimum_box)), ["image_id", "fiber_id"])
+    return few.unionByName(many)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_outlines import KINDS, outline
 
-from fibrespark.operators import boundary, outlines, roi
+from fibrespark.operators import boundary, neighbors, outlines, roi
 
 FIBERS = "image_id long, fiber_id long, center_row double, center_col double, note string"
 POINTS = "image_id long, roi_id long, seq long, row long, col long"
@@ -75,3 +75,25 @@ def test_association_walks_in_the_task_of_an_image(spark, monkeypatch):
             m.setattr(boundary, "WHOLE", 24)
             for a, b in zip(sorted(map(tuple, make().collect())), want, strict=True):
                 assert [pytest.approx(x, abs=1e-9) if isinstance(x, float) else x for x in a] == list(b)
+
+
+@pytest.mark.parametrize("least", [(2, 32), (3, 5)])
+def test_features_in_the_task_of_an_image_equal_those_of_joins(spark, least):
+    rng = random.Random(12)
+    rows = [(i, 7 * k % 1009, float(rng.randrange(70)), rng.choice([None, *[float(rng.randrange(70))] * 9]), rng.choice([None, *[rng.randrange(720) / 4] * 5])) for i, n in enumerate((1, 2, 3, 12, 300)) for k in range(n)]
+    rows += [(5, k, 3.0, 4.0, 10.0 * k) for k in range(40)] + [(None, 1, 1.0, 1.0, 1.0)]
+    f = spark.createDataFrame(rows, FIBERS.replace("note string", "angle double")).repartition(3)
+    whole = neighbors.fiber_features(f, *least)
+    got = {(r.image_id, r.fiber_id): r.asDict() for r in whole.collect()}
+    plan = final_plan(whole)
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Window" not in plan and "explode" not in plan.lower() and "Generate" not in plan
+    by_joins = neighbors.neighbor_features(f, least[0]).join(neighbors.box_features(f, least[1]), ["image_id", "fiber_id"])
+    assert by_joins.columns == whole.columns and by_joins.dtypes == whole.dtypes
+    want = {(r.image_id, r.fiber_id): r.asDict() for r in by_joins.collect()}
+    # only the largest image by joins, the others in tasks
+    some = {(r.image_id, r.fiber_id): r.asDict() for r in neighbors.fiber_features(f, *least, whole=100).collect()}
+    assert len(want) > 250 and set(got) == set(want) == set(some)
+    for key, values in want.items():
+        for c, x in values.items():
+            for y in (got[key][c], some[key][c]):
+                assert (x is None and y is None) or y == pytest.approx(x, abs=1e-9), (key, c)
